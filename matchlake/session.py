@@ -20,6 +20,7 @@ def build_session(app: str = "matchlake", master: str | None = None, partitions:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)

@@ -1,12 +1,10 @@
-"""Explicit schemas of the input documents and the stored tables. Nothing is ever inferred."""
+"""Explicit schemas (as DDL text) of the input documents and the stored tables. Nothing is ever inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
 
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(" ".join(ddl.split()))
+def _schema(ddl: str) -> str:
+    return " ".join(ddl.split())
 
 
 _OBJECTIVE = "struct<first: boolean, kills: int>"
