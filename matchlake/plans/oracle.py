@@ -297,8 +297,8 @@ def _compare(stats: str, laning: bool) -> str:
       vcs AS "villainAvgCspm", hdpm AS "heroAvgDpm", vdpm AS "villainAvgDpm", hvis AS "heroAvgVisionScore",
       hcsd AS "heroAvgCsd15", vcsd AS "villainAvgCsd15", 0 AS "heroSoloKills15",
       CASE WHEN hwr >= vwr THEN 'hero' ELSE 'villain' END AS winner,
-      array_to_string(list_filter([{ahead}], x -> x IS NOT NULL), ' | ') AS advantages,
-      array_to_string(list_filter([{tips}], x -> x IS NOT NULL), ' | ') AS recommendations
+      array_to_string([x FOR x IN [{ahead}] IF x IS NOT NULL], ' | ') AS advantages,
+      array_to_string([x FOR x IN [{tips}] IF x IS NOT NULL], ' | ') AS recommendations
     FROM duo"""
 
 
@@ -431,6 +431,35 @@ sql("previous_patches", """
 SELECT patch, CASE WHEN q > 1 THEN (y - 1985) || '.' || (q - 1) ELSE (y - 1986) || '.23' END AS previous,
   CASE WHEN q > 1 THEN (y - 1985) || '.0' || (q - 1) ELSE (y - 1986) || '.23' END AS "previousPadded" FROM (SELECT DISTINCT y, q, patch FROM m)""")
 
+# ---- ingest: the documents' own games
+
+_DOCS = f"""
+ls AS (SELECT mid, puuid, max_by(cs, minute) AS last_cs, max(gold) FILTER (minute = 15) AS gold15, max(xp) FILTER (minute = 15) AS xp15,
+  max(cs) FILTER (minute = 15) AS cs15 FROM ser GROUP BY mid, puuid),
+dg0 AS (
+  SELECT doc.*, '15.' || (1 + block % 12) AS patch, CASE WHEN block % 5 = 0 THEN 440 ELSE 420 END AS queue, 1500 + k % 1200 AS duration,
+    ((k + n) % 15 + (v + n) % 20) / greatest((k * n) % 9, 1)::DOUBLE AS kda, coalesce(ls.last_cs, 0) AS last_cs,
+    coalesce(gold15, 0) AS gold15, coalesce(xp15, 0) AS xp15, coalesce(cs15, 0) AS cs15
+  FROM doc LEFT JOIN ls ON doc.mid = ls.mid AND doc.puuid = ls.puuid),
+dg AS (SELECT *, (5000 + v * n * 3 % 30000) / (duration / 6e1) AS dpm, last_cs / (duration / 6e1) AS cspm FROM dg0),
+dopp AS (
+  SELECT a.mid, a.n, b.gold15 AS ogold, b.xp15 AS oxp, b.cs15 AS ocs FROM dg a JOIN dg b ON a.mid = b.mid AND a.role = b.role AND a.team <> b.team
+  QUALIFY row_number() OVER (PARTITION BY a.mid, a.n ORDER BY b.n) = 1)
+"""
+sql("streaming_ingest", f"""
+, x AS (SELECT patch, queue, count(DISTINCT mid) AS n FROM dg GROUP BY ALL),
+b AS (SELECT champ, patch, queue, count(DISTINCT mid) AS n FROM (SELECT mid, unnest(bans) AS champ, '15.' || (1 + block % 12) AS patch,
+  CASE WHEN block % 5 = 0 THEN 440 ELSE 420 END AS queue FROM db) GROUP BY ALL),
+s AS (SELECT champ, patch, queue, count(*) AS games, sum(win::INT) AS wins, {pct('sum(win::INT)', 'count(*)')} AS wr, {mean('kda')} AS kda, {mean('dpm')} AS dpm,
+  {mean('cspm')} AS cspm FROM dg GROUP BY champ, patch, queue)
+SELECT champ AS "championId", patch, queue AS "queueId", games AS "gamesPlayed", wins, wr AS "winRate", kda, dpm, cspm, {pct('coalesce(b.n, 0)', 'x.n')} AS "banRate",
+  {pct('games', 'x.n')} AS "pickRate" FROM s JOIN x USING (patch, queue) LEFT JOIN b USING (champ, patch, queue)""", _DOCS, _BANS)
+sql("batch_ingest", f"""
+, e AS (SELECT dg.* EXCLUDE (patch), l.patch, dopp.* EXCLUDE (mid, n) FROM dg LEFT JOIN dopp USING (mid, n), LATERAL (SELECT unnest([dg.patch, 'ALL']) AS patch) l)
+SELECT puuid, champ AS "championId", patch, queue AS "queueId", count(*) AS "gamesPlayed", sum(win::INT) AS wins, {rnd(mean('kda'), 2)} AS "avgKda",
+  {rnd(mean('cspm'), 2)} AS "avgCspm", {rnd('coalesce(avg(cs15 - ocs), 0e0)', 2)} AS "avgCsd15", {rnd('coalesce(avg(gold15 - ogold), 0e0)', 2)} AS "avgGd15",
+  {rnd('coalesce(avg(xp15 - oxp), 0e0)', 2)} AS "avgXpd15", max(t) AS "lastPlayedAt" FROM e GROUP BY puuid, champ, patch, queue""", _DOCS)
+
 # ---- champions
 
 sql("champion_stats", """

@@ -24,7 +24,10 @@ from matchlake.operators import (
     timeline_parser,
 )
 from matchlake.plans import reports
+from matchlake.session import new_work_dir
 from matchlake.sources import documents, schemas, star
+from matchlake.sources.store import MatchStore
+from matchlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,6 +275,48 @@ def previous_patches(spark, d):
     )
 
 
+# ---- ingest ------------------------------------------------------------------------------------
+
+
+def landed_records(spark, d):
+    """Match and timeline documents of each event block side by side, as they land."""
+    ident = F.get_json_object("value", "$.metadata.matchId").alias("matchId")
+    m = star.match_documents(spark, d).select(ident, F.col("value").alias("match"))
+    t = star.timeline_documents(spark, d).select(ident, F.col("value").alias("timeline"))
+    return m.join(t, "matchId")
+
+
+def _landed_store(spark, d):
+    """Runs the stream twice: half of the documents land first, then all of them again."""
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store", compact_every=1).create()
+    records = landed_records(spark, d)
+    half = records.where(F.pmod(F.xxhash64("matchId"), F.lit(2)) == 0)
+    for wave in (half, records):
+        wave.select("match", "timeline").write.mode("append").json(f"{root}/landing")
+        ingest.run_available(spark, f"{root}/landing", store)
+    return store
+
+
+@query(
+    "championId bigint, patch string, queueId bigint, gamesPlayed bigint, wins bigint, winRate double, kda double, "
+    "dpm double, cspm double, banRate double, pickRate double"
+)
+def streaming_ingest(spark, d):
+    return _landed_store(spark, d).champion_stats()
+
+
+@query(
+    "puuid string, championId bigint, patch string, queueId bigint, gamesPlayed bigint, wins bigint, avgKda double, "
+    "avgCspm double, avgCsd15 double, avgGd15 double, avgXpd15 double, lastPlayedAt bigint"
+)
+def batch_ingest(spark, d):
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store").create()
+    ingest.ingest(landed_records(spark, d), store, 0)
+    return players.player_champion_stats(store.player_partials())
+
+
 # ---- champions ---------------------------------------------------------------------------------
 
 
