@@ -11,8 +11,19 @@ CHAMPION_KEYS = ["championId", "patch", "queueId"]
 CHAMPION_SUMS = ["gamesPlayed", "timedGames", "wins", "kdaMicros", "dpmMicros", "gpmMicros", "cspmMicros"]
 
 
+SERIES = ["goldGraph", "xpGraph", "csGraph", "damageGraph"]
+
+
+def with_last_cs(participants: DataFrame) -> DataFrame:
+    """Keeps the one value of the series the rates need, so that no series travels through a shuffle."""
+    if "lastCs" in participants.columns:
+        return participants
+    return participants.withColumn("lastCs", last_or_zero("csGraph")).drop(*SERIES)
+
+
 def game_rows(participants: DataFrame, matches: DataFrame) -> DataFrame:
-    """Participants with the match columns every aggregate needs, and their per-minute rates."""
+    """Participants, without series, with the match columns every aggregate needs and their per-minute rates."""
+    participants = with_last_cs(participants)
     m = matches.select("matchId", "patch", "queueId", "gameVersion", "gameCreation", "gameDuration")
     return with_rates(participants.join(m, "matchId"))
 
@@ -23,7 +34,7 @@ def with_rates(games: DataFrame) -> DataFrame:
             "kda": kda("kills", "deaths", "assists"),
             "dpm": per_minute("totalDamage", "gameDuration"),
             "gpm": per_minute("goldEarned", "gameDuration"),
-            "cspm": per_minute(last_or_zero("csGraph"), "gameDuration"),
+            "cspm": per_minute("lastCs", "gameDuration"),
         }
     )
 
@@ -96,14 +107,15 @@ def champion_totals(participants: DataFrame, matches: DataFrame, teams: DataFram
     """Plain sums per patch and champion, with the number of bans."""
     m = matches.select("matchId", "patch", "gameDuration")
     played = (
-        participants.join(m, "matchId")
+        with_last_cs(participants)
+        .join(m, "matchId")
         .groupBy("patch", "championId")
         .agg(
             F.count("*").alias("gamesPlayed"),
             F.sum("kills").alias("totalKills"),
             F.sum("deaths").alias("totalDeaths"),
             F.sum("assists").alias("totalAssists"),
-            F.sum(last_or_zero("csGraph")).alias("totalCs"),
+            F.sum("lastCs").alias("totalCs"),
             F.sum("totalDamage").alias("totalDamage"),
             F.sum("goldEarned").alias("totalGold"),
             F.sum("gameDuration").alias("totalDuration"),

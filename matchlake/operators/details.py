@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchlake.functions.numeric import last_or_zero, per_minute, rnd
+from matchlake.functions.numeric import per_minute, rnd
 from matchlake.functions.timeparts import minute_of
+from matchlake.operators.champion_stats import with_last_cs
 from matchlake.operators.lanes import lane_opponents
 
 FINAL_ITEMS = 6
@@ -135,21 +136,20 @@ def match_builds(participants: DataFrame) -> DataFrame:
 METRICS = {
     "dpm": ("totalDamage", 1),
     "gpm": ("goldEarned", 1),
-    "cspm": ("_cs", 1),
+    "cspm": ("lastCs", 1),
     "visionScorePerMin": ("visionScore", 2),
     "damageTakenPerMin": ("damageTaken", 1),
 }
 
 
 def player_metrics(games: DataFrame) -> DataFrame:
-    """Rounded per-minute metrics of each participant; needs gameDuration."""
-    with_cs = games.withColumn("_cs", last_or_zero("csGraph"))
-    return with_cs.withColumns({n: rnd(per_minute(c, "gameDuration"), d) for n, (c, d) in METRICS.items()}).drop("_cs")
+    """Rounded per-minute metrics of games with gameDuration and lastCs."""
+    return games.withColumns({n: rnd(per_minute(c, "gameDuration"), d) for n, (c, d) in METRICS.items()})
 
 
 def match_performance(participants: DataFrame, matches: DataFrame) -> DataFrame:
     """Metrics of every participant, of the lane opponent, and their comparison (on the rounded values)."""
-    games = participants.join(matches.select("matchId", "gameDuration"), "matchId")
+    games = with_last_cs(participants).join(matches.select("matchId", "gameDuration"), "matchId")
     fields = ["championId", "role", "kda", *METRICS]
     rows = lane_opponents(player_metrics(games), [f for f in fields if f != "role"])
     own = lambda n: F.col(n)

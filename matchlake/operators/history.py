@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from matchlake.functions.numeric import last_or_zero, per_minute, rnd
+from matchlake.functions.numeric import per_minute, rnd
 from matchlake.functions.text import role_alias
 
 RANKED_SOLO = 420
@@ -50,8 +50,8 @@ def filter_history(
 
 
 def history_rows(games: DataFrame) -> DataFrame:
-    """Columns of a history entry; cs per minute from the last value of the series."""
-    cspm = F.coalesce(rnd(per_minute(last_or_zero("csGraph"), "gameDuration"), 2), F.lit(0.0))
+    """Columns of a history entry of games with lastCs (champion_stats.with_last_cs)."""
+    cspm = F.coalesce(rnd(per_minute("lastCs", "gameDuration"), 2), F.lit(0.0))
     return games.withColumn("cspm", cspm).select(*COLUMNS, *(["pos"] if "pos" in games.columns else []))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from matchlake.functions.numeric import at_or_zero, kda, mean_of_micros, micros, percent, rnd
 from matchlake.functions.patches import ALL_PATCHES
-from matchlake.operators.champion_stats import RATES, game_rows, merge, shared_sums
+from matchlake.operators.champion_stats import RATES, game_rows, merge, shared_sums, with_last_cs
 from matchlake.operators.lanes import lane_opponents
 
 PLAYER_KEYS = ["puuid", "patch", "queueId"]
@@ -23,7 +23,7 @@ LANING = {"csd15": "csGraph", "gd15": "goldGraph", "xpd15": "xpGraph"}
 def with_laning(participants: DataFrame) -> DataFrame:
     """Adds `hasOpponent` and the differences at minute 15, null without a lane opponent."""
     at15 = {f"_{name}": at_or_zero(series, LANING_MINUTE).cast("long") for name, series in LANING.items()}
-    joined = lane_opponents(participants.withColumns(at15), list(at15))
+    joined = lane_opponents(with_last_cs(participants.withColumns(at15)), list(at15))
     diffs = {name: F.col(f"_{name}") - F.col(f"opponent._{name}") for name in LANING}
     return joined.withColumns({"hasOpponent": F.col("opponent").isNotNull(), **diffs}).drop("opponent", *at15)
 

@@ -144,7 +144,7 @@ def player_activity(
 def player_games(participants: DataFrame, matches: DataFrame, **filters) -> DataFrame:
     """Filtered history rows. Match filters run before the join."""
     m = matches.select("matchId", "gameCreation", "gameDuration", "queueId")
-    return history.history_rows(history.filter_history(participants.join(m, "matchId"), **filters))
+    return history.history_rows(history.filter_history(champions.with_last_cs(participants).join(m, "matchId"), **filters))
 
 
 def player_profile(users: DataFrame) -> DataFrame:

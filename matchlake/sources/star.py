@@ -51,8 +51,10 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _series(length: Column, value) -> Column:
-    return F.transform(F.sequence(F.lit(0), length - 1), value)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files are too few to do so; files with enough splits stay as they are."""
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +63,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = F.when(F.col("l_linestatus") == "O", 100).otherwise(200)
     roles = F.array(*[F.lit(r) for r in LANES])
     kills, deaths, assists = (qty % 15).cast("int"), (part % 11).cast("int"), (supp % 20).cast("int")
-    length = (15 + order % 31 - F.when(line == 7, 1).otherwise(0)).cast("int")
-    return table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem")).select(
         order.alias("matchId"),
         (line.cast("long") * 1_000_000_000_000 + part).alias("pos"),
         supp.alias("puuid"),
@@ -78,11 +79,23 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
         _int(price / 3).alias("totalDamage"),
         (_div(price, 5) + part % 1000).cast("int").alias("damageTaken"),
         (supp % 60 + line).cast("int").alias("visionScore"),
-        _series(length, lambda m: (500 + m * (200 + part % 300) + (supp * m * m) % 53 * 60).cast("int")).alias("goldGraph"),
-        _series(length, lambda m: (m * (300 + supp % 200)).cast("int")).alias("xpGraph"),
-        _series(length, lambda m: (m * (4 + qty % 5) + (part + m) % 3).cast("int")).alias("csGraph"),
-        _series(length, lambda m: (m * (100 + part % 500)).cast("int")).alias("damageGraph"),
+        F.sequence(F.lit(0), (14 + order % 31 - F.when(line == 7, 1).otherwise(0)).cast("int")).alias("m"),
+        (200 + part % 300).cast("int").alias("_gold"),
+        (300 + supp % 200).cast("int").alias("_xp"),
+        (4 + qty % 5).cast("int").alias("_cs"),
+        (100 + part % 500).cast("int").alias("_damage"),
+        (part % 3).cast("int").alias("_p"),
+        (supp % 53).cast("int").alias("_s"),
     )
+    each = lambda value: F.transform("m", value)
+    return rows.withColumns(
+        {
+            "goldGraph": each(lambda m: m * F.col("_gold") + F.col("_s") * m * m % 53 * 60 + 500),
+            "xpGraph": each(lambda m: m * F.col("_xp")),
+            "csGraph": each(lambda m: m * F.col("_cs") + (F.col("_p") + m) % 3),
+            "damageGraph": each(lambda m: m * F.col("_damage")),
+        }
+    ).drop("m", "_gold", "_xp", "_cs", "_damage", "_p", "_s")
 
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +250,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their block. A block is 60 consecutive event ids, whatever the size of the table."""
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         _div(F.col("event_id"), BLOCK).alias("block"),
         (F.col("event_id") % BLOCK).cast("int").alias("i"),
         F.col("user_id").cast("int").alias("u"),
