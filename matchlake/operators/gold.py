@@ -8,17 +8,40 @@ BLUE, RED = 100, 200
 SWING_LIMIT = 3000
 
 
+# Minutes summed side by side in one row; the number of such rows per match follows the length of its series.
+CHUNK = 16
+
+
 def gold_timeline(participants: DataFrame) -> DataFrame:
     """Gold of both teams for every minute up to the match's longest series; a shorter series counts as 0.
 
-    Minutes are summed before the shuffle, so rows leave a task once per match and minute.
+    A series is cut into chunks of 16 minutes and the minutes of a chunk are summed as columns. That makes a
+    few rows per participant instead of one per minute, and they are reduced per match before the shuffle.
     """
-    minutes = participants.select("matchId", "teamId", F.posexplode("goldGraph").alias("minute", "gold"))
-    team = lambda t: F.coalesce(F.sum(F.when(F.col("teamId") == t, F.col("gold"))), F.lit(0)).cast("long")
+    length = F.size("goldGraph")
+    parts = F.when(length > 0, F.sequence(F.lit(0), F.floor((length - 1) / CHUNK).cast("int")))
+    # explode_outer: a plain explode would also test the series below the scan, computing it twice.
+    chunks = participants.select(
+        "matchId", "teamId", "goldGraph", length.alias("length"), F.explode_outer(parts).alias("chunk")
+    ).where(F.col("chunk").isNotNull())
+    first = F.col("chunk") * CHUNK
+    gold = [F.get("goldGraph", first + i) for i in range(CHUNK)]
+    team = lambda t, i: F.coalesce(F.sum(F.when(F.col("teamId") == t, gold[i])), F.lit(0))
+    sums = chunks.groupBy("matchId", "chunk").agg(
+        F.max("length").alias("length"),
+        *[team(BLUE, i).alias(f"b{i}") for i in range(CHUNK)],
+        *[team(RED, i).alias(f"r{i}") for i in range(CHUNK)],
+    )
+    minutes = F.array(
+        *[
+            F.struct((first + i).alias("minute"), F.col(f"b{i}").alias("blueTeam"), F.col(f"r{i}").alias("redTeam"))
+            for i in range(CHUNK)
+        ]
+    )
     return (
-        minutes.groupBy("matchId", "minute")
-        .agg(team(BLUE).alias("blueTeam"), team(RED).alias("redTeam"))
-        .withColumn("difference", F.col("blueTeam") - F.col("redTeam"))
+        sums.select("matchId", "length", F.inline(minutes))
+        .where(F.col("minute") < F.col("length"))
+        .select("matchId", "minute", "blueTeam", "redTeam", (F.col("blueTeam") - F.col("redTeam")).alias("difference"))
     )
 
 

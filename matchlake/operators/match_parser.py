@@ -23,13 +23,21 @@ def match_rows(docs: DataFrame) -> DataFrame:
 
 
 def team_rows(docs: DataFrame) -> DataFrame:
-    """One row per team; documents without teams give none."""
-    return docs.select(F.col("metadata.matchId").alias("matchId"), F.explode("info.teams").alias("t")).select(
+    """One row per team; documents without teams give none.
+
+    With a column `objectives` (the match's objective list) each team also gets its own part of it.
+    """
+    timed = "objectives" in docs.columns
+    extra = [F.col("objectives")] if timed else []
+    rows = docs.select(F.col("metadata.matchId").alias("matchId"), F.explode("info.teams").alias("t"), *extra)
+    own = F.filter("objectives", lambda o: o["teamId"] == F.col("t.teamId"))
+    return rows.select(
         "matchId",
         F.col("t.teamId").alias("teamId"),
         F.col("t.win").alias("win"),
         banned_ids(F.col("t.bans")).alias("bans"),
         F.col("t.objectives").alias("objectives_summary"),
+        *([own.alias("objectives_timeline")] if timed else []),
     )
 
 
@@ -44,17 +52,22 @@ def match_bans(teams: DataFrame) -> DataFrame:
     return teams.select("matchId", F.explode("bans").alias("championId"))
 
 
-def _participants(docs: DataFrame) -> DataFrame:
+def _raw_participants(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("metadata.matchId").alias("matchId"), F.posexplode("info.participants").alias("pos", "raw")
-    ).select(
-        "matchId",
-        "pos",
-        F.from_json("raw", schemas.PARTICIPANT).alias("p"),
-        F.from_json("raw", "map<string,string>").alias("props"),
     )
 
 
+def _typed(raw: DataFrame) -> DataFrame:
+    """Parses the text of single participants (column raw): declared properties, and all as a map."""
+    return raw.withColumns(
+        {
+            "p": F.from_json("raw", schemas.PARTICIPANT),
+            "props": F.from_json("raw", "map<string,string>"),
+        }
+    ).drop("raw")
+
+
 def pings_of(props: Column) -> Column:
     """Numeric properties whose name ends in `Pings`."""
     numeric_ones = F.map_filter(props, lambda k, v: k.endswith("Pings") & v.try_cast("int").isNotNull())
@@ -63,7 +76,13 @@ def pings_of(props: Column) -> Column:
 
 def participant_rows(docs: DataFrame) -> DataFrame:
     """One row per participant, with its place in the document."""
-    return _participants(docs).select(
+    return participants_of(_raw_participants(docs))
+
+
+def participants_of(raw: DataFrame) -> DataFrame:
+    """Participant rows from (matchId, pos, raw); further columns stay."""
+    rest = [c for c in raw.columns if c not in ("matchId", "pos", "raw")]
+    return _typed(raw).select(
         "matchId",
         "pos",
         F.col("p.puuid").alias("puuid"),
@@ -86,6 +105,7 @@ def participant_rows(docs: DataFrame) -> DataFrame:
         F.col("p.challenges").alias("challenges"),
         pings_of(F.col("props")).alias("pings"),
         F.array("p.summoner1Id", "p.summoner2Id").alias("spells"),
+        *rest,
     )
 
 
@@ -95,7 +115,7 @@ def slim_participants(docs: DataFrame) -> DataFrame:
         "puuid", "championId", "championName", "teamId", "win", "kills", "deaths", "assists",
         "totalDamageDealtToChampions", "totalMinionsKilled", "neutralMinionsKilled", "goldEarned",
     ]
-    return _participants(docs).select(
+    return _typed(_raw_participants(docs)).select(
         "matchId",
         "pos",
         F.col("p.individualPosition").alias("position"),

@@ -1,7 +1,7 @@
 """Timeline documents to per-participant series, positions, items, skills, and match objectives.
 
 A timeline is one row, so everything is computed inside the row with array functions: no shuffle,
-no explode of frames or events. The only exchange of an ingest is the join with the match.
+no explode of frames or events.
 """
 
 from __future__ import annotations
@@ -117,15 +117,15 @@ def apply_undos(items: Column) -> Column:
     return F.when(F.exists(items, lambda e: e["type"] == "UNDO"), folded).otherwise(items.cast(schemas.ITEMS))
 
 
-def parse_timelines(timelines: DataFrame) -> DataFrame:
-    """One row per mapped participant with all series and histories."""
-    base = timelines.select(
-        F.col("metadata.matchId").alias("matchId"),
-        F.coalesce("metadata.participants", F.array()).alias("ids"),
-        F.col("info.frames").alias("frames"),
-    ).withColumn("frames", F.coalesce("frames", F.array()))
+def with_results(df: DataFrame) -> DataFrame:
+    """Replaces `ids` (participant list) and `frames` by `people` and `objectives`, computed inside the row.
+
+    `people` holds one struct per listed participant with all series and histories; other columns stay.
+    """
+    rest = [c for c in df.columns if c not in ("ids", "frames")]
+    base = df.withColumns({"ids": F.coalesce("ids", F.array()), "frames": F.coalesce("frames", F.array())})
     staged = base.select(
-        "matchId",
+        *rest,
         series_minutes(F.col("frames")).alias("minutes"),
         all_events(F.col("frames")).alias("events"),
         F.transform(
@@ -166,72 +166,90 @@ def parse_timelines(timelines: DataFrame) -> DataFrame:
             ),
         ),
     )
+    return minuted.select(
+        *rest,
+        F.transform("people", lambda q: _result(q, F.col("events"))).alias("people"),
+        objective_array(F.col("events")).alias("objectives"),
+    )
 
-    def result(q: Column) -> Column:
-        pid, series, events = q["pid"], q["byMinute"], F.col("events")
-        kill = lambda e: e["type"] == "CHAMPION_KILL"
-        early = lambda e: e["timestamp"] < SOLO_LIMIT_MS
-        solo_kills = F.filter(
-            events,
-            lambda e: (e["type"] == "CHAMPION_SPECIAL_KILL")
-            & (e["killType"] == "KILL_SOLO")
-            & (e["killerId"] == pid)
-            & early(e),
-        )
-        solo_deaths = F.filter(
-            events,
-            lambda e: kill(e)
-            & (e["victimId"] == pid)
-            & early(e)
-            & (F.coalesce(F.size(e["assistingParticipantIds"]), F.lit(0)) <= 0),
-        )
-        columns = {
-            "goldGraph": _series(series, lambda v: v["totalGold"]),
-            "xpGraph": _series(series, lambda v: v["xp"]),
-            "csGraph": _series(series, lambda v: v["minionsKilled"] + v["jungleMinionsKilled"]),
-            "damageGraph": _series(series, lambda v: v["damageStats"]["totalDamageDoneToChampions"]),
-            "deathPositions": _positions(events, lambda e: kill(e) & (e["victimId"] == pid)),
-            "killPositions": _positions(events, lambda e: kill(e) & (e["killerId"] == pid)),
-            "wardPositions": _wards(events, pid),
-            "pathingSample": F.transform(
-                q["own"],
-                lambda e: F.struct(
-                    e["v"]["position"]["x"].alias("x"), e["v"]["position"]["y"].alias("y"), e["time"].alias("time")
-                ),
-            ),
-            "skillOrder": F.transform(
-                F.filter(events, lambda e: (e["type"] == "SKILL_LEVEL_UP") & (e["participantId"] == pid)),
-                lambda e: skill_letter(e["skillSlot"]),
+
+def _result(q: Column, events: Column) -> Column:
+    pid, series = q["pid"], q["byMinute"]
+    kill = lambda e: e["type"] == "CHAMPION_KILL"
+    early = lambda e: e["timestamp"] < SOLO_LIMIT_MS
+    solo_kills = F.filter(
+        events,
+        lambda e: (e["type"] == "CHAMPION_SPECIAL_KILL")
+        & (e["killType"] == "KILL_SOLO")
+        & (e["killerId"] == pid)
+        & early(e),
+    )
+    solo_deaths = F.filter(
+        events,
+        lambda e: kill(e)
+        & (e["victimId"] == pid)
+        & early(e)
+        & (F.coalesce(F.size(e["assistingParticipantIds"]), F.lit(0)) <= 0),
+    )
+    columns = {
+        "goldGraph": _series(series, lambda v: v["totalGold"]),
+        "xpGraph": _series(series, lambda v: v["xp"]),
+        "csGraph": _series(series, lambda v: v["minionsKilled"] + v["jungleMinionsKilled"]),
+        "damageGraph": _series(series, lambda v: v["damageStats"]["totalDamageDoneToChampions"]),
+        "deathPositions": _positions(events, lambda e: kill(e) & (e["victimId"] == pid)),
+        "killPositions": _positions(events, lambda e: kill(e) & (e["killerId"] == pid)),
+        "wardPositions": _wards(events, pid),
+        "pathingSample": F.transform(
+            q["own"],
+            lambda e: F.struct(
+                e["v"]["position"]["x"].alias("x"), e["v"]["position"]["y"].alias("y"), e["time"].alias("time")
             ),
-            "itemTimeline": _item_log(events, pid),
-            "soloKills15": F.size(solo_kills),
-            "soloDeaths15": F.size(solo_deaths),
-        }
-        return F.struct(
-            q["puuid"].alias("puuid"),
-            pid.alias("participantId"),
-            *[columns[n].cast(t).alias(n) for n, t in schemas.TIMELINE_COLUMNS.items()],
+        ),
+        "skillOrder": F.transform(
+            F.filter(events, lambda e: (e["type"] == "SKILL_LEVEL_UP") & (e["participantId"] == pid)),
+            lambda e: skill_letter(e["skillSlot"]),
+        ),
+        # A one-element array binds the log to a name, so that it is built once.
+        "itemTimeline": F.get(F.transform(F.array(_item_log(events, pid)), apply_undos), F.lit(0)),
+        "soloKills15": F.size(solo_kills),
+        "soloDeaths15": F.size(solo_deaths),
+    }
+    return F.struct(
+        q["puuid"].alias("puuid"),
+        pid.alias("participantId"),
+        *[columns[n].cast(t).alias(n) for n, t in schemas.TIMELINE_COLUMNS.items()],
+    )
+
+
+def timeline_results(timelines: DataFrame) -> DataFrame:
+    """(matchId, people, objectives), one row per timeline."""
+    return with_results(
+        timelines.select(
+            F.col("metadata.matchId").alias("matchId"),
+            F.col("metadata.participants").alias("ids"),
+            F.col("info.frames").alias("frames"),
         )
+    )
+
 
-    flat = minuted.select("matchId", F.inline(F.transform("people", result)))
-    return flat.withColumn("itemTimeline", apply_undos(F.col("itemTimeline")))
+def parse_timelines(timelines: DataFrame) -> DataFrame:
+    """One row per mapped participant with all series and histories."""
+    return timeline_results(timelines).select("matchId", F.inline("people"))
 
 
 def objectives(timelines: DataFrame) -> DataFrame:
     """Elite monster and building kills, one row each, with their order in the match."""
+    events = all_events(F.coalesce("info.frames", F.array()))
     return (
-        timelines.select(
-            F.col("metadata.matchId").alias("matchId"), _objective_array(F.col("info.frames")).alias("objectives")
-        )
-        .select("matchId", F.posexplode("objectives").alias("place", "o"))
+        timelines.select(F.col("metadata.matchId").alias("matchId"), F.posexplode(objective_array(events)).alias("place", "o"))
         .select("matchId", "place", "o.*")
     )
 
 
-def _objective_array(frames: Column) -> Column:
+def objective_array(events: Column) -> Column:
     elite = lambda e: e["type"] == "ELITE_MONSTER_KILL"
     return F.transform(
-        F.filter(all_events(F.coalesce(frames, F.array())), lambda e: e["type"].isin("ELITE_MONSTER_KILL", "BUILDING_KILL")),
+        F.filter(events, lambda e: e["type"].isin("ELITE_MONSTER_KILL", "BUILDING_KILL")),
         lambda e: F.struct(
             F.when(elite(e), e["monsterType"])
             .when(e["buildingType"] == "INHIBITOR_BUILDING", F.lit("INHIBITOR"))
@@ -245,13 +263,6 @@ def _objective_array(frames: Column) -> Column:
     ).cast(schemas.OBJECTIVES)
 
 
-def match_objectives(timelines: DataFrame) -> DataFrame:
-    """One row per match with its objective array."""
-    return timelines.select(
-        F.col("metadata.matchId").alias("matchId"), _objective_array(F.col("info.frames")).alias("objectives")
-    )
-
-
 def classified_events(timelines: DataFrame) -> DataFrame:
     """Every event with its class flags and whether the parser uses it."""
     kind = F.col("e.type")
@@ -277,12 +288,3 @@ def attach_timelines(participants: DataFrame, parsed: DataFrame) -> DataFrame:
         for n, t in schemas.TIMELINE_COLUMNS.items()
     }
     return joined.withColumns(filled)
-
-
-def attach_objectives(teams: DataFrame, objectives_by_match: DataFrame) -> DataFrame:
-    """Teams with the objectives that carry their id."""
-    joined = teams.join(objectives_by_match, "matchId", "left")
-    own = F.filter("objectives", lambda o: o["teamId"] == F.col("teamId"))
-    return joined.withColumn(
-        "objectives_timeline", F.coalesce(own, F.array().cast(schemas.OBJECTIVES))
-    ).drop("objectives")

@@ -45,8 +45,8 @@ m AS (
   FROM orders),
 p AS (
   SELECT *, (k + a) / CASE WHEN dd = 0 THEN 1 ELSE dd END::DOUBLE AS kda, (team = 100) = (mid % 2 = 0) AS win,
-    (len - 1) * (4 + qty % 5) + (part + len - 1) % 3 AS last_cs,
-    CASE WHEN len > 15 THEN 15 * (4 + qty % 5) + (part + 15) % 3 ELSE 0 END AS cs15,
+    (len - 1) * (4 + qty % 5) + part % 3 AS last_cs,
+    CASE WHEN len > 15 THEN 15 * (4 + qty % 5) + part % 3 ELSE 0 END AS cs15,
     CASE WHEN len > 15 THEN 500 + 15 * (200 + part % 300) + (supp * 225) % 53 * 60 ELSE 0 END AS gold15,
     CASE WHEN len > 15 THEN 15 * (300 + supp % 200) ELSE 0 END AS xp15
   FROM (
@@ -306,7 +306,7 @@ _AVG = """
 sample AS (
   SELECT * FROM g WHERE queue = 420 QUALIFY row_number() OVER (PARTITION BY supp ORDER BY created DESC, mid, pos, champ, gold, damage) <= 100),
 avg_cs AS (
-  SELECT supp AS puuid, minute, floor(sum(minute * (4 + qty % 5) + (part + minute) % 3)::DOUBLE / count(*) + 0.5) AS value
+  SELECT supp AS puuid, minute, floor(sum(minute * (4 + qty % 5) + part % 3)::DOUBLE / count(*) + 0.5) AS value
   FROM (SELECT *, unnest(range(len)) AS minute FROM sample) GROUP BY supp, minute)
 """
 

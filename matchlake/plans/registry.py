@@ -217,19 +217,19 @@ def event_classes(spark, d):
     "cs15 bigint, skills bigint, items bigint, finalBuild string"
 )
 def ingested_participants(spark, d):
-    _, _, people = reports.ingested(match_docs(spark, d), timeline_docs(spark, d))
+    _, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
     return reports.laning_snapshot(people).withColumn("finalBuild", joined("finalBuild"))
 
 
 @query("matchId string, kind string, puuid string, championId bigint, x bigint, y bigint, timestamp bigint, minute bigint, type string, subType string, teamId bigint, killerId bigint")
 def match_events(spark, d):
-    _, teams, people = reports.ingested(match_docs(spark, d), timeline_docs(spark, d))
+    _, teams, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
     return details.match_events(people, teams)
 
 
 @query("matchId string, puuid string, championId bigint, championName string, items bigint, finalBuild string")
 def match_builds(spark, d):
-    _, _, people = reports.ingested(match_docs(spark, d), timeline_docs(spark, d))
+    _, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
     return details.match_builds(people).withColumns({"items": F.size("itemTimeline"), "finalBuild": joined("finalBuild")})
 
 

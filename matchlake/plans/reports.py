@@ -19,6 +19,7 @@ from matchlake.operators import (
     tiers,
     timeline_parser,
 )
+from matchlake.sources import schemas
 
 RANKED = 420
 
@@ -190,20 +191,31 @@ def compare_timelines(
     return compare.compare_timelines(pairs, compare.average_timeline(compare.timeline_games(games), column))
 
 
-def ingested(match_docs: DataFrame, timeline_docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, teams, participants) of the documents. A match without a timeline is left out.
+def paired(match_docs: DataFrame, timeline_docs: DataFrame) -> DataFrame:
+    """Match documents with the results of their timelines. A match without a timeline is left out.
 
-    Both kinds of documents are parsed inside their rows; they meet once, by match.
+    Timelines are reduced to their results inside their rows first, so the one join moves those and no frames.
     """
-    with_timeline = timeline_docs.select(F.col("metadata.matchId").alias("matchId"))
-    kept = match_docs.join(with_timeline, match_docs["metadata.matchId"] == with_timeline["matchId"], "left_semi")
-    teams = timeline_parser.attach_objectives(
-        match_parser.team_rows(kept), timeline_parser.match_objectives(timeline_docs)
-    )
-    people = timeline_parser.attach_timelines(
-        match_parser.participant_rows(kept), timeline_parser.parse_timelines(timeline_docs)
+    docs = match_docs.withColumn("matchId", F.col("metadata.matchId"))
+    return docs.join(timeline_parser.timeline_results(timeline_docs), "matchId")
+
+
+def ingested(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, teams, participants) of paired documents. Nothing is shuffled."""
+    empty = {n: F.array().cast(t) if t.startswith("array") else F.lit(0) for n, t in schemas.TIMELINE_COLUMNS.items()}
+
+    def with_timeline(raw, pos):
+        # The participant's entry is found by player id within the row.
+        own = F.filter("people", lambda q: q["puuid"] == F.get_json_object(raw, "$.puuid"))
+        return F.struct(pos.alias("pos"), raw.alias("raw"), F.get(own, F.lit(0)).alias("t"))
+
+    raw = docs.select("matchId", F.inline(F.transform("info.participants", with_timeline)))
+    people = match_parser.participants_of(raw)
+    people = people.select(
+        *[c for c in people.columns if c != "t"],
+        *[F.coalesce(F.col(f"t.{n}"), e).alias(n) for n, e in empty.items()],
     )
-    return match_parser.match_rows(kept), teams, people
+    return match_parser.match_rows(docs), match_parser.team_rows(docs), people
 
 
 def laning_snapshot(participants: DataFrame) -> DataFrame:

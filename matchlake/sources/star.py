@@ -51,10 +51,10 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files are too few to do so; files with enough splits stay as they are."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores by key when the files are too few for that; files with enough splits stay as they are."""
     cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = F.when(F.col("l_linestatus") == "O", 100).otherwise(200)
     roles = F.array(*[F.lit(r) for r in LANES])
     kills, deaths, assists = (qty % 15).cast("int"), (part % 11).cast("int"), (supp % 20).cast("int")
-    rows = spread(table(spark, sf_dir, "lineitem")).select(
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         order.alias("matchId"),
         (line.cast("long") * 1_000_000_000_000 + part).alias("pos"),
         supp.alias("puuid"),
@@ -79,23 +79,27 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
         _int(price / 3).alias("totalDamage"),
         (_div(price, 5) + part % 1000).cast("int").alias("damageTaken"),
         (supp % 60 + line).cast("int").alias("visionScore"),
-        F.sequence(F.lit(0), (14 + order % 31 - F.when(line == 7, 1).otherwise(0)).cast("int")).alias("m"),
+        (14 + order % 31 - F.when(line == 7, 1).otherwise(0)).cast("int").alias("_last"),
         (200 + part % 300).cast("int").alias("_gold"),
         (300 + supp % 200).cast("int").alias("_xp"),
         (4 + qty % 5).cast("int").alias("_cs"),
         (100 + part % 500).cast("int").alias("_damage"),
-        (part % 3).cast("int").alias("_p"),
+        (part % 3).cast("int").alias("_first"),
         (supp % 53).cast("int").alias("_s"),
     )
-    each = lambda value: F.transform("m", value)
+    last = F.col("_last")
+    rising = lambda start, step: F.sequence(start, start + last * F.col(step), F.col(step))
+    swings = F.transform(
+        F.sequence(F.lit(0), last), lambda m: m * F.col("_gold") + F.col("_s") * m * m % 53 * 60 + 500
+    )
     return rows.withColumns(
         {
-            "goldGraph": each(lambda m: m * F.col("_gold") + F.col("_s") * m * m % 53 * 60 + 500),
-            "xpGraph": each(lambda m: m * F.col("_xp")),
-            "csGraph": each(lambda m: m * F.col("_cs") + (F.col("_p") + m) % 3),
-            "damageGraph": each(lambda m: m * F.col("_damage")),
+            "goldGraph": swings,
+            "xpGraph": rising(F.lit(0), "_xp"),
+            "csGraph": rising(F.col("_first"), "_cs"),
+            "damageGraph": rising(F.lit(0), "_damage"),
         }
-    ).drop("m", "_gold", "_xp", "_cs", "_damage", "_p", "_s")
+    ).drop("_last", "_gold", "_xp", "_cs", "_damage", "_first", "_s")
 
 
 def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +254,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their block. A block is 60 consecutive event ids, whatever the size of the table."""
-    return spread(table(spark, sf_dir, "events")).select(
+    rows = table(spark, sf_dir, "events").select(
         _div(F.col("event_id"), BLOCK).alias("block"),
         (F.col("event_id") % BLOCK).cast("int").alias("i"),
         F.col("user_id").cast("int").alias("u"),
@@ -259,6 +263,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         epoch_ms("ts").alias("ts_ms"),
     )
+    return spread(rows, "block")
 
 
 def _match_id() -> Column:

@@ -6,8 +6,10 @@ text. Records without a timeline are skipped, as are matches the store already h
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from matchlake.operators.timeline_parser import with_results
 from matchlake.plans.reports import ingested
 from matchlake.sources import schemas
 from matchlake.sources.store import MatchStore
@@ -15,17 +17,25 @@ from matchlake.sources.store import MatchStore
 LANDED = "match string, timeline string"
 
 
-def typed(records: DataFrame) -> DataFrame:
-    """Both documents parsed, one row per match id. Unreadable records and those without a timeline fall out."""
-    return (
+def parsed(records: DataFrame) -> DataFrame:
+    """Both documents of a record parsed and paired inside its row, then one row per match id.
+
+    Unreadable records and those without a timeline fall out.
+    """
+    docs = (
         records.select(
-            F.from_json("match", schemas.MATCH).alias("match"),
-            F.from_json("timeline", schemas.TIMELINE).alias("timeline"),
+            F.from_json("match", schemas.MATCH).alias("m"), F.from_json("timeline", schemas.TIMELINE).alias("t")
+        )
+        .where(F.col("m.metadata.matchId").isNotNull() & (F.col("t.metadata.matchId") == F.col("m.metadata.matchId")))
+        .select(
+            F.col("m.metadata.matchId").alias("matchId"),
+            F.col("m.metadata").alias("metadata"),
+            F.col("m.info").alias("info"),
+            F.col("t.metadata.participants").alias("ids"),
+            F.col("t.info.frames").alias("frames"),
         )
-        .select(F.col("match.metadata.matchId").alias("matchId"), "match", "timeline")
-        .where(F.col("matchId").isNotNull() & (F.col("timeline.metadata.matchId") == F.col("matchId")))
-        .dropDuplicates(["matchId"])
     )
+    return with_results(docs).dropDuplicates(["matchId"])
 
 
 def unseen(docs: DataFrame, store: MatchStore) -> DataFrame:
@@ -34,7 +44,7 @@ def unseen(docs: DataFrame, store: MatchStore) -> DataFrame:
     A match keeps its creation time, so only stored rows within the batch's range of times are looked at;
     the bounds reach the Parquet footers and skip the files of other times.
     """
-    low, high = docs.agg(F.min("match.info.gameCreation"), F.max("match.info.gameCreation")).first()
+    low, high = docs.agg(F.min("info.gameCreation"), F.max("info.gameCreation")).first()
     known = store.table("matches").where(F.col("gameCreation").between(F.lit(low), F.lit(high)))
     return docs.join(known.select("matchId"), "matchId", "left_anti")
 
@@ -44,10 +54,9 @@ def ingest(records: DataFrame, store: MatchStore, batch: int) -> None:
     last, _ = store.state()
     if batch <= last:
         return
-    docs = typed(records).persist()
-    new = unseen(docs, store)
-    matches, teams, participants = ingested(new.select("match.*"), new.select("timeline.*"))
-    store.save(batch, matches, teams, participants)
+    # Parsed once, read for the time bounds and for each of the three tables. Lost blocks are parsed again.
+    docs = parsed(records).persist(StorageLevel.MEMORY_AND_DISK)
+    store.save(batch, *ingested(unseen(docs, store)))
     docs.unpersist()
 
 
