@@ -11,6 +11,7 @@ CHAMPION_KEYS = ["championId", "patch", "queueId"]
 CHAMPION_SUMS = ["gamesPlayed", "timedGames", "wins", "kdaMicros", "dpmMicros", "gpmMicros", "cspmMicros"]
 
 
+MATCH_COLUMNS = ["patch", "queueId", "gameVersion", "gameCreation", "gameDuration"]
 SERIES = ["goldGraph", "xpGraph", "csGraph", "damageGraph"]
 
 
@@ -21,11 +22,15 @@ def with_last_cs(participants: DataFrame) -> DataFrame:
     return participants.withColumn("lastCs", last_or_zero("csGraph")).drop(*SERIES)
 
 
+def with_match(participants: DataFrame, matches: DataFrame, names: list[str] = MATCH_COLUMNS) -> DataFrame:
+    """Participants with match columns. Stored participants carry them already and are not joined again."""
+    missing = [n for n in names if n not in participants.columns]
+    return participants.join(matches.select("matchId", *missing), "matchId") if missing else participants
+
+
 def game_rows(participants: DataFrame, matches: DataFrame) -> DataFrame:
     """Participants, without series, with the match columns every aggregate needs and their per-minute rates."""
-    participants = with_last_cs(participants)
-    m = matches.select("matchId", "patch", "queueId", "gameVersion", "gameCreation", "gameDuration")
-    return with_rates(participants.join(m, "matchId"))
+    return with_rates(with_match(with_last_cs(participants), matches))
 
 
 def with_rates(games: DataFrame) -> DataFrame:
@@ -105,10 +110,9 @@ def champion_stats_of(participants: DataFrame, matches: DataFrame, teams: DataFr
 
 def champion_totals(participants: DataFrame, matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Plain sums per patch and champion, with the number of bans."""
-    m = matches.select("matchId", "patch", "gameDuration")
+    m = matches.select("matchId", "patch")
     played = (
-        with_last_cs(participants)
-        .join(m, "matchId")
+        with_match(with_last_cs(participants), matches, ["patch", "gameDuration"])
         .groupBy("patch", "championId")
         .agg(
             F.count("*").alias("gamesPlayed"),

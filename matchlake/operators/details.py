@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from matchlake.functions.numeric import per_minute, rnd
 from matchlake.functions.timeparts import minute_of
-from matchlake.operators.champion_stats import with_last_cs
+from matchlake.operators.champion_stats import with_last_cs, with_match
 from matchlake.operators.lanes import lane_opponents
 
 FINAL_ITEMS = 6
@@ -19,7 +19,7 @@ def match_detail(matches: DataFrame, teams: DataFrame, participants: DataFrame)
     and ten participants.
     """
     t = teams.groupBy("matchId").agg(
-        F.sort_array(F.collect_list(F.struct(*[c for c in teams.columns if c != "matchId"]))).alias("teams")
+        F.sort_array(F.collect_list(F.struct(*[c for c in teams.columns if c not in ("matchId", "patch")]))).alias("teams")
     )
     names = ["pos", *[c for c in participants.columns if c not in ("matchId", "pos")]]
     p = participants.groupBy("matchId").agg(F.collect_list(F.struct(*names)).alias("participants"))
@@ -149,7 +149,7 @@ def player_metrics(games: DataFrame) -> DataFrame:
 
 def match_performance(participants: DataFrame, matches: DataFrame) -> DataFrame:
     """Metrics of every participant, of the lane opponent, and their comparison (on the rounded values)."""
-    games = with_last_cs(participants).join(matches.select("matchId", "gameDuration"), "matchId")
+    games = with_match(with_last_cs(participants), matches, ["gameDuration"])
     fields = ["championId", "role", "kda", *METRICS]
     rows = lane_opponents(player_metrics(games), [f for f in fields if f != "role"])
     own = lambda n: F.col(n)

@@ -29,10 +29,16 @@ def team_rows(docs: DataFrame) -> DataFrame:
     """
     timed = "objectives" in docs.columns
     extra = [F.col("objectives")] if timed else []
-    rows = docs.select(F.col("metadata.matchId").alias("matchId"), F.explode("info.teams").alias("t"), *extra)
+    rows = docs.select(
+        F.col("metadata.matchId").alias("matchId"),
+        patches.extract_patch("info.gameVersion").alias("patch"),
+        F.explode("info.teams").alias("t"),
+        *extra,
+    )
     own = F.filter("objectives", lambda o: o["teamId"] == F.col("t.teamId"))
     return rows.select(
         "matchId",
+        "patch",
         F.col("t.teamId").alias("teamId"),
         F.col("t.win").alias("win"),
         banned_ids(F.col("t.bans")).alias("bans"),

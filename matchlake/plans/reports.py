@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from matchlake.functions.numeric import at_or_zero, last_or_zero
-from matchlake.functions.patches import ALL_PATCHES, filter_patch, previous_patch
+from matchlake.functions.patches import ALL_PATCHES, extract_patch, filter_patch, previous_patch
 from matchlake.functions.text import normalise_name, role_alias
 from matchlake.operators import (
     activity,
@@ -131,8 +131,9 @@ def player_roles(
 
 
 def _games(participants, matches, patch, match, queue_id) -> DataFrame:
-    kept = filter_patch(matches, patch, match).where(F.col("queueId") == queue_id)
-    return participants.join(kept.select("matchId", "gameCreation", "queueId"), "matchId")
+    """Games of a patch and queue. The conditions reach the side that holds the columns."""
+    games = champions.with_match(participants, matches, ["patch", "queueId", "gameVersion", "gameCreation"])
+    return filter_patch(games, patch, match).where(F.col("queueId") == queue_id)
 
 
 def player_activity(
@@ -143,9 +144,11 @@ def player_activity(
 
 
 def player_games(participants: DataFrame, matches: DataFrame, **filters) -> DataFrame:
-    """Filtered history rows. Match filters run before the join."""
-    m = matches.select("matchId", "gameCreation", "gameDuration", "queueId")
-    return history.history_rows(history.filter_history(champions.with_last_cs(participants).join(m, "matchId"), **filters))
+    """Filtered history rows."""
+    games = champions.with_match(
+        champions.with_last_cs(participants), matches, ["gameCreation", "gameDuration", "queueId"]
+    )
+    return history.history_rows(history.filter_history(games, **filters))
 
 
 def player_profile(users: DataFrame) -> DataFrame:
@@ -201,7 +204,10 @@ def paired(match_docs: DataFrame, timeline_docs: DataFrame) -> DataFrame:
 
 
 def ingested(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, teams, participants) of paired documents. Nothing is shuffled."""
+    """(matches, teams, participants) of paired documents. Nothing is shuffled.
+
+    Participants carry the columns of their match that reports filter and divide by.
+    """
     empty = {n: F.array().cast(t) if t.startswith("array") else F.lit(0) for n, t in schemas.TIMELINE_COLUMNS.items()}
 
     def with_timeline(raw, pos):
@@ -209,7 +215,13 @@ def ingested(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         own = F.filter("people", lambda q: q["puuid"] == F.get_json_object(raw, "$.puuid"))
         return F.struct(pos.alias("pos"), raw.alias("raw"), F.get(own, F.lit(0)).alias("t"))
 
-    raw = docs.select("matchId", F.inline(F.transform("info.participants", with_timeline)))
+    carried = [c for c in champions.MATCH_COLUMNS if c != "patch"]
+    raw = docs.select(
+        "matchId",
+        extract_patch("info.gameVersion").alias("patch"),
+        *[F.col(f"info.{c}").alias(c) for c in carried],
+        F.inline(F.transform("info.participants", with_timeline)),
+    )
     people = match_parser.participants_of(raw)
     people = people.select(
         *[c for c in people.columns if c != "t"],

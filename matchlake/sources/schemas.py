@@ -112,11 +112,11 @@ MATCHES = _schema(
     "gameVersion string, mapId int, hasTimeline boolean, patch string"
 )
 TEAMS = _schema(
-    f"matchId string, teamId int, win boolean, bans array<int>, "
+    f"matchId string, patch string, teamId int, win boolean, bans array<int>, "
     f"objectives_summary {OBJECTIVES_SUMMARY}, objectives_timeline {OBJECTIVES}"
 )
 PARTICIPANTS = _schema(
-    "matchId string, pos int, puuid string, summonerName string, championId int, championName string, "
+    "matchId string, patch string, queueId int, gameVersion string, gameCreation bigint, gameDuration int, pos int, puuid string, summonerName string, championId int, championName string, "
     "teamId int, role string, lane string, win boolean, kills int, deaths int, assists int, kda double, "
     "goldEarned int, totalDamage int, damageTaken int, visionScore int, "
     f"runes {RUNES}, challenges string, pings map<string, int>, spells array<int>, "

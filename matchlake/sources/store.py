@@ -1,6 +1,6 @@
 """The stored tables: appended batches, mergeable aggregates, and a commit that makes a batch visible.
 
-Layout below the root, all Parquet, every table partitioned by batch:
+Layout below the root, all Parquet, every table in folders by batch and below that by patch:
 
     matches, teams, participants      rows of the batch
     <partials>                        partial sums of the batch alone
@@ -15,7 +15,10 @@ partial sums since. Writing a batch therefore costs what the batch holds, not wh
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from matchlake.operators import champion_stats as champions, collection, player_stats as players
 from matchlake.sources import schemas
@@ -44,8 +47,8 @@ COMMITS = "snapshot bigint"
 
 def _shaped(df: DataFrame, ddl: str) -> DataFrame:
     """The columns of a schema in its order and types."""
-    empty = df.sparkSession.createDataFrame([], ddl).schema
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.fields])
+    fields = StructType.fromDDL(ddl).fields
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 class MatchStore:
@@ -62,9 +65,8 @@ class MatchStore:
 
     def create(self) -> "MatchStore":
         """Writes an empty batch -1 of every table."""
-        for name, ddl in self.tables.items():
-            if name != "commits":
-                self._write(self.spark.createDataFrame([], ddl), name, -1)
+        names = [n for n in self.tables if n != "commits"]
+        self._write_all({n: self.spark.createDataFrame([], self.tables[n]) for n in names}, -1)
         self._commit(-1, -1)
         return self
 
@@ -74,7 +76,19 @@ class MatchStore:
         return f"{self.root}/{name}/batch={batch}"
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        _shaped(df, self.tables[name]).write.mode("overwrite").parquet(self._path(name, batch))
+        out = _shaped(df, self.tables[name])
+        if name == "participants":
+            # A player's rows lie together, so a lookup by player skips most row groups.
+            out = out.sortWithinPartitions("patch", "puuid")
+        writer = out.write.mode("overwrite")
+        if "patch" in out.columns:
+            writer = writer.partitionBy("patch")
+        writer.parquet(self._path(name, batch))
+
+    def _write_all(self, frames: dict[str, DataFrame], batch: int) -> None:
+        """Independent tables as jobs side by side, so that the tail of one is filled by the next."""
+        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+            list(pool.map(lambda item: self._write(item[1], item[0], batch), frames.items()))
 
     def _commit(self, batch: int, snapshot: int) -> None:
         row = self.spark.range(1).select(F.lit(snapshot).cast("long").alias("snapshot"))
@@ -82,8 +96,7 @@ class MatchStore:
 
     def save(self, batch: int, matches: DataFrame, teams: DataFrame, participants: DataFrame) -> None:
         """Stores one batch of new matches with its partial sums, then commits it."""
-        for name, df in (("participants", participants), ("teams", teams), ("matches", matches)):
-            self._write(df, name, batch)
+        self._write_all({"participants": participants, "teams": teams, "matches": matches}, batch)
         # The aggregates start from the written rows: nothing is parsed twice, and the lineage ends here.
         m, t, p = (self._batch(n, batch) for n in ("matches", "teams", "participants"))
         games = champions.game_rows(players.with_laning(p), m)
@@ -93,12 +106,10 @@ class MatchStore:
             "match_partials": champions.match_partials(m),
             "player_partials": players.player_partials(games),
         }
-        for name, df in parts.items():
-            self._write(df, name, batch)
+        self._write_all(parts, batch)
         last, snapshot = self.state()
         if batch - snapshot >= self.compact_every:
-            for name in PARTIALS:
-                self._write(self._merged(name, snapshot, batch), f"{name}_snapshot", batch)
+            self._write_all({f"{n}_snapshot": self._merged(n, snapshot, batch) for n in PARTIALS}, batch)
             snapshot = batch
         self._commit(batch, snapshot)
 
