@@ -31,8 +31,9 @@ def recent_match_ids(
     # A player is in a match once; repeats of a pair would take up places.
     once = played.groupBy("puuid", "matchId").agg(F.max("gameCreation").alias("gameCreation"))
     w = Window.partitionBy("puuid").orderBy(F.desc("gameCreation"), F.desc("matchId"))
-    ranked = once.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < start + count)
-    return ranked.where(F.col("place") >= start).select("puuid", "place", "matchId")
+    # The bound is on the bare row number: only so is it pushed below the shuffle.
+    ranked = once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= start + count)
+    return ranked.where(F.col("rank") > start).select("puuid", (F.col("rank") - 1).alias("place"), "matchId")
 
 
 def new_ids(ids: DataFrame, stored: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from matchlake.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", partitions=4, **{"spark.driver.memory": "8g"})
+    # Tiny inputs: compiling the generated code would take most of the time.
+    conf = {"spark.driver.memory": "8g", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    session = build_session("tests", "local[8]", partitions=4, **conf)
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -54,11 +54,11 @@ def whole(spark, tmp_path_factory):
 
 def test_any_split_gives_the_same_aggregates(spark, whole, tmp_path):
     store = MatchStore(spark, str(tmp_path), compact_every=2).create()
-    for batch, part in enumerate(([0, 1], [2], [1, 3, 4, 4], [5, 6, 7, 8], [9, 10, 11, 0])):
+    for batch, part in enumerate(([0, 1, 2], [1, 3, 4, 4, 5, 6], [7, 8, 9, 10, 11, 0])):
         ingest.ingest(frame(spark, [record(i) for i in part]), store, batch)
     assert state(store) == state(whole)
     assert store.table("matches").count() == 12 and store.table("participants").count() == 120 and store.table("teams").count() == 24
-    assert store.state() == (4, 3)  # the snapshot was renewed along the way
+    assert store.state() == (2, 1)  # the snapshot was renewed along the way
 
 
 def test_committed_batches_are_skipped_and_broken_ones_rewritten(spark, whole, tmp_path):
@@ -94,9 +94,9 @@ def test_stream_equals_batch(spark, whole, tmp_path):
     for wave in (range(0, 5), range(3, 12)):
         for i in wave:
             (landing / f"{wave.start}-{i}.json").write_text(json.dumps(record(i)))
-        ingest.run_available(spark, str(landing), store, files_per_trigger=4)
+        ingest.run_available(spark, str(landing), store, files_per_trigger=6)
     assert state(store) == state(whole)
-    assert store.state()[0] >= 3
+    assert store.state()[0] >= 2
 
 
 def test_players_table(spark, tmp_path):
