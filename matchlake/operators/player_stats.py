@@ -105,8 +105,15 @@ def top_champions(partials: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def player_partials_of(participants: DataFrame, matches: DataFrame) -> DataFrame:
-    return player_partials(game_rows(with_laning(participants), matches))
+def without_laning(participants: DataFrame) -> DataFrame:
+    """The laning columns left empty, for reports that do not show them: saves the search for the opponent."""
+    none = {name: F.lit(None).cast("long") for name in LANING}
+    return with_last_cs(participants).withColumns({"hasOpponent": F.lit(False), **none})
+
+
+def player_partials_of(participants: DataFrame, matches: DataFrame, laning: bool = True) -> DataFrame:
+    rows = with_laning(participants) if laning else without_laning(participants)
+    return player_partials(game_rows(rows, matches))
 
 
 def role_report(games: DataFrame) -> DataFrame:
