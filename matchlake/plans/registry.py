@@ -604,7 +604,7 @@ def compare_timelines(spark, d):
 @query("puuid bigint, minute bigint, value bigint")
 def average_gold(spark, d):
     return compare.average_timeline(
-        compare.timeline_games(reports._games(star.participants(spark, d), star.matches(spark, d), "ALL", "exact", 420)),
+        compare.timeline_games(reports.patch_games(star.participants(spark, d), star.matches(spark, d), "ALL", "exact", 420)),
         "goldGraph",
     )
 

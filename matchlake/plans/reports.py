@@ -127,10 +127,10 @@ def player_champions(
 def player_roles(
     participants: DataFrame, matches: DataFrame, patch: str = ALL_PATCHES, match: str = "exact", queue_id: int = RANKED
 ) -> DataFrame:
-    return players.role_report(_games(participants, matches, patch, match, queue_id))
+    return players.role_report(patch_games(participants, matches, patch, match, queue_id))
 
 
-def _games(participants, matches, patch, match, queue_id) -> DataFrame:
+def patch_games(participants, matches, patch, match, queue_id) -> DataFrame:
     """Games of a patch and queue. The conditions reach the side that holds the columns."""
     games = champions.with_match(participants, matches, ["patch", "queueId", "gameVersion", "gameCreation"])
     return filter_patch(games, patch, match).where(F.col("queueId") == queue_id)
@@ -140,7 +140,7 @@ def player_activity(
     participants: DataFrame, matches: DataFrame, patch: str = ALL_PATCHES, match: str = "exact", queue_id: int = RANKED
 ) -> DataFrame:
     """Observed activity cells; feed them to activity.heatmap and activity.activity_insights."""
-    return activity.activity_cells(_games(participants, matches, patch, match, queue_id))
+    return activity.activity_cells(patch_games(participants, matches, patch, match, queue_id))
 
 
 def player_games(participants: DataFrame, matches: DataFrame, **filters) -> DataFrame:
@@ -186,7 +186,7 @@ def compare_timelines(
     champion_id: int | None = None,
     queue_id: int = RANKED,
 ) -> DataFrame:
-    games = _games(participants, matches, patch, "exact", queue_id)
+    games = patch_games(participants, matches, patch, "exact", queue_id)
     if role:
         games = games.where(F.col("role") == role_alias(role))
     if champion_id:
