@@ -32,9 +32,16 @@ def build_session(app: str = "matchlake", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the one named in spark.checkpoint.dir, a fresh local one only if unset."""
+    """Folder all executors can reach: the one named in spark.checkpoint.dir.
+
+    Only a local master may do without: it gets a fresh local folder. Elsewhere an unset folder is an error, as the
+    executors would write where nobody else reads.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
         path = tempfile.mkdtemp(prefix="matchlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
