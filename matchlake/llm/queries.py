@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import mixing, token_files
+from matchlake.llm import mixing, quality, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -67,3 +67,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (rounds + CASE WHEN upto - own < rest AND (upto < rest OR upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sums
 """
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each document to be good by the text view, the page view and both, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
