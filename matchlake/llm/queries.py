@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import mixing, quality, token_files
+from matchlake.llm import mixing, quality, secrets_scan, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -74,3 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each document to be good by the text view, the page view and both, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by the base patterns and by the network."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets_scan.scan(docs, secrets_scan.fit(docs))
