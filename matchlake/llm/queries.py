@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import mixing, quality, secrets_scan, token_files
+from matchlake.llm import mixing, pieces, quality, secrets_scan, token_counts, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -14,6 +14,7 @@ ORACLE: dict[str, str] = {}
 
 #: Parameters of the queries: vocabulary files and the id that ends a document.
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -81,3 +82,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, by the base patterns and by the network."""
     docs = table(spark, sf_dir, "documents")
     return secrets_scan.scan(docs, secrets_scan.fit(docs))
+
+
+@query
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document: number, CRC, and whether they decode to the text."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+@query
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every section of every document, the document encoded as a whole."""
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
