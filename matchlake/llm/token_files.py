@@ -27,6 +27,8 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
     "compression": "zstd",
 }
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 8 << 20
 SCHEMA = "file int, doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 
@@ -38,14 +40,14 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, start = encoder(tokenizer), 0
-        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in by_bytes(batch):
-                ids = [np.append(x, end) for x in bpe.encode(part["text"].to_pylist())]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            for part in by_bytes(batch, ENCODE_BYTES):
+                ids, counts = bpe.encode_flat(part["text"])
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                sizes = counts + 1
                 ends = np.cumsum(sizes)
                 offsets = pa.array(np.concatenate(([0], ends)), type=pa.int32())
-                values = pa.array(np.concatenate(ids).astype(np.int32))
+                values = pa.array(ids.view(np.int32))
                 yield pa.record_batch(
                     [part["file"], part["doc_id"], pa.array(start + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)],
                     names=["file", "doc_id", "start_in_file", "n_tokens", "ids"],
