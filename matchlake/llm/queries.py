@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchlake.llm import mixing, pieces, quality, secrets_scan, token_counts, token_files
+from matchlake.llm import fingerprints, licenses, mixing, pieces, quality, secrets_scan, token_counts, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -94,3 +95,17 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every section of every document, the document encoded as a whole."""
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document, of its edited text, and how alike they are."""
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that holds for each document; it lies in a folder of its source, language and hundred of ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 AS string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.withColumn("path", path))
