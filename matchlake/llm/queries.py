@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import fingerprints, licenses, mixing, pieces, quality, secrets_scan, token_counts, token_files
+from matchlake.llm import fingerprints, licenses, mixing, near_dups, pieces, quality, secrets_scan, token_counts, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -109,3 +109,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 AS string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs.withColumn("path", path))
+
+
+@query
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that are alike by 85 of 100 of their shingles of five words."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), 85)
