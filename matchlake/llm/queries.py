@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import fingerprints, licenses, mixing, near_dups, pieces, quality, secrets_scan, token_counts, token_files
+from matchlake.llm import embedding_dups, fingerprints, licenses, mixing, near_dups, pieces, quality, secrets_scan, token_counts, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
@@ -115,3 +115,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that are alike by 85 of 100 of their shingles of five words."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+@query
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings with a cosine of 0.9 and more."""
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
