@@ -27,9 +27,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def document_hash(*keys: Column) -> Column:
-    """60 bits of the MD5 of the keys as text, as a whole number from 0."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(key: Column) -> Column:
+    """60 bits of the MD5 of the key as text, as a whole number from 0; a null key counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -95,35 +95,43 @@ def _end(prefix: Column, level: int) -> Column:
     return F.shiftleft(prefix + 1, HASH_BITS - sum(LEVELS[:level]))
 
 
-def mix(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source") -> DataFrame:
-    """The documents' keys with size, source_size, target and taken, the words that the mixture takes of each.
-
-    A document is taken whole, 0 to MOST_ROUNDS times. Rows that agree in all keys have one hash and are taken alike.
-    A null source is a source, the last one; a null text has size 0 and is taken 0 words; no rows give no rows. A
-    source's taken words differ from its target by at most half of the document, or of the rows of one key, that
-    stands at the threshold.
-    """
-    name = {k: f"key{i}" for i, k in enumerate(keys)}
-    narrow = docs.select(*[F.col(k).alias(n) for k, n in name.items()], F.col(source).cast("string").alias("source"), n_words(utf8(text)).alias("size"))
-    rows = written(narrow.withColumn("hash", document_hash(*[F.col(n) for n in name.values()])), "mix-sizes")
+def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """The narrow rows (key, source, size, hash), and for each source its size, target, whole rounds and threshold."""
+    narrow = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(utf8(text)).alias("size"))
+    rows = written(narrow.withColumn("hash", document_hash(F.col("key"))), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = written(targets(sizes), "mix-targets")
     rounds = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_ROUNDS))
     plan = plan.withColumn("rounds", F.when(F.col("source_size") > 0, rounds).otherwise(F.lit(0)).cast("long"))
     budgets = plan.select("source", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"))
     limits = thresholds(rows, budgets).withColumnRenamed("source", "limit_source")
-    plan = written(plan.join(limits, F.col("limit_source").eqNullSafe(F.col("source")), "left").drop("limit_source"), "mix-plan")
-    plan = plan.withColumnRenamed("source", "plan_source")
-    taken = F.col("size") * (F.col("rounds") + (F.col("hash") < F.coalesce(F.col("below"), F.lit(0))).cast("long"))
+    plan = plan.join(limits, F.col("limit_source").eqNullSafe(F.col("source")), "left")
+    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "rounds", F.coalesce("below", F.lit(0).cast("long")).alias("below"))
+    return rows, written(plan, "mix-plan")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The key of each row with size, source_size, target and taken, the words that the mixture takes of it.
+
+    A document is taken whole, 0 to MOST_ROUNDS times. Rows of one key have one hash and are taken alike. A null source
+    is a source, the last one; a null text has size 0 and is taken 0 words; no rows give no rows. A source's taken words
+    differ from its target by at most half of the document, or of the rows of one key, that stands at the threshold.
+    """
+    rows, plan = planned(docs, key, text, source)
+    taken = F.col("size") * (F.col("rounds") + (F.col("hash") < F.col("below")).cast("long"))
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")), "left")
-    return out.select(*[F.col(n).alias(k) for k, n in name.items()], "size", "source_size", "target", taken.alias("taken"))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
 
 
-def apply(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The documents as often as the mixture takes them, with their own columns."""
-    word_count, mixed = fresh_name(docs, "mix_taken"), fresh_name(docs, "mix_key")
-    copies = mix(docs, (key,), text, source).where("taken > 0").groupBy(key)
-    copies = copies.agg(F.max(F.expr("taken div size")).alias(word_count)).withColumnRenamed(key, mixed)
-    rows = docs.join(copies, F.col(key).eqNullSafe(F.col(mixed)))
-    round_ = fresh_name(rows, "mix_round")
-    return rows.withColumn(round_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(word_count)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents as often as the mixture takes them, with their own columns; those without words are not taken.
+
+    Whether a document is below its source's threshold shows on its own row, so the texts are not shuffled.
+    """
+    plan = planned(docs, key, text, source)[1].select("plan_source", "rounds", "below")
+    names = {c: fresh_name(docs, f"mix_{c}") for c in plan.columns}
+    rows = docs.join(plan.withColumnsRenamed(names), F.col(f"`{source}`").cast("string").eqNullSafe(F.col(names["plan_source"])))
+    times = F.col(names["rounds"]) + (document_hash(F.col(f"`{key}`")) < F.col(names["below"])).cast("long")
+    times = F.when(utf8(text).rlike(WORD), times).otherwise(F.lit(0))
+    again = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)))
+    return rows.withColumn(fresh_name(rows, "mix_round"), again).select(*[F.col(f"`{c}`") for c in docs.columns])

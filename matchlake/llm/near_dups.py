@@ -86,7 +86,7 @@ def least_overlap(n: int, share: float, k: int = K) -> int:
 
 
 def sketched(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """doc_id, n shingles, id of the set (null if empty), sketch."""
+    """doc_id, hash of the text, n shingles, id of the set (null if empty), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -100,10 +100,10 @@ def sketched(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
                     ids.append(xxhash.xxh3_128_digest(values) if len(values) else None)
                     kept.append(values[:k].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept)))
-                yield pa.record_batch([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n", "sid", "sketch"])
+                yield pa.record_batch([part["doc_id"], part["h"], pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "h", "n", "sid", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sid binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, n long, sid binary, sketch array<long>")
 
 
 def meetings(classes: DataFrame, share: float, k: int = K) -> DataFrame:
@@ -269,7 +269,7 @@ def _blocks(sets: DataFrame, star: DataFrame, percent: int, k: int) -> DataFrame
 
 
 def classes_of(docs: DataFrame, percent: int, text: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, sid of each row, and sid, component of the classes that are linked to others."""
+    """doc_id, h, n, sid of each row, and sid, component of the classes that are linked to others."""
     share = percent / 100
     rows = written(sketched(docs, text, k), "near-sketches")
     classes = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -284,33 +284,52 @@ def classes_of(docs: DataFrame, percent: int, text: str = "text", k: int = K) ->
     star = written(_star(sets, percent, k), "near-star")
     links = star.where("linked").select("a", "b").unionByName(_blocks(sets, star, percent, k))
     linked = components(links).select(F.col("node").alias("sid"), "component")
-    return rows.select("doc_id", "n", "sid"), linked
+    return rows.select("doc_id", "h", "n", "sid"), linked
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row.
+def decided(docs: DataFrame, percent: int, text: str = "text", k: int = K) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id, and chosen: whether the row's class stands for its component.
 
-    Two documents are linked if 100 * shingles in common >= percent * shingles of both together. A component's id is the
-    smallest doc_id in it. Rows without words, null texts among them, are linked with nothing: their component is their
-    own doc_id. Rows that repeat have the same result; a null doc_id comes last, and names a component of null ids only.
+    That is the class of the smallest doc_id, of several the one of the smallest id of its set. Rows without words stand
+    for themselves.
     """
     rows, linked = classes_of(docs, percent, text, k)
     linked = written(linked, "near-components")
     tops = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least")).join(linked, "sid", "left")
     tops = written(tops.select("sid", "least", F.coalesce("component", "sid").alias("component")), "near-classes")
-    ids = tops.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = tops.join(ids, "component").select(F.col("sid").alias("of"), "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sid")).alias("first")
+    named = tops.join(tops.groupBy("component").agg(first), "component")
+    named = named.select(F.col("sid").alias("of"), F.col("first.least").alias("component_id"), (F.col("sid") == F.col("first.sid")).alias("chosen"))
     out = rows.join(named, rows["sid"] == named["of"], "left")
     component: Column = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    chosen = F.col("sid").isNull() | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), chosen.alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row.
+
+    Two documents are linked if 100 * shingles in common >= percent * shingles of both together. A component's id is the
+    smallest doc_id in it. Rows without words, null texts among them, are linked with nothing: their component is their
+    own doc_id. Rows that repeat have the same result; a null doc_id comes last, and names a component of null ids only.
+    """
+    out = decided(docs, percent, text, k).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def apply(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
-    """One document of each component, with its own columns: those of the smallest doc_id, repeated rows of it once."""
-    found = near_duplicates(docs, percent, text).where("kept")
-    key, of = fresh_name(docs, "near_key"), fresh_name(docs, "near_hash")
-    left = docs.withColumn(of, F.xxhash64(utf8(text)))
-    right = found.select(F.col("doc_id").alias(key)).distinct()
-    rows = left.join(right, F.col("doc_id").eqNullSafe(F.col(key))).dropDuplicates(["doc_id"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component, with its own columns; rows without words stay. Texts are not shuffled for it: what goes
+    is few rows' keys, broadcast behind a check of their number and joined beyond it."""
+    rows = written(decided(docs, percent, text).withColumn("some", F.col("n_shingles") > 0), "near-decided")
+    out = rows.where("NOT chosen").select("doc_id", "h").distinct()
+    again = rows.where("chosen AND some").groupBy("doc_id", "h").agg(F.count("*").alias("times")).where("times > 1").select("doc_id", "h")
+    left = docs.withColumn(of := fresh_name(docs, "near_hash"), F.xxhash64(utf8(text)))
+
+    def meets(keys: DataFrame, how: str) -> DataFrame:
+        keys = written(keys.select(F.col("doc_id").alias("near_k"), F.col("h").alias("near_h")), "near-keys")
+        few = keys.count() <= BROADCAST_ROWS
+        return left.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("near_k")) & (F.col(of) == F.col("near_h")), how)
+
+    once = meets(out.unionByName(again), "left_anti")
+    repeated = meets(again, "left_semi").dropDuplicates(["doc_id", of])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

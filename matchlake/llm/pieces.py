@@ -188,18 +188,26 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The key of each row with its ids, their number, and the text that they decode to."""
+    """The key of each row with its ids, their number, and whether they decode to the text itself; null texts as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, ENCODE_BYTES):
-                table = pieces(model)
-                ids, counts = table.encode_flat(part["text"])
-                raw, stops = table.decode_flat(ids, counts)
-                data, begins = raw.tobytes(), np.concatenate(([0], stops[:-1])) + (counts > 0)
-                texts = [data[a:b].decode() for a, b in zip(begins.tolist(), stops.tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.view(np.int32)))
-                yield pa.record_batch([part[key], lists, pa.array(counts), pa.array(texts, pa.string())], names=[key, "ids", "n_pieces", "decoded"])
+                ids, counts, ends, exact = _encoded(model, part["text"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.record_batch([part[key], lists, pa.array(counts), pa.array(exact)], names=[key, "ids", "n_pieces", "exact"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), utf8(text).alias("text"))
-    return rows.mapInArrow(run, f"`{key}` long, ids array<int>, n_pieces long, decoded string")
+    return rows.mapInArrow(run, f"`{key}` long, ids array<int>, n_pieces long, exact boolean")
+
+
+def decode(rows: DataFrame, model: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
+    """The key of each row with the text of its ids; null ids as none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(model)
+        for batch in batches:
+            yield pa.record_batch([batch[key], pa.array([table.decode(x or []) for x in batch["ids"].to_pylist()], pa.string())], names=[key, "text"])
+
+    some = rows.select(F.col(key).cast("long").alias(key), F.col(ids).alias("ids"))
+    return some.mapInArrow(run, f"`{key}` long, text string")
