@@ -32,11 +32,11 @@ def previous_patch(patch: Column | str, padded: bool = False, last_minor: int =
 
 
 def filter_patch(df: DataFrame, patch: str | None, match: str = "exact") -> DataFrame:
-    """Keep one patch. 'ALL' or None keeps everything; match='prefix' compares with the start of gameVersion."""
+    """Keep one patch. 'ALL' or None keeps everything; match='prefix' compares with the first parts of gameVersion, whole parts only."""
     if patch is None or patch == ALL_PATCHES:
         return df
     if match == "exact":
         return df.where(F.col("patch") == patch)
     if match == "prefix":
-        return df.where(F.col("gameVersion").startswith(patch))
+        return df.where(F.concat(F.col("gameVersion"), F.lit(".")).startswith(f"{patch}."))
     raise ValueError(f"unknown patch match: {match}")

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from matchlake.functions.numeric import plain_number, rnd
 from matchlake.functions.patches import ALL_PATCHES
 
-TIMELINE_SAMPLE = 100
 SIDES = ("hero", "villain")
 STATS = {"winRate": 2, "avgKda": 2, "avgCspm": 1, "avgDpm": 1, "avgGpm": 1, "avgVisionScore": 1}
 LANING = ["avgCsd15", "avgGd15", "avgXpd15"]
@@ -32,11 +31,10 @@ TEXTS = {
 }
 
 
-def timeline_games(games: DataFrame, sample: int = TIMELINE_SAMPLE) -> DataFrame:
-    """The latest games of each player that enter the averaged timelines.
-
-    The bound is part of the feature; the rank limit is pushed below the shuffle.
-    """
+def timeline_games(games: DataFrame, sample: int | None = None) -> DataFrame:
+    """The games of each player that enter the averaged timelines: all, or the latest ones if a number is given."""
+    if sample is None:
+        return games
     ties = [c for c in ("pos", "championId", "goldEarned", "totalDamage") if c in games.columns]
     w = Window.partitionBy("puuid").orderBy(F.desc("gameCreation"), "matchId", *ties)
     return games.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= sample).drop("_place")

@@ -10,8 +10,10 @@ from matchlake.functions.text import role_alias
 RANKED_SOLO = 420
 SORTS = {"recent": "gameCreation", "kda": "kda", "kills": "kills", "damage": "totalDamage"}
 MAX_LIMIT = 50
+#: Parts that a player's rows are ranked in first.
+PARTS = 32
 COLUMNS = [
-    "puuid", "matchId", "championId", "role", "kills", "deaths", "assists", "kda", "goldEarned", "totalDamage",
+    "puuid", "matchId", "championId", "championName", "role", "lane", "kills", "deaths", "assists", "kda", "goldEarned", "totalDamage",
     "visionScore", "cspm", "win", "gameCreation", "gameDuration", "queueId",
 ]
 
@@ -32,17 +34,17 @@ def filter_history(
         conditions.append(F.col("puuid") == puuid)
     if queue_id is not None:
         conditions.append(F.col("queueId") == queue_id)
-    if champion_id:
+    if champion_id is not None:
         conditions.append(F.col("championId") == champion_id)
-    if role:
+    if role is not None:
         conditions.append(F.col("role") == role_alias(role))
-    if result:
+    if result is not None:
         if result not in ("win", "loss"):
             raise ValueError("result is win or loss")
         conditions.append(F.col("win") == (result == "win"))
-    if start_ms:
+    if start_ms is not None:
         conditions.append(F.col("gameCreation") >= start_ms)
-    if end_ms:
+    if end_ms is not None:
         conditions.append(F.col("gameCreation") <= end_ms)
     for c in conditions:
         games = games.where(c)
@@ -52,6 +54,9 @@ def filter_history(
 def history_rows(games: DataFrame) -> DataFrame:
     """Columns of a history entry of games with lastCs (champion_stats.with_last_cs)."""
     cspm = F.coalesce(rnd(per_minute("lastCs", "gameDuration"), 2), F.lit(0.0))
+    for name in ("championName", "lane"):
+        if name not in games.columns:
+            games = games.withColumn(name, F.lit(None).cast("string"))
     return games.withColumn("cspm", cspm).select(*COLUMNS, *(["pos"] if "pos" in games.columns else []))
 
 
@@ -66,17 +71,24 @@ def _check(limit: int) -> None:
         raise ValueError(f"limit is 1 to {MAX_LIMIT}")
 
 
-def history_page(rows: DataFrame, page: int = 1, limit: int = 20, sort_by: str | None = None) -> DataFrame:
-    """One page per player, with `hasMore` and `nextCursor`.
+def _head(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows of each player with their `place`, in two steps of any depth.
 
-    The rank bound is pushed below the shuffle (window group limit), so only the head of every player's
-    history travels.
+    A player's rows are ranked in parts first, so one with very many games fills no task, and only the heads of the
+    parts are ranked together.
     """
+    part = F.pmod(F.xxhash64("matchId"), F.lit(PARTS))
+    parts = Window.partitionBy("puuid", "_part").orderBy(*order)
+    heads = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(parts)).where(F.col("_at") <= n)
+    whole = Window.partitionBy("puuid").orderBy(*order)
+    return heads.drop("_part", "_at").withColumn("place", F.row_number().over(whole)).where(F.col("place") <= n)
+
+
+def history_page(rows: DataFrame, page: int = 1, limit: int = 20, sort_by: str | None = None) -> DataFrame:
+    """One page per player, with `hasMore` and `nextCursor`."""
     _check(limit)
     skip = (page - 1) * limit
-    w = Window.partitionBy("puuid").orderBy(*_order(sort_by, rows.columns))
-    ranked = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= skip + limit + 1)
-    return _cut(ranked, skip, limit)
+    return _cut(_head(rows, skip + limit + 1, _order(sort_by, rows.columns)), skip, limit)
 
 
 def _cut(ranked: DataFrame, skip: int, limit: int) -> DataFrame:
@@ -109,9 +121,7 @@ def history_after(rows: DataFrame, cursors: DataFrame, limit: int = 20, sort_by:
         (F.col(key) == F.col("cursorKey")) & (F.col("matchId") > F.col("cursorId"))
     )
     kept = rows.join(at, "puuid", "left").where(behind).drop("cursorKey", "cursorId")
-    w = Window.partitionBy("puuid").orderBy(*_order(sort_by, rows.columns))
-    ranked = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit + 1)
-    return _cut(ranked, 0, limit)
+    return _cut(_head(kept, limit + 1, _order(sort_by, rows.columns)), 0, limit)
 
 
 def count_history(games: DataFrame) -> DataFrame:

@@ -278,13 +278,3 @@ def classified_events(timelines: DataFrame) -> DataFrame:
         (kind == "ELITE_MONSTER_KILL").alias("isElite"),
         kind.isin(USED_TYPES).alias("isUsed"),
     )
-
-
-def attach_timelines(participants: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Participants with their series; those without a timeline get empty arrays."""
-    joined = participants.join(parsed.drop("participantId"), ["matchId", "puuid"], "left")
-    filled = {
-        n: F.coalesce(n, F.array().cast(t)) if t.startswith("array") else F.coalesce(n, F.lit(0))
-        for n, t in schemas.TIMELINE_COLUMNS.items()
-    }
-    return joined.withColumns(filled)

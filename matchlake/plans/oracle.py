@@ -218,7 +218,7 @@ hist AS (
   FROM g WHERE queue = 420)
 """
 _HIST_OUT = (
-    'puuid, {place} AS place, mid AS "matchId", champ AS "championId", role, k AS kills, dd AS deaths, a AS assists, kda, '
+    'puuid, {place} AS place, mid AS "matchId", champ AS "championId", \'Champion \' || champ AS "championName", role, role || \'_LANE\' AS lane, k AS kills, dd AS deaths, a AS assists, kda, '
     'gold AS "goldEarned", damage AS "totalDamage", vision AS "visionScore", cspm, win, created AS "gameCreation", '
     'duration AS "gameDuration", queue AS "queueId", total > {upto} AS "hasMore", '
     'CASE WHEN total > {upto} THEN max(CASE WHEN place0 = {upto} THEN mid END) OVER (PARTITION BY puuid) END AS "nextCursor"'
@@ -303,8 +303,7 @@ def _compare(stats: str, laning: bool) -> str:
 
 
 _AVG = """
-sample AS (
-  SELECT * FROM g WHERE queue = 420 QUALIFY row_number() OVER (PARTITION BY supp ORDER BY created DESC, mid, pos, champ, gold, damage) <= 100),
+sample AS (SELECT * FROM g WHERE queue = 420),
 avg_cs AS (
   SELECT supp AS puuid, minute, floor(sum(minute * (4 + qty % 5) + part % 3)::DOUBLE / count(*) + 0.5) AS value
   FROM (SELECT *, unnest(range(len)) AS minute FROM sample) GROUP BY supp, minute)
@@ -460,6 +459,15 @@ SELECT puuid, champ AS "championId", patch, queue AS "queueId", count(*) AS "gam
   {rnd(mean('cspm'), 2)} AS "avgCspm", {rnd('coalesce(avg(cs15 - ocs), 0e0)', 2)} AS "avgCsd15", {rnd('coalesce(avg(gold15 - ogold), 0e0)', 2)} AS "avgGd15",
   {rnd('coalesce(avg(xp15 - oxp), 0e0)', 2)} AS "avgXpd15", max(t) AS "lastPlayedAt" FROM e GROUP BY puuid, champ, patch, queue""", _DOCS)
 
+sql("ingest_after_backfill", """
+SELECT 'EV_' || block AS "matchId", '15.' || (1 + block % 12) AS patch, CASE WHEN block % 5 = 0 THEN 440 ELSE 420 END AS "queueId", t AS "gameCreation" FROM blk""")
+sql("ingest_repeated", """
+SELECT '15.' || (1 + block % 12) AS patch, CASE WHEN block % 5 = 0 THEN 440 ELSE 420 END AS "queueId", count(*) AS matches, 10 * count(*) AS participants,
+  sum(t) AS created FROM blk GROUP BY ALL""")
+sql("rejected_records", """
+SELECT CASE WHEN block % 4 <> 3 THEN 'EV_' || block END AS "matchId",
+  ['stored', 'ids differ', 'timeline without an id', 'match without an id'][block % 4 + 1] AS reason FROM blk""")
+
 # ---- champions
 
 sql("champion_stats", """
@@ -492,7 +500,7 @@ SELECT patch, champ AS "championId", cname AS "championName", games AS "gamesPla
 FROM ({ranked('(SELECT * FROM tier WHERE queue = 420)')}) JOIN cat USING (champ) WHERE cname = '{CHAMPION_NAME}'""", CHAMPIONS)
 sql("processed_matches", f"""
 SELECT count(*) AS count, NULL AS patch, NULL AS message FROM m UNION ALL SELECT count(*), '{PATCH}', NULL FROM m WHERE patch = '{PATCH}'
-UNION ALL SELECT count(*), '1', NULL FROM m WHERE patch LIKE '1%'
+UNION ALL SELECT count(*), '13', NULL FROM m WHERE patch || '.' LIKE '13.%'
 UNION ALL SELECT count(*), '99.9', 'Não há dados para o patch 99.9' FROM m WHERE patch = '99.9'""")
 
 # ---- players
@@ -529,7 +537,7 @@ SELECT supp AS puuid, role, count(*) AS "gamesPlayed", {rnd(pct('count(*)', 'sum
 
 
 sql("player_roles", roles_sql(""))
-sql("player_roles_of_patch", roles_sql(f"AND patch LIKE '{PATCH}%'"))
+sql("player_roles_of_patch", roles_sql(f"AND patch || '.' LIKE '{PATCH}.%'"))
 sql("player_activity", """
 SELECT pl.puuid, d AS "dayOfWeek", h AS hour, coalesce(games, 0) AS games, coalesce(wins, 0) AS wins, coalesce(games - wins, 0) AS losses, coalesce(wr, 0e0) AS "winRate"
 FROM (SELECT DISTINCT puuid FROM cells) pl, range(7) x(d), range(24) y(h) LEFT JOIN cells c ON c.puuid = pl.puuid AND c.dow = d AND c.hour = h""", CELLS)
@@ -547,6 +555,8 @@ sql("activity_days", 'SELECT puuid, dow AS "dayOfWeek", sum(games) AS games, sum
 sql("player_matches", history_sql("hist", f"created DESC, {TIES}", 20, 20), HIST)
 sql("player_matches_filtered", history_sql(
     f"(SELECT * FROM hist WHERE role = 'MIDDLE' AND win AND created BETWEEN {FROM_MS} AND {TO_MS})", f"kda DESC, {TIES}", 0, 10), HIST)
+for _name, _key in (("kills", "k"), ("damage", "damage")):
+    sql(f"player_matches_by_{_name}", history_sql("(SELECT * FROM hist WHERE champ = 0)", f"{_key} DESC, {TIES}", 0, 15), HIST)
 sql("player_matches_after", f"""
 , cur AS (SELECT puuid, mid, created FROM hist WHERE puuid % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY puuid ORDER BY created DESC, {TIES}) = 5),
 behind AS (SELECT hist.* FROM hist LEFT JOIN cur USING (puuid) WHERE cur.mid IS NULL OR hist.created < cur.created OR (hist.created = cur.created AND hist.mid > cur.mid))

@@ -321,10 +321,51 @@ def streaming_ingest(spark, d):
 def batch_ingest(spark, d):
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store").create()
-    ingest.ingest(landed_records(spark, d), store, 0)
+    ingest.ingest(landed_records(spark, d), store, "batch", 0)
     return players.player_champion_stats(store.player_partials())
 
 
+@query("matchId string, patch string, queueId bigint, gameCreation bigint")
+def ingest_after_backfill(spark, d):
+    """A batch of half of the documents first, then the stream over the others: both begin at number 0."""
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store").create()
+    half = F.pmod(F.xxhash64("matchId"), F.lit(2)) == 0
+    records = landed_records(spark, d)
+    ingest.ingest(records.where(half), store, "backfill", 0)
+    records.where(~half).select("match", "timeline").write.json(f"{root}/landing")
+    ingest.run_available(spark, f"{root}/landing", store)
+    return store.table("matches")
+
+
+@query("patch string, queueId bigint, matches bigint, participants bigint, created bigint")
+def ingest_repeated(spark, d):
+    """The same matches in and across batches, without a creation time and with another one; the first stay as they are."""
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store").create()
+    records = landed_records(spark, d)
+    untimed = records.withColumn("match", F.regexp_replace("match", '"gameCreation":[0-9]+,?', ""))
+    later = records.withColumn("match", F.regexp_replace("match", '"gameCreation":[0-9]+', '"gameCreation":4102444800000'))
+    for number, batch in enumerate((records.unionByName(untimed).unionByName(records), untimed, later.unionByName(untimed))):
+        ingest.ingest(batch, store, "batch", number)
+    people = store.table("participants").groupBy("matchId").agg(F.count("*").alias("n"))
+    rows = store.table("matches").join(people, "matchId")
+    return rows.groupBy("patch", "queueId").agg(F.count("*").alias("matches"), F.sum("n").alias("participants"), F.sum("gameCreation").alias("created"))
+
+
+@query("matchId string, reason string")
+def rejected_records(spark, d):
+    """Every third document broken, every third beside another match's timeline; what cannot be stored is kept with a reason."""
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store").create()
+    kind = F.substring("matchId", 4, 20).cast("long") % 4
+    records = landed_records(spark, d)
+    records = records.withColumn("timeline", F.when(kind == 1, F.regexp_replace("timeline", '"matchId":"EV_', '"matchId":"EW_')).when(kind == 2, F.lit("{broken")).otherwise(F.col("timeline")))
+    records = records.withColumn("match", F.when(kind == 3, F.lit("{")).otherwise(F.col("match")))
+    ingest.ingest(records, store, "batch", 0)
+    return store.table("rejected").unionByName(store.table("matches").select("matchId", F.lit("stored").alias("reason")), allowMissingColumns=True)
+
+
 # ---- champions ---------------------------------------------------------------------------------
 
 
@@ -388,7 +429,7 @@ def champion_detail(spark, d):
 @query("count bigint, patch string, message string")
 def processed_matches(spark, d):
     m = star.matches(spark, d)
-    asked = [(None, "exact"), (PATCH, "exact"), ("1", "prefix"), ("99.9", "exact")]
+    asked = [(None, "exact"), (PATCH, "exact"), ("13", "prefix"), ("99.9", "exact")]
     parts = [reports.processed_matches(m, p, how) for p, how in asked]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -477,8 +518,8 @@ def activity_days(spark, d):
 
 
 _HISTORY_COLUMNS = (
-    "puuid bigint, place bigint, matchId bigint, championId bigint, role string, kills bigint, deaths bigint, "
-    "assists bigint, kda double, goldEarned bigint, totalDamage bigint, visionScore bigint, cspm double, win boolean, "
+    "puuid bigint, place bigint, matchId bigint, championId bigint, championName string, role string, lane string, kills bigint, "
+    "deaths bigint, assists bigint, kda double, goldEarned bigint, totalDamage bigint, visionScore bigint, cspm double, win boolean, "
     "gameCreation bigint, gameDuration bigint, queueId bigint, hasMore boolean, nextCursor bigint"
 )
 
@@ -498,6 +539,21 @@ def player_matches_filtered(spark, d):
     return history.history_page(rows, limit=10, sort_by="kda")
 
 
+def _sorted_history(spark, d, sort_by):
+    rows = reports.player_games(star.participants(spark, d), star.matches(spark, d), champion_id=0)
+    return history.history_page(rows, limit=15, sort_by=sort_by)
+
+
+@query(_HISTORY_COLUMNS)
+def player_matches_by_kills(spark, d):
+    return _sorted_history(spark, d, "kills")
+
+
+@query(_HISTORY_COLUMNS)
+def player_matches_by_damage(spark, d):
+    return _sorted_history(spark, d, "damage")
+
+
 @query(_HISTORY_COLUMNS)
 def player_matches_after(spark, d):
     rows = reports.player_games(star.participants(spark, d), star.matches(spark, d))

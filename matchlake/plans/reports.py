@@ -22,6 +22,7 @@ from matchlake.operators import (
 from matchlake.sources import schemas
 
 RANKED = 420
+MOST_CHAMPIONS = 50
 
 
 def patch_and_previous(matches: DataFrame, patch: str, padded: bool = False, last_minor: int = 23) -> DataFrame:
@@ -110,17 +111,19 @@ def player_champions(
     limit: int = 10,
 ) -> DataFrame:
     """The best champions of each player in the given order, optionally those played in a role."""
+    if not 1 <= limit <= MOST_CHAMPIONS:
+        raise ValueError(f"limit is 1 to {MOST_CHAMPIONS}")
     keys = players.PLAYER_CHAMPION_KEYS
     rows = partials.where(F.col("queueId") == queue_id)
     if patch != ALL_PATCHES:
         rows = rows.where(F.col("patch") == patch)
     stats = players.player_champion_stats(rows).join(players.role_distribution(rows, keys), keys)
     stats = stats.where(F.col("patch") == patch)
-    if role:
+    if role is not None:
         stats = stats.where(F.coalesce(F.try_element_at("roleDistribution", F.lit(role_alias(role))), F.lit(0)) > 0)
     column = {"winRate": "winRate", "kda": "avgKda"}.get(sort_by, "gamesPlayed")
     w = Window.partitionBy("puuid").orderBy(F.desc(column), "championId")
-    best = stats.withColumn("place", F.row_number().over(w)).where(F.col("place") <= min(limit or 10, 50))
+    best = stats.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     return catalogs.enrich(best, catalog)
 
 
@@ -168,12 +171,12 @@ def compare_players(
     queue_id: int = RANKED,
 ) -> DataFrame:
     """Stats, laning and insights of each (hero, villain) pair."""
-    if champion_id:
+    if champion_id is not None:
         stats = players.player_champion_stats(partials.where(F.col("championId") == champion_id))
     else:
         stats = players.player_stats(partials)
     chosen = compare.patch_stats(stats, patch, queue_id)
-    return compare.with_insights(compare.compare_stats(pairs, users, chosen, laning=bool(champion_id)))
+    return compare.with_insights(compare.compare_stats(pairs, users, chosen, laning=champion_id is not None))
 
 
 def compare_timelines(
@@ -187,9 +190,9 @@ def compare_timelines(
     queue_id: int = RANKED,
 ) -> DataFrame:
     games = patch_games(participants, matches, patch, "exact", queue_id)
-    if role:
+    if role is not None:
         games = games.where(F.col("role") == role_alias(role))
-    if champion_id:
+    if champion_id is not None:
         games = games.where(F.col("championId") == champion_id)
     return compare.compare_timelines(pairs, compare.average_timeline(compare.timeline_games(games), column))
 

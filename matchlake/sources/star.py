@@ -70,6 +70,8 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.least(part % 50, _div(part, 50) % 50).cast("int").alias("championId"),
         team.alias("teamId"),
         F.get(roles, (line - 1) % 5).alias("role"),
+        F.concat(F.get(roles, (line - 1) % 5), F.lit("_LANE")).alias("lane"),
+        F.concat(F.lit("Champion "), F.least(part % 50, _div(part, 50) % 50).cast("string")).alias("championName"),
         ((team == 100) == (order % 2 == 0)).alias("win"),
         kills.alias("kills"),
         deaths.alias("deaths"),

@@ -5,12 +5,14 @@ Layout below the root, all Parquet, every table in folders by batch and below th
     matches, teams, participants      rows of the batch
     <partials>                        partial sums of the batch alone
     <partials>_snapshot               partial sums of all batches up to this one, written now and then
+    rejected                          records of the batch that could not be stored, with the reason
     players                           profile writes
-    commits                           one row per finished batch, written last
+    commits                           one row per finished batch, written last: its snapshot, source and the source's number
 
 A reader looks at batches up to the last committed one, so a batch is seen whole or not at all. A batch
 that is run again rewrites its own folders. Aggregates are merged when read: the latest snapshot plus the
-partial sums since. Writing a batch therefore costs what the batch holds, not what the store holds.
+partial sums since. Writing a batch costs what the batch holds, and now and then a snapshot of all partial sums.
+Batch numbers are the store's own; what a source has delivered shows in the commits. One writer at a time.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ ROWS = {
     "teams": schemas.TEAMS,
     "participants": schemas.PARTICIPANTS,
     "players": schemas.USERS.replace(", createdAt timestamp", ""),
+    "rejected": "matchId string, reason string, match string, timeline string",
 }
-COMMITS = "snapshot bigint"
+COMMITS = "snapshot bigint, source string, sourceBatch bigint"
 
 
 def _shaped(df: DataFrame, ddl: str) -> DataFrame:
@@ -67,7 +70,7 @@ class MatchStore:
         """Writes an empty batch -1 of every table."""
         names = [n for n in self.tables if n != "commits"]
         self._write_all({n: self.spark.createDataFrame([], self.tables[n]) for n in names}, -1)
-        self._commit(-1, -1)
+        self._commit(-1, -1, None, None)
         return self
 
     # -- writing
@@ -80,6 +83,9 @@ class MatchStore:
         if name == "participants":
             # A player's rows lie together, so a lookup by player skips most row groups.
             out = out.sortWithinPartitions("patch", "puuid")
+        elif "patch" in out.columns:
+            # Narrow tables: a patch's rows of a batch meet before they are written, so a batch leaves few files.
+            out = out.hint("rebalance", "patch")
         writer = out.write.mode("overwrite")
         if "patch" in out.columns:
             writer = writer.partitionBy("patch")
@@ -90,13 +96,20 @@ class MatchStore:
         with ThreadPoolExecutor(max_workers=len(frames)) as pool:
             list(pool.map(lambda item: self._write(item[1], item[0], batch), frames.items()))
 
-    def _commit(self, batch: int, snapshot: int) -> None:
-        row = self.spark.range(1).select(F.lit(snapshot).cast("long").alias("snapshot"))
+    def _commit(self, batch: int, snapshot: int, source: str | None, number: int | None) -> None:
+        row = _shaped(self.spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(source).alias("source"), F.lit(number).alias("sourceBatch")), COMMITS)
         row.coalesce(1).write.mode("overwrite").parquet(self._path("commits", batch))
 
-    def save(self, batch: int, matches: DataFrame, teams: DataFrame, participants: DataFrame) -> None:
+    def has(self, source: str, number: int) -> bool:
+        """Whether the source's batch of this number is committed."""
+        done = (F.col("source") == source) & (F.col("sourceBatch") == number)
+        return not self._read("commits").where(done).isEmpty()
+
+    def save(self, source: str, number: int, matches: DataFrame, teams: DataFrame, participants: DataFrame, rejected: DataFrame) -> None:
         """Stores one batch of new matches with its partial sums, then commits it."""
-        self._write_all({"participants": participants, "teams": teams, "matches": matches}, batch)
+        last, snapshot = self.state()
+        batch = last + 1
+        self._write_all({"participants": participants, "teams": teams, "matches": matches, "rejected": rejected}, batch)
         # The aggregates start from the written rows: nothing is parsed twice, and the lineage ends here.
         m, t, p = (self._batch(n, batch) for n in ("matches", "teams", "participants"))
         games = champions.game_rows(players.with_laning(p), m)
@@ -107,14 +120,16 @@ class MatchStore:
             "player_partials": players.player_partials(games),
         }
         self._write_all(parts, batch)
-        last, snapshot = self.state()
         if batch - snapshot >= self.compact_every:
             self._write_all({f"{n}_snapshot": self._merged(n, snapshot, batch) for n in PARTIALS}, batch)
             snapshot = batch
-        self._commit(batch, snapshot)
+        self._commit(batch, snapshot, source, number)
 
-    def save_players(self, batch: int, profiles: DataFrame) -> None:
-        self._write(profiles, "players", batch)
+    def save_players(self, profiles: DataFrame) -> None:
+        """Stores one write of profiles as a batch of its own, then commits it."""
+        last, snapshot = self.state()
+        self._write(profiles, "players", last + 1)
+        self._commit(last + 1, snapshot, "players", last + 1)
 
     # -- reading
 
@@ -154,4 +169,4 @@ class MatchStore:
 
     def players(self) -> DataFrame:
         """Profiles, latest write first, region and creation time from the first write."""
-        return collection.upsert_players(self._read("players").drop("batch"))
+        return collection.upsert_players(self.table("players"))

@@ -1,13 +1,17 @@
 """Continuous ingest: landed documents to stored tables and aggregates.
 
 A landed record is one JSON object per match with its two documents, `match` and `timeline`, inline or as
-text. Records without a timeline are skipped, as are matches the store already has.
+text. Records without a timeline are skipped, as are matches the store already has. Records that cannot be read, or whose
+documents name different matches, go to the table `rejected`.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from matchlake.operators.timeline_parser import with_results
 from matchlake.plans.reports import ingested
@@ -17,62 +21,112 @@ from matchlake.sources.store import MatchStore
 LANDED = "match string, timeline string"
 
 
-def parsed(records: DataFrame) -> DataFrame:
-    """Both documents of a record parsed and paired inside its row, then one row per match id.
+#: Files of a micro-batch, unless the caller says otherwise: a first run over a full folder comes in bounded batches.
+FILES_PER_TRIGGER = 1000
 
-    Unreadable records and those without a timeline fall out.
-    """
-    docs = (
-        records.select(
-            F.from_json("match", schemas.MATCH).alias("m"), F.from_json("timeline", schemas.TIMELINE).alias("t")
-        )
-        .where(F.col("m.metadata.matchId").isNotNull() & (F.col("t.metadata.matchId") == F.col("m.metadata.matchId")))
-        .select(
-            F.col("m.metadata.matchId").alias("matchId"),
-            F.col("m.metadata").alias("metadata"),
-            F.col("m.info").alias("info"),
-            F.col("t.metadata.participants").alias("ids"),
-            F.col("t.info.frames").alias("frames"),
-        )
+
+def identified(records: DataFrame) -> DataFrame:
+    """Records with the ids that their texts name, the match's creation time and a hash of both texts."""
+    return records.select(
+        "match",
+        "timeline",
+        F.get_json_object("match", "$.metadata.matchId").alias("matchId"),
+        F.get_json_object("timeline", "$.metadata.matchId").alias("timelineId"),
+        F.get_json_object("match", "$.info.gameCreation").try_cast("long").alias("created"),
+        F.xxhash64("match", "timeline").alias("textHash"),
     )
-    return with_results(docs).dropDuplicates(["matchId"])
 
 
-def unseen(docs: DataFrame, store: MatchStore) -> DataFrame:
-    """Documents of matches that are not stored.
+def chosen(records: DataFrame) -> DataFrame:
+    """One readable record of each match id: the earliest creation time, then the smallest hash. Nothing is parsed yet."""
+    usable = records.where(F.col("matchId").isNotNull() & (F.col("timelineId") == F.col("matchId")))
+    order = Window.partitionBy("matchId").orderBy(F.col("created").asc_nulls_last(), "textHash")
+    return usable.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+
 
-    A match keeps its creation time, so only stored rows within the batch's range of times are looked at;
-    the bounds reach the Parquet footers and skip the files of other times.
+def unseen(records: DataFrame, store: MatchStore) -> DataFrame:
+    """Records of matches that are not stored, by id alone: a match sent again with another time, or none, is found too.
+
+    The stored ids are first cut to those of the batch, so the anti join meets few rows.
     """
-    low, high = docs.agg(F.min("info.gameCreation"), F.max("info.gameCreation")).first()
-    known = store.table("matches").where(F.col("gameCreation").between(F.lit(low), F.lit(high)))
-    return docs.join(known.select("matchId"), "matchId", "left_anti")
+    known = store.table("matches").select("matchId").join(records.select("matchId"), "matchId", "left_semi")
+    return records.join(known, "matchId", "left_anti")
+
 
+def parsed(records: DataFrame) -> DataFrame:
+    """Both documents of a record parsed and paired inside its row; the match is null where a text cannot be read."""
+    docs = records.select(
+        "match", "timeline", F.col("matchId").alias("namedId"),
+        F.from_json("match", schemas.MATCH).alias("m"), F.from_json("timeline", schemas.TIMELINE).alias("t"),
+    ).select(
+        "match",
+        "timeline",
+        "namedId",
+        F.when(F.col("m.metadata.matchId") == F.col("t.metadata.matchId"), F.col("m.metadata.matchId")).alias("matchId"),
+        F.col("m.metadata").alias("metadata"),
+        F.col("m.info").alias("info"),
+        F.col("t.metadata.participants").alias("ids"),
+        F.col("t.info.frames").alias("frames"),
+    )
+    return with_results(docs)
 
-def ingest(records: DataFrame, store: MatchStore, batch: int) -> None:
-    """One batch. Safe to run again: a committed batch is skipped, an unfinished one is rewritten."""
-    last, _ = store.state()
-    if batch <= last:
+
+def rejected(records: DataFrame, docs: DataFrame) -> DataFrame:
+    """Records that cannot be stored, with the reason. One without a timeline is left out by design and is none of them."""
+    reason = (
+        F.when(F.col("matchId").isNull(), F.lit("match without an id"))
+        .when(F.col("timelineId").isNull(), F.lit("timeline without an id"))
+        .when(F.col("timelineId") != F.col("matchId"), F.lit("ids differ"))
+    )
+    unnamed = records.where("timeline IS NOT NULL").withColumn("reason", reason).where("reason IS NOT NULL")
+    columns = ["matchId", "reason", "match", "timeline"]
+    broken = docs.where("matchId IS NULL").select(F.col("namedId").alias("matchId"), F.lit("unreadable document").alias("reason"), "match", "timeline")
+    return unnamed.select(*columns).unionByName(broken)
+
+
+def ingest(records: DataFrame, store: MatchStore, source: str, number: int) -> None:
+    """One batch of a source, under the number that the source gives it.
+
+    Safe to run again: what the source has already committed under this number is skipped, an unfinished batch is
+    rewritten. The store's own batch numbers are its own, so sources do not get into each other's way. One writer at a time.
+    """
+    if store.has(source, number):
         return
-    # Parsed once, read for the time bounds and for each of the three tables. Lost blocks are parsed again.
-    docs = parsed(records).persist(StorageLevel.MEMORY_AND_DISK)
-    store.save(batch, *ingested(unseen(docs, store)))
+    # Ids, choice and comparison come before any parse; parsed rows are read for each table. Lost blocks are parsed again.
+    named = identified(records)
+    docs = parsed(unseen(chosen(named), store)).persist(StorageLevel.MEMORY_AND_DISK)
+    good = docs.where("matchId IS NOT NULL").drop("match", "timeline", "namedId")
+    store.save(source, number, *ingested(good), rejected(named, docs))
     docs.unpersist()
 
 
+def _stream_source(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the stream, kept inside its checkpoint: a lost checkpoint begins its numbers anew, under another name."""
+    path = f"{checkpoint}/ingest_source"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = f"stream-{os.urandom(8).hex()}"
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
+
+
 def start(
     spark: SparkSession, landing: str, store: MatchStore, available_now: bool = False, files_per_trigger: int | None = None
 ):
-    """Starts the stream. Its checkpoint lives inside the store: batch numbers belong to both."""
-    reader = spark.readStream.schema(LANDED)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    """Starts the stream. Its checkpoint lives inside the store."""
+    checkpoint = f"{store.root}/_stream"
+    source = _stream_source(spark, checkpoint)
     writer = (
-        reader.json(landing)
-        .writeStream.foreachBatch(lambda records, batch: ingest(records, store, batch))
-        .option("checkpointLocation", f"{store.root}/_stream")
+        spark.readStream.schema(LANDED)
+        .option("maxFilesPerTrigger", files_per_trigger or FILES_PER_TRIGGER)
+        .json(landing)
+        .writeStream.foreachBatch(lambda records, batch: ingest(records, store, source, batch))
+        .option("checkpointLocation", checkpoint)
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 

@@ -32,7 +32,7 @@ def test_extract_patch(one):
 def test_filter_patch(spark):
     df = spark.createDataFrame([("15.1", "15.1.7"), ("15.10", "15.10.2")], "patch string, gameVersion string")
     assert patches.filter_patch(df, "15.1").count() == 1
-    assert patches.filter_patch(df, "15.1", "prefix").count() == 2
+    assert patches.filter_patch(df, "15.1", "prefix").count() == 1
     assert patches.filter_patch(df, "ALL").count() == 2
     with pytest.raises(ValueError):
         patches.filter_patch(df, "15.1", "other")

@@ -48,14 +48,14 @@ def state(store):
 @pytest.fixture(scope="module")
 def whole(spark, tmp_path_factory):
     store = MatchStore(spark, str(tmp_path_factory.mktemp("whole"))).create()
-    ingest.ingest(frame(spark, [record(i) for i in range(12)]), store, 0)
+    ingest.ingest(frame(spark, [record(i) for i in range(12)]), store, "batch", 0)
     return store
 
 
 def test_any_split_gives_the_same_aggregates(spark, whole, tmp_path):
     store = MatchStore(spark, str(tmp_path), compact_every=2).create()
     for batch, part in enumerate(([0, 1, 2], [1, 3, 4, 4, 5, 6], [7, 8, 9, 10, 11, 0])):
-        ingest.ingest(frame(spark, [record(i) for i in part]), store, batch)
+        ingest.ingest(frame(spark, [record(i) for i in part]), store, "batch", batch)
     assert state(store) == state(whole)
     assert store.table("matches").count() == 12 and store.table("participants").count() == 120 and store.table("teams").count() == 24
     assert store.state() == (2, 1)  # the snapshot was renewed along the way
@@ -63,27 +63,28 @@ def test_any_split_gives_the_same_aggregates(spark, whole, tmp_path):
 
 def test_committed_batches_are_skipped_and_broken_ones_rewritten(spark, whole, tmp_path):
     store = MatchStore(spark, str(tmp_path)).create()
-    ingest.ingest(frame(spark, [record(i) for i in range(6)]), store, 0)
-    ingest.ingest(frame(spark, [record(99)]), store, 0)
+    ingest.ingest(frame(spark, [record(i) for i in range(6)]), store, "batch", 0)
+    ingest.ingest(frame(spark, [record(99)]), store, "batch", 0)
     assert store.table("matches").count() == 6
 
     class Broken(MatchStore):
-        def _commit(self, batch, snapshot):
+        def _commit(self, *args):
             raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        ingest.ingest(frame(spark, [record(i) for i in range(6, 12)]), Broken(spark, str(tmp_path)), 1)
+        ingest.ingest(frame(spark, [record(i) for i in range(6, 12)]), Broken(spark, str(tmp_path)), "batch", 1)
     assert store.table("matches").count() == 6  # written, but not visible
-    ingest.ingest(frame(spark, [record(i) for i in range(6, 12)]), store, 1)
+    ingest.ingest(frame(spark, [record(i) for i in range(6, 12)]), store, "batch", 1)
     assert state(store) == state(whole)
 
 
 def test_unusable_records_fall_out(spark, tmp_path):
     store = MatchStore(spark, str(tmp_path)).create()
     records = frame(spark, [record(0), record(1, timeline=False)]).union(spark.createDataFrame([("{broken", "{}"), (None, None)], ingest.LANDED))
-    ingest.ingest(records, store, 0)
+    ingest.ingest(records, store, "batch", 0)
     assert [r["matchId"] for r in store.table("matches").collect()] == ["BR1_0"]
-    ingest.ingest(records.limit(0), store, 1)
+    assert [(r["reason"], r["match"]) for r in store.table("rejected").collect()] == [("match without an id", "{broken")]
+    ingest.ingest(records.limit(0), store, "batch", 1)
     assert store.state()[0] == 1 and store.table("matches").count() == 1
 
 
@@ -105,7 +106,51 @@ def test_players_table(spark, tmp_path):
         f"select 'a' puuid, 'n{t}' gameName, 'BR1' tagLine, '{region}' region, 1 profileIconId, 1 summonerLevel, 's' summonerId, "
         f"'GOLD' tier, 'I' rank, 0 leaguePoints, 1 rankedWins, 1 rankedLosses, timestamp_seconds({t}) lastUpdated"
     )
-    store.save_players(0, row(10, "br1"))
-    store.save_players(1, row(20, "kr"))
+    store.save_players(row(10, "br1"))
+    store.save_players(row(20, "kr"))
     r = store.players().first()
     assert (r["gameName"], r["region"]) == ("n20", "br1")
+
+
+def test_sources_do_not_share_numbers(spark, whole, tmp_path):
+    store = MatchStore(spark, str(tmp_path / "store")).create()
+    ingest.ingest(frame(spark, [record(i) for i in range(6)]), store, "backfill", 0)
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for i in range(6, 12):
+        (landing / f"{i}.json").write_text(json.dumps(record(i)))
+    ingest.run_available(spark, str(landing), store)
+    assert state(store) == state(whole)
+
+
+def test_stream_with_a_lost_checkpoint_stores_nothing_twice(spark, whole, tmp_path):
+    store = MatchStore(spark, str(tmp_path / "store")).create()
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    for i in range(12):
+        (landing / f"{i}.json").write_text(json.dumps(record(i)))
+        if i == 5:
+            ingest.run_available(spark, str(landing), store)
+            (tmp_path / "store" / "_stream").rename(tmp_path / "lost")
+    ingest.run_available(spark, str(landing), store)
+    assert state(store) == state(whole)
+
+
+def test_changed_and_missing_creation_times_are_the_same_match(spark, tmp_path):
+    store = MatchStore(spark, str(tmp_path)).create()
+    other, none = record(1), record(1)
+    other["match"]["info"]["gameCreation"] += 999_999
+    del none["match"]["info"]["gameCreation"]
+    ingest.ingest(frame(spark, [none, other, record(1)]), store, "batch", 0)
+    ingest.ingest(frame(spark, [other, none]), store, "batch", 1)
+    assert [r["gameCreation"] for r in store.table("matches").collect()] == [record(1)["match"]["info"]["gameCreation"]]
+
+
+def test_shared_folder_is_asked_for_off_local_masters():
+    from types import SimpleNamespace
+
+    from matchlake.session import shared_dir
+
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(there)

@@ -121,6 +121,9 @@ def test_player_aggregates(spark):
     mids = reports.player_champions(partials, cat, role="JUNGLE").collect()
     assert [(r["puuid"], r["championName"]) for r in mids] == [("a", "Annie")]
     assert reports.player_champions(partials, cat, role="MID").count() == 0
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            reports.player_champions(partials, cat, limit=limit)
     assert catalog.enrich(spark.sql("select 9 as championId"), cat).first()["championName"] == "Champion 9"
     assert catalog.enrich(spark.sql("select 9 as championId"), cat, keep_unknown=False).count() == 0
 
@@ -243,9 +246,10 @@ def test_average_timeline(spark):
     assert [(r["minute"], r["value"]) for r in rows] == [(0, 2), (1, 2), (2, 9)]
 
 
-def test_timeline_sample_is_the_latest_hundred(spark):
+def test_all_games_enter_timelines_unless_a_sample_is_asked_for(spark):
     df = spark.createDataFrame([("a", f"m{i:03}", i) for i in range(150)], "puuid string, matchId string, gameCreation long")
-    assert compare.timeline_games(df).agg(F.min("gameCreation"), F.count("*")).first() == (50, 100)
+    assert compare.timeline_games(df).agg(F.min("gameCreation"), F.count("*")).first() == (0, 150)
+    assert compare.timeline_games(df, 100).agg(F.min("gameCreation"), F.count("*")).first() == (50, 100)
 
 
 def compared(spark, hero, villain, laning=(0.0, 0.0)):
