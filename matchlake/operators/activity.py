@@ -36,7 +36,7 @@ def activity_cells(games: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def heatmap(cells: DataFrame) -> DataFrame:
-    """All 168 cells of every player, zeros where nothing was played.
+    """All 168 cells of every player, zeros where nothing was played; `place` orders them by day and hour.
 
     A player has at most 168 cells, so they fit in one map; the grid is generated beside it and looked up,
     which needs neither a cross join nor a second copy of the players.
@@ -54,6 +54,7 @@ def heatmap(cells: DataFrame) -> DataFrame:
         "puuid",
         F.floor(F.col("cell") / 24).cast("int").alias("dayOfWeek"),
         (F.col("cell") % 24).alias("hour"),
+        (F.col("cell") + 1).alias("place"),
         zero("games", 0),
         zero("wins", 0),
         zero("losses", 0),

@@ -117,15 +117,17 @@ def player_partials_of(participants: DataFrame, matches: DataFrame, laning: bool
 
 
 def role_report(games: DataFrame) -> DataFrame:
-    """Games, share, wins and kda per player and role over the given games."""
+    """Games, share, wins and kda per player and role over the given games; `place` orders a player's roles by games."""
     counts = games.groupBy("puuid", "role").agg(
         F.count("*").alias("gamesPlayed"),
         F.sum(F.col("win").cast("long")).alias("wins"),
         F.sum(micros(kda("kills", "deaths", "assists"))).alias("kdaMicros"),
     )
     total = F.sum("gamesPlayed").over(Window.partitionBy("puuid"))
-    return counts.withColumn("totalGames", total).select(
+    order = Window.partitionBy("puuid").orderBy(F.desc("gamesPlayed"), "role")
+    return counts.withColumns({"totalGames": total, "place": F.row_number().over(order)}).select(
         "puuid",
+        "place",
         "role",
         "gamesPlayed",
         rnd(percent("gamesPlayed", "totalGames"), 2).alias("percentage"),

@@ -14,15 +14,19 @@ MAX_PAGE = 200
 
 
 def with_scores(stats: DataFrame, padded: bool = False, last_minor: int = 23) -> DataFrame:
-    """Adds score, tier and the too-few-games flag, using the champion's row of the patch before."""
-    before = stats.select(
-        "championId", "queueId", F.col("patch").alias("_before"), *[F.col(m).alias(f"_{m}") for m in scoring.METRICS]
-    )
-    joined = stats.withColumn("_before", previous_patch("patch", padded, last_minor)).join(
-        before, ["championId", "queueId", "_before"], "left"
-    )
+    """Adds score, tier and the too-few-games flag, using the champion's row of the patch before.
+
+    The statistics are read once: patches are numbered so that the one before has the number before, and of the rows
+    there, a few at most, the one of the wanted name counts.
+    """
+    parts = F.split("patch", r"\.")
+    major, minor = (F.get(parts, F.lit(i)).try_cast("long") for i in (0, 1))
+    there = Window.partitionBy("championId", "queueId").orderBy("_number").rangeBetween(-1, -1)
+    numbered = stats.withColumn("_before", previous_patch("patch", padded, last_minor)).withColumn("_number", major * last_minor + minor)
+    listed = numbered.withColumn("_listed", F.collect_list(F.struct("patch", *scoring.METRICS)).over(there))
+    joined = listed.withColumn("_old", F.get(F.filter("_listed", lambda x: x["patch"] == F.col("_before")), F.lit(0)))
     now = {m: F.col(m) for m in scoring.METRICS}
-    old = {m: F.col(f"_{m}") for m in scoring.METRICS}
+    old = {m: F.col(f"_old.{m}") for m in scoring.METRICS}
     few = F.col("gamesPlayed") < scoring.MIN_GAMES
     return (
         joined.withColumn("score", scoring.champion_score(now, old))
@@ -33,7 +37,7 @@ def with_scores(stats: DataFrame, padded: bool = False, last_minor: int = 23) ->
                 scoring.tier(F.col("score"), F.col("winRate"), F.col("banRate"))
             ),
         )
-        .drop("_before", *[f"_{m}" for m in scoring.METRICS])
+        .drop("_before", "_number", "_listed", "_old")
     )
 
 

@@ -531,7 +531,7 @@ LEFT JOIN cat USING (champ)""", PLAYERS)
 
 def roles_sql(where: str) -> str:
     return f"""
-SELECT supp AS puuid, role, count(*) AS "gamesPlayed", {rnd(pct('count(*)', 'sum(count(*)) OVER (PARTITION BY supp)'), 2)} AS percentage,
+SELECT supp AS puuid, row_number() OVER (PARTITION BY supp ORDER BY count(*) DESC, role) AS place, role, count(*) AS "gamesPlayed", {rnd(pct('count(*)', 'sum(count(*)) OVER (PARTITION BY supp)'), 2)} AS percentage,
   sum(win::INT) AS wins, count(*) - sum(win::INT) AS losses, {rnd(pct('sum(win::INT)', 'count(*)'), 2)} AS "winRate", {rnd(mean('kda'), 2)} AS "avgKda",
   sum(count(*)) OVER (PARTITION BY supp) AS "totalGames" FROM g WHERE queue = 420 {where} GROUP BY supp, role"""
 
@@ -539,7 +539,7 @@ SELECT supp AS puuid, role, count(*) AS "gamesPlayed", {rnd(pct('count(*)', 'sum
 sql("player_roles", roles_sql(""))
 sql("player_roles_of_patch", roles_sql(f"AND patch || '.' LIKE '{PATCH}.%'"))
 sql("player_activity", """
-SELECT pl.puuid, d AS "dayOfWeek", h AS hour, coalesce(games, 0) AS games, coalesce(wins, 0) AS wins, coalesce(games - wins, 0) AS losses, coalesce(wr, 0e0) AS "winRate"
+SELECT pl.puuid, d * 24 + h + 1 AS place, d AS "dayOfWeek", h AS hour, coalesce(games, 0) AS games, coalesce(wins, 0) AS wins, coalesce(games - wins, 0) AS losses, coalesce(wr, 0e0) AS "winRate"
 FROM (SELECT DISTINCT puuid FROM cells) pl, range(7) x(d), range(24) y(h) LEFT JOIN cells c ON c.puuid = pl.puuid AND c.dow = d AND c.hour = h""", CELLS)
 _DAY = "['Sunday','Monday','Tuesday','Wednesday','Thursday','Friday','Saturday']"
 sql("activity_insights", f"""

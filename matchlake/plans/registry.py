@@ -484,7 +484,7 @@ def player_champions(spark, d):
 
 
 _ROLE_COLUMNS = (
-    "puuid bigint, role string, gamesPlayed bigint, percentage double, wins bigint, losses bigint, winRate double, "
+    "puuid bigint, place bigint, role string, gamesPlayed bigint, percentage double, wins bigint, losses bigint, winRate double, "
     "avgKda double, totalGames bigint"
 )
 
@@ -499,7 +499,7 @@ def player_roles_of_patch(spark, d):
     return reports.player_roles(star.participants(spark, d), star.matches(spark, d), patch=PATCH, match="prefix")
 
 
-@query("puuid bigint, dayOfWeek bigint, hour bigint, games bigint, wins bigint, losses bigint, winRate double")
+@query("puuid bigint, place bigint, dayOfWeek bigint, hour bigint, games bigint, wins bigint, losses bigint, winRate double")
 def player_activity(spark, d):
     return activity.heatmap(reports.player_activity(star.participants(spark, d), star.matches(spark, d)))
 

@@ -33,7 +33,8 @@ def _div(a: Column, b: int) -> Column:
     return F.floor(a / b).cast("long")
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matches(spark: SparkSession, sf_dir: str, player: bool = False) -> DataFrame:
+    """A match per order; with its customer as the player if asked for."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     second = (key * 7919) % 86400
     version = F.concat_ws(".", (F.year(day) - 1985).cast("string"), F.quarter(day).cast("string"), F.lit("1"))
@@ -48,6 +49,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("hasTimeline"),
         extract_patch(version).alias("patch"),
         F.col("o_orderstatus").alias("status"),
+        *([F.col("o_custkey").alias("puuid")] if player else []),
     )
 
 
@@ -230,9 +232,7 @@ def ranked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(puuid, matchId, gameCreation, queueId, status) with the ordering customer as player."""
-    m = matches(spark, sf_dir)
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("matchId"), F.col("o_custkey").alias("puuid"))
-    return m.join(o, "matchId").select("puuid", "matchId", "gameCreation", "queueId", "status")
+    return matches(spark, sf_dir, player=True).select("puuid", "matchId", "gameCreation", "queueId", "status")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
