@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from matchlake.functions.numeric import kda, last_or_zero, mean_of_micros, micros, per_minute, percent
 
@@ -73,13 +74,14 @@ def match_partials(matches: DataFrame) -> DataFrame:
     return matches.groupBy("patch", "queueId").agg(F.count("*").alias("matches"))
 
 
-def merge(partials: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds up partial rows of the same key. Sums are exact, so the split into parts does not matter."""
-    sums = [c for c in partials.columns if c not in keys and not c.startswith("last")]
+def merge(partials: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Adds up partial rows of the same key, with more aggregates beside. Sums are exact, so the split into parts does not matter."""
+    sums = [c for c in partials.columns if c not in keys and not c.startswith("last") and isinstance(partials.schema[c].dataType, NumericType)]
     lasts = [c for c in partials.columns if c.startswith("last")]
     return partials.groupBy(*keys).agg(
         *[F.sum(c).cast(partials.schema[c].dataType).alias(c) for c in sums],
         *[F.max(c).alias(c) for c in lasts],
+        *more,
     )
 
 

@@ -6,7 +6,9 @@ lifetime row 'ALL' included, is rolled up from those much smaller rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlake.functions.numeric import at_or_zero, kda, mean_of_micros, micros, percent, rnd
 from matchlake.functions.patches import ALL_PATCHES
@@ -39,8 +41,12 @@ def player_partials(games: DataFrame) -> DataFrame:
     )
 
 
-def with_lifetime(partials: DataFrame) -> DataFrame:
-    """Every row once for its patch and once for the lifetime patch."""
+def with_lifetime(partials: DataFrame, patch: str | None = None) -> DataFrame:
+    """Every row once for its patch and once for the lifetime patch, or only for the patch that is asked for."""
+    if patch == ALL_PATCHES:
+        return partials.withColumn("patch", F.lit(ALL_PATCHES))
+    if patch is not None:
+        return partials.where(F.col("patch") == patch)
     return partials.withColumn("patch", F.explode(F.array("patch", F.lit(ALL_PATCHES))))
 
 
@@ -62,16 +68,45 @@ def player_stats(partials: DataFrame) -> DataFrame:
     )
 
 
-def player_champion_stats(partials: DataFrame) -> DataFrame:
+def _roles(pairs: Column) -> Column:
+    """Role to games map of a short list of (role, games)."""
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["role"])))
+    total = lambda r: F.aggregate(F.filter(pairs, lambda p: p["role"] == r), F.lit(0).cast("long"), lambda n, p: n + p["games"])
+    return F.map_from_arrays(names, F.transform(names, total))
+
+
+def _role_pairs() -> Column:
+    return F.collect_list(F.struct("role", F.col("gamesPlayed").alias("games"))).alias("_roles")
+
+
+def summaries(partials: DataFrame, patch: str, name: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
+    """Rates, roles and the k most played champions of each player in one patch, or in the lifetime.
+
+    Games are added up once per player and champion, and those rows once per player: the lists that meet there are a
+    player's champions, with a few roles each. `name` adds championName to rows with a championId.
+    """
+    champions_ = merge(with_lifetime(partials, patch), PLAYER_CHAMPION_KEYS, _role_pairs())
+    best = F.struct((-F.col("gamesPlayed")).alias("order"), "championId", "championName", F.col("gamesPlayed").alias("games"), "wins")
+    people = merge(name(champions_), PLAYER_KEYS, F.flatten(F.collect_list("_roles")).alias("_roles"), F.sort_array(F.collect_list(best)).alias("_best"))
+    top = F.transform(
+        F.slice("_best", 1, k),
+        lambda c: F.struct(c["championId"].alias("championId"), c["championName"].alias("championName"), c["games"].alias("games"), rnd(percent(c["wins"], c["games"]), 2).alias("winRate")),
+    )
+    return people.select(*PLAYER_KEYS, *_rates(), "lastPlayedAt", _roles(F.col("_roles")).alias("roleDistribution"), top.alias("topChampions"))
+
+
+def player_champion_stats(partials: DataFrame, patch: str | None = None, roles: bool = False) -> DataFrame:
+    """Rates and laning per player and champion, of every patch and the lifetime or of one; with the role map if asked for."""
     laning = [
         rnd(F.coalesce(F.try_divide(F.col(f"{n}Sum").cast("double"), "opponentGames"), F.lit(0.0)), 2).alias(
             f"avg{n.capitalize()}"
         )
         for n in LANING
     ]
-    return merge(with_lifetime(partials.drop("role")), PLAYER_CHAMPION_KEYS).select(
-        *PLAYER_CHAMPION_KEYS, *_rates(), *laning, "lastPlayedAt"
-    )
+    rows = with_lifetime(partials if roles else partials.drop("role"), patch)
+    merged = merge(rows, PLAYER_CHAMPION_KEYS, *([_role_pairs()] if roles else []))
+    shown = [_roles(F.col("_roles")).alias("roleDistribution")] if roles else []
+    return merged.select(*PLAYER_CHAMPION_KEYS, *_rates(), *laning, "lastPlayedAt", *shown)
 
 
 def role_counts(partials: DataFrame, keys: list[str] = PLAYER_KEYS) -> DataFrame:

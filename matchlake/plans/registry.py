@@ -77,14 +77,6 @@ def star_partials(spark, d, laning=False):
     return players.player_partials_of(star.participants(spark, d), star.matches(spark, d), laning)
 
 
-def written_partials(spark, d, laning=False):
-    """The partial sums as a table, for reports that read them more than once."""
-    rows = star_partials(spark, d, laning)
-    path = f"{new_work_dir(spark, 'partials')}/player_partials"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def star_games(spark, d):
     return champions.game_rows(star.participants(spark, d), star.matches(spark, d))
 
@@ -470,7 +462,7 @@ def top_champions(spark, d):
     "avgDpm double, avgGpm double, avgVisionScore double, roles string, topChampions string"
 )
 def player_summary(spark, d):
-    rows = reports.player_summary(written_partials(spark, d), star.catalog(spark, d))
+    rows = reports.player_summary(star_partials(spark, d), star.catalog(spark, d))
     pair = F.transform(F.map_entries("roleDistribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     named = F.transform("topChampions", lambda c: F.concat(c["championName"], F.lit("="), c["games"].cast("string")))
     return rows.withColumns({"roles": F.concat_ws(",", pair), "topChampions": F.concat_ws(",", named)})
@@ -479,7 +471,7 @@ def player_summary(spark, d):
 @query("puuid bigint, place bigint, championId bigint, championName string, gamesPlayed bigint, winRate double, avgKda double, avgCsd15 double")
 def player_champions(spark, d):
     return reports.player_champions(
-        written_partials(spark, d, laning=True), star.catalog(spark, d), role="MID", sort_by="winRate", limit=10
+        star_partials(spark, d, laning=True), star.catalog(spark, d), role="MID", sort_by="winRate", limit=10
     )
 
 

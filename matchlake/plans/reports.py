@@ -84,21 +84,8 @@ def player_summary(
     partials: DataFrame, catalog: DataFrame, patch: str = ALL_PATCHES, queue_id: int = RANKED
 ) -> DataFrame:
     """Rates, games per role and the top champions of each player."""
-    rows = partials.where(F.col("queueId") == queue_id)
-    if patch != ALL_PATCHES:
-        rows = rows.where(F.col("patch") == patch)
-    one = lambda df: df.where(F.col("patch") == patch)
-    top = catalogs.enrich(one(players.top_champions(rows)), catalog)
-    top = top.groupBy("puuid").agg(
-        F.sort_array(F.collect_list(F.struct("place", "championId", "championName", "games", "winRate"))).alias("t")
-    )
-    listed = F.transform(
-        "t", lambda c: F.struct(c["championId"], c["championName"], c["games"], c["winRate"])
-    ).alias("topChampions")
-    roles = one(players.role_distribution(rows)).select("puuid", "roleDistribution")
-    return (
-        one(players.player_stats(rows)).join(roles, "puuid").join(top.select("puuid", listed), "puuid")
-    )
+    named = lambda rows: catalogs.enrich(rows, catalog).drop("imageUrl")
+    return players.summaries(partials.where(F.col("queueId") == queue_id), patch, named)
 
 
 def player_champions(
@@ -113,12 +100,7 @@ def player_champions(
     """The best champions of each player in the given order, optionally those played in a role."""
     if not 1 <= limit <= MOST_CHAMPIONS:
         raise ValueError(f"limit is 1 to {MOST_CHAMPIONS}")
-    keys = players.PLAYER_CHAMPION_KEYS
-    rows = partials.where(F.col("queueId") == queue_id)
-    if patch != ALL_PATCHES:
-        rows = rows.where(F.col("patch") == patch)
-    stats = players.player_champion_stats(rows).join(players.role_distribution(rows, keys), keys)
-    stats = stats.where(F.col("patch") == patch)
+    stats = players.player_champion_stats(partials.where(F.col("queueId") == queue_id), patch, roles=role is not None)
     if role is not None:
         stats = stats.where(F.coalesce(F.try_element_at("roleDistribution", F.lit(role_alias(role))), F.lit(0)) > 0)
     column = {"winRate": "winRate", "kda": "avgKda"}.get(sort_by, "gamesPlayed")
