@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import embedding_dups, fingerprints, licenses, mixing, near_dups, pieces, quality, secrets_scan, token_counts, token_files
+from matchlake.llm import embedding_dups, fingerprints, licenses, mixing, near_dups, oracle, pieces, quality, secrets_scan, token_counts, token_files
 from matchlake.llm.common import table
 from matchlake.session import new_work_dir
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+#: SQL of the queries that SQL can express.
+ORACLE: dict[str, str] = {
+    "op2_near_dups": oracle.NEAR_DUPS,
+    "op3_fingerprints": oracle.FINGERPRINTS,
+    "op4_licenses": oracle.LICENSES,
+    "op7_source_mix": oracle.SOURCE_MIX,
+    "op9_embedding_dups": oracle.EMBEDDINGS,
+}
 
 #: Parameters of the queries: vocabulary files and the id that ends a document.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -38,39 +45,6 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-ORACLE["op7_source_mix"] = r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS hash
-  FROM documents
-), sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS most,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
-  FROM sized GROUP BY source
-), filling AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
-  FROM sources
-  WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), plan AS (
-  SELECT source, source_size, least(CAST(most AS DOUBLE),
-           weight * (SELECT arg_min(level, most / weight) FROM filling WHERE weight * level <= most)) AS target
-  FROM filling
-), budget AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS rounds,
-         target - CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END * source_size AS rest
-  FROM plan
-), sums AS (
-  SELECT d.doc_id, d.size, b.source_size, b.target, b.rounds, b.rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.hash) AS own
-  FROM sized d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source
-)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (rounds + CASE WHEN upto - own < rest AND (upto < rest OR upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sums
-"""
-
-
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of each document to be good by the text view, the page view and both, and whether it is kept."""

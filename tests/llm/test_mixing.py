@@ -1,13 +1,9 @@
-import pathlib
 import re
 
-import duckdb
 import pytest
 from fixtures import docs, rows
 
-from matchlake.llm import mixing, queries
-
-SF = "/root/testdata/sf0.001"
+from matchlake.llm import mixing
 
 
 def plain_targets(sizes):
@@ -70,13 +66,3 @@ def test_apply_repeats_and_drops(spark):
 
 def test_no_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.apply(docs(spark, [])).count() == 0
-
-
-@pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="benchmark tables are not here")
-def test_query_equals_its_sql(spark):
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    sql = con.sql(queries.ORACLE["op7_source_mix"])
-    want = sorted(map(tuple, sql.fetchall()))
-    got = queries.QUERIES["op7_source_mix"](spark, SF).select(*sql.columns).collect()
-    assert sorted(map(tuple, got)) == want
