@@ -61,8 +61,8 @@ def compare_stats(pairs: DataFrame, users: DataFrame, stats: DataFrame, laning:
         "gamesPlayed",
         *[rnd(n, d).alias(n) for n, d in STATS.items()],
         *[(rnd(n, 1) if laning else F.lit(0.0)).alias(n) for n in LANING],
-        F.lit(0).alias("soloKills15"),
-        F.lit(0).alias("soloDeaths15"),
+        "soloKills15",
+        "soloDeaths15",
     )
     out = pairs
     for side in SIDES:
@@ -130,5 +130,31 @@ def compare_timelines(pairs: DataFrame, averages: DataFrame) -> DataFrame:
     return sides.join(averages, "puuid").drop("puuid")
 
 
+def average_series(games: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The averaged series of each player, each as one array by minute, from one pass over the games.
+
+    `columns` names the result of each series column. A minute is averaged over the games that last that long.
+    """
+    zipped = F.arrays_zip(*columns)
+    per_minute = games.select("puuid", F.posexplode(zipped).alias("minute", "v")).groupBy("puuid", "minute")
+    sums = per_minute.agg(*[F.sum(f"v.{c}").alias(f"_{c}") for c in columns], *[F.count(f"v.{c}").alias(f"_n{c}") for c in columns])
+    mean = lambda c: F.floor(F.col(f"_{c}").cast("double") / F.col(f"_n{c}") + 0.5).alias(c)
+    # A player has as many rows here as the longest game has minutes.
+    listed = sums.groupBy("puuid").agg(F.sort_array(F.collect_list(F.struct("minute", *[mean(c) for c in columns]))).alias("_m"))
+
+    def values(c: str) -> Column:
+        return F.transform(F.filter("_m", lambda m: m[c].isNotNull()), lambda m: m[c])
+
+    return listed.select("puuid", *[values(c).alias(n) for c, n in columns.items()])
+
+
+def with_series(compared: DataFrame, series: DataFrame) -> DataFrame:
+    """Both players' series beside their stats; a player without games has none."""
+    for side in SIDES:
+        named = series.select(F.col("puuid").alias(side), *[F.col(c).alias(side + c[0].upper() + c[1:]) for c in series.columns if c != "puuid"])
+        compared = compared.join(named, side, "left")
+    return compared
+
+
 def patch_stats(stats: DataFrame, patch: str | None, queue_id: int) -> DataFrame:
     return stats.where((F.col("patch") == (patch or ALL_PATCHES)) & (F.col("queueId") == queue_id))

@@ -19,6 +19,7 @@ PLAYER_KEYS = ["puuid", "patch", "queueId"]
 PLAYER_CHAMPION_KEYS = ["puuid", "championId", "patch", "queueId"]
 PARTIAL_KEYS = ["puuid", "championId", "role", "patch", "queueId"]
 LANING_MINUTE = 15
+SOLO = ["soloKills15", "soloDeaths15"]
 LANING = {"csd15": "csGraph", "gd15": "goldGraph", "xpd15": "xpGraph"}
 
 
@@ -37,6 +38,7 @@ def player_partials(games: DataFrame) -> DataFrame:
         F.sum("visionScore").cast("long").alias("visionSum"),
         F.sum(F.col("hasOpponent").cast("long")).alias("opponentGames"),
         *[F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(f"{name}Sum") for name in LANING],
+        *[(F.coalesce(F.sum(name), F.lit(0)) if name in games.columns else F.lit(0)).cast("long").alias(f"{name}Sum") for name in SOLO],
         F.max("gameCreation").alias("lastPlayedAt"),
     )
 
@@ -59,6 +61,7 @@ def _rates() -> list:
         rnd(mean_of_micros("kdaMicros", "gamesPlayed"), 2).alias("avgKda"),
         *[rnd(mean_of_micros(f"{r}Micros", "timedGames"), 2).alias(f"avg{r.capitalize()}") for r in RATES],
         rnd(F.try_divide(F.col("visionSum").cast("double"), "gamesPlayed"), 2).alias("avgVisionScore"),
+        *[F.col(f"{name}Sum").alias(name) for name in SOLO],
     ]
 
 

@@ -55,7 +55,7 @@ p AS (
       least(l_partkey % 50, (l_partkey // 50) % 50) AS champ,
       CASE WHEN l_linestatus = 'O' THEN 100 ELSE 200 END AS team,
       {LANES}[(l_linenumber - 1) % 5 + 1] AS role,
-      floor(l_quantity)::BIGINT % 15 AS k, l_partkey % 11 AS dd, l_suppkey % 20 AS a,
+      l_partkey % 3 AS solok, l_linenumber % 2 AS solod, floor(l_quantity)::BIGINT % 15 AS k, l_partkey % 11 AS dd, l_suppkey % 20 AS a,
       floor(l_extendedprice / 4)::BIGINT AS gold, floor(l_extendedprice / 3)::BIGINT AS damage,
       floor(l_extendedprice / 5)::BIGINT + l_partkey % 1000 AS taken, l_suppkey % 60 + l_linenumber AS vision,
       15 + l_orderkey % 31 - CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS len
@@ -188,12 +188,12 @@ gg AS (
 ps AS (
   SELECT supp AS puuid, patch, queue, count(*) AS games, sum(win::INT) AS wins, {rnd(pct('sum(win::INT)', 'count(*)'), 2)} AS wr,
     {rnd(mean('kda'), 2)} AS kda, {rnd(mean('dpm'), 2)} AS dpm, {rnd(mean('gpm'), 2)} AS gpm, {rnd(mean('cspm'), 2)} AS cspm,
-    {rnd('sum(vision)::DOUBLE / count(*)', 2)} AS vision, max(created) AS last
+    {rnd('sum(vision)::DOUBLE / count(*)', 2)} AS vision, sum(solok) AS solok, sum(solod) AS solod, max(created) AS last
   FROM gg GROUP BY supp, patch, queue),
 pcs AS (
   SELECT supp AS puuid, champ, patch, queue, count(*) AS games, sum(win::INT) AS wins, {rnd(pct('sum(win::INT)', 'count(*)'), 2)} AS wr,
     {rnd(mean('kda'), 2)} AS kda, {rnd(mean('dpm'), 2)} AS dpm, {rnd(mean('gpm'), 2)} AS gpm, {rnd(mean('cspm'), 2)} AS cspm,
-    {rnd('sum(vision)::DOUBLE / count(*)', 2)} AS vision,
+    {rnd('sum(vision)::DOUBLE / count(*)', 2)} AS vision, sum(solok) AS solok, sum(solod) AS solod,
     {rnd('coalesce(sum(cs15 - ocs)::DOUBLE / nullif(sum(met::INT), 0), 0e0)', 2)} AS csd,
     {rnd('coalesce(sum(gold15 - ogold)::DOUBLE / nullif(sum(met::INT), 0), 0e0)', 2)} AS gd,
     {rnd('coalesce(sum(xp15 - oxp)::DOUBLE / nullif(sum(met::INT), 0), 0e0)', 2)} AS xpd,
@@ -255,7 +255,7 @@ def counted(rows: str) -> str:
 _ELO = "SELECT c_custkey AS puuid FROM customer WHERE c_mktsegment IN (" + ", ".join(f"'{t}'" for t in HIGH_LEAGUES) + ")"
 
 
-def _compare(stats: str, laning: bool) -> str:
+def _compare(stats: str, laning: bool, more: str = "", series: str = "") -> str:
     h, v = "h.", "v."
     cs = f"CASE WHEN hcs > 0 AND vcs > 0 THEN (hcs - vcs) / vcs * 100 END"
     dpm = f"CASE WHEN hdpm > 0 AND vdpm > 0 THEN (hdpm - vdpm) / vdpm * 100 END"
@@ -286,7 +286,7 @@ def _compare(stats: str, laning: bool) -> str:
     cols = ", ".join(
         f"{s}.name AS {s}name, {s}.games AS {s}games, {rnd(s + '.wr', 2)} AS {s}wr, {rnd(s + '.kda', 2)} AS {s}kda, "
         f"{rnd(s + '.cspm', 1)} AS {s}cs, {rnd(s + '.dpm', 1)} AS {s}dpm, {rnd(s + '.vision', 1)} AS {s}vis, "
-        f"{rnd(csd.format(s + '.'), 1)} AS {s}csd"
+        f"{rnd(csd.format(s + '.'), 1)} AS {s}csd, {s}.solok AS {s}solok, {s}.solod AS {s}solod"
         for s in ("h", "v")
     )
     return f"""
@@ -295,11 +295,11 @@ def _compare(stats: str, laning: bool) -> str:
     SELECT hero, villain, hname AS "heroGameName", vname AS "villainGameName", hgames AS "heroGamesPlayed", vgames AS "villainGamesPlayed",
       hwr AS "heroWinRate", vwr AS "villainWinRate", hkda AS "heroAvgKda", vkda AS "villainAvgKda", hcs AS "heroAvgCspm",
       vcs AS "villainAvgCspm", hdpm AS "heroAvgDpm", vdpm AS "villainAvgDpm", hvis AS "heroAvgVisionScore",
-      hcsd AS "heroAvgCsd15", vcsd AS "villainAvgCsd15", 0 AS "heroSoloKills15",
+      hcsd AS "heroAvgCsd15", vcsd AS "villainAvgCsd15", hsolok AS "heroSoloKills15", vsolod AS "villainSoloDeaths15",{more}
       CASE WHEN hwr >= vwr THEN 'hero' ELSE 'villain' END AS winner,
       array_to_string([x FOR x IN [{ahead}] IF x IS NOT NULL], ' | ') AS advantages,
       array_to_string([x FOR x IN [{tips}] IF x IS NOT NULL], ' | ') AS recommendations
-    FROM duo"""
+    FROM duo{series}"""
 
 
 _AVG = """
@@ -618,6 +618,17 @@ SELECT mid AS "matchId", supp AS puuid, pos, champ AS "championId", role, kda, m
 
 sql("compare_players", _compare("SELECT * FROM ps WHERE patch = 'ALL' AND queue = 420", False), PLAYERS)
 sql("compare_players_champion", _compare(f"SELECT * FROM pcs WHERE patch = 'ALL' AND queue = 420 AND champ = {CHAMPION}", True), PLAYERS)
+_SERIES = """
+series AS (
+  SELECT puuid, string_agg(cs::BIGINT::VARCHAR, ',' ORDER BY minute) AS cs, string_agg(gold::BIGINT::VARCHAR, ',' ORDER BY minute) AS gold FROM (
+    SELECT supp AS puuid, minute, floor(sum(minute * (4 + qty % 5) + part % 3)::DOUBLE / count(*) + 0.5) AS cs,
+      floor(sum(500 + minute * (200 + part % 300) + (supp * minute * minute) % 53 * 60)::DOUBLE / count(*) + 0.5) AS gold
+    FROM (SELECT *, unnest(range(len)) AS minute FROM g WHERE queue = 420 AND champ = CHAMP) GROUP BY supp, minute) GROUP BY puuid)
+""".replace("CHAMP", str(CHAMPION))
+sql("comparison", _compare(
+    f"SELECT * FROM pcs WHERE patch = 'ALL' AND queue = 420 AND champ = {CHAMPION}", True,
+    ' hs.cs AS "heroCs", vs.cs AS "villainCs", hs.gold AS "heroGold", vs.gold AS "villainGold",',
+    " LEFT JOIN series hs ON hs.puuid = hero LEFT JOIN series vs ON vs.puuid = villain"), PLAYERS, _SERIES)
 sql("compare_timelines", """
 SELECT hero, villain, 'hero' AS side, minute, value FROM pairs JOIN avg_cs ON hero = puuid
 UNION ALL SELECT hero, villain, 'villain', minute, value FROM pairs JOIN avg_cs ON villain = puuid""", _AVG)

@@ -619,7 +619,7 @@ _COMPARE_COLUMNS = (
     "hero bigint, villain bigint, heroGameName string, villainGameName string, heroGamesPlayed bigint, "
     "villainGamesPlayed bigint, heroWinRate double, villainWinRate double, heroAvgKda double, villainAvgKda double, "
     "heroAvgCspm double, villainAvgCspm double, heroAvgDpm double, villainAvgDpm double, heroAvgVisionScore double, "
-    "heroAvgCsd15 double, villainAvgCsd15 double, heroSoloKills15 bigint, winner string, advantages string, "
+    "heroAvgCsd15 double, villainAvgCsd15 double, heroSoloKills15 bigint, villainSoloDeaths15 bigint, winner string, advantages string, "
     "recommendations string"
 )
 
@@ -642,6 +642,15 @@ def compare_players_champion(spark, d):
     )
 
 
+@query(_COMPARE_COLUMNS + ", heroCs string, villainCs string, heroGold string, villainGold string")
+def comparison(spark, d):
+    games = champions.with_match(
+        players.with_laning(star.participants(spark, d).withColumns({"_cs": F.col("csGraph"), "_gold": F.col("goldGraph")})), star.matches(spark, d)
+    ).withColumnsRenamed({"_cs": "csGraph", "_gold": "goldGraph"})
+    rows = _worded(reports.comparison(star_pairs(spark, d), star.users(spark, d), games, champion_id=CHAMPION))
+    return rows.withColumns({c: joined(F.col(c)) for c in ("heroCs", "villainCs", "heroGold", "villainGold")})
+
+
 @query("hero bigint, villain bigint, side string, minute bigint, value bigint")
 def compare_timelines(spark, d):
     return reports.compare_timelines(

@@ -161,6 +161,26 @@ def compare_players(
     return compare.with_insights(compare.compare_stats(pairs, users, chosen, laning=champion_id is not None))
 
 
+def comparison(
+    pairs: DataFrame,
+    users: DataFrame,
+    games: DataFrame,
+    patch: str = ALL_PATCHES,
+    champion_id: int | None = None,
+    queue_id: int = RANKED,
+) -> DataFrame:
+    """Stats, laning, solo fights, insights and both averaged series of each pair.
+
+    `games` are rows of champion_stats.with_match over participants with laning columns and series.
+    """
+    partials = players.player_partials(champions.with_rates(games))
+    compared = compare_players(pairs, users, partials, patch, champion_id, queue_id)
+    played = filter_patch(games, patch).where(F.col("queueId") == queue_id)
+    if champion_id is not None:
+        played = played.where(F.col("championId") == champion_id)
+    return compare.with_series(compared, compare.average_series(played, {"csGraph": "cs", "goldGraph": "gold"}))
+
+
 def compare_timelines(
     pairs: DataFrame,
     participants: DataFrame,

@@ -75,6 +75,8 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.get(roles, (line - 1) % 5), F.lit("_LANE")).alias("lane"),
         F.concat(F.lit("Champion "), F.least(part % 50, _div(part, 50) % 50).cast("string")).alias("championName"),
         ((team == 100) == (order % 2 == 0)).alias("win"),
+        (part % 3).cast("int").alias("soloKills15"),
+        (line % 2).cast("int").alias("soloDeaths15"),
         kills.alias("kills"),
         deaths.alias("deaths"),
         assists.alias("assists"),

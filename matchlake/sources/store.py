@@ -35,7 +35,8 @@ PARTIALS = {
     "player_partials": (
         players.PARTIAL_KEYS,
         f"puuid string, championId int, role string, patch string, queueId int, {SUMS}, visionSum bigint, "
-        "opponentGames bigint, csd15Sum bigint, gd15Sum bigint, xpd15Sum bigint, lastPlayedAt bigint",
+        "opponentGames bigint, csd15Sum bigint, gd15Sum bigint, xpd15Sum bigint, soloKills15Sum bigint, soloDeaths15Sum bigint, "
+        "lastPlayedAt bigint",
     ),
 }
 ROWS = {

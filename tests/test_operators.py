@@ -255,14 +255,14 @@ def test_all_games_enter_timelines_unless_a_sample_is_asked_for(spark):
 def compared(spark, hero, villain, laning=(0.0, 0.0)):
     """(winRate, kda, cspm, dpm, vision) of both."""
     stats = spark.createDataFrame(
-        [("h", 10, hero[0], hero[1], hero[2], hero[3], 400.0, hero[4], laning[0], 0.0, 0.0),
-         ("v", 10, villain[0], villain[1], villain[2], villain[3], 400.0, villain[4], laning[1], 0.0, 0.0)],
-        "puuid string, gamesPlayed int, winRate double, avgKda double, avgCspm double, avgDpm double, avgGpm double, avgVisionScore double, avgCsd15 double, avgGd15 double, avgXpd15 double",
+        [("h", 10, hero[0], hero[1], hero[2], hero[3], 400.0, hero[4], laning[0], 0.0, 0.0, 1, 0),
+         ("v", 10, villain[0], villain[1], villain[2], villain[3], 400.0, villain[4], laning[1], 0.0, 0.0, 0, 2)],
+        "puuid string, gamesPlayed int, winRate double, avgKda double, avgCspm double, avgDpm double, avgGpm double, avgVisionScore double, avgCsd15 double, avgGd15 double, avgXpd15 double, soloKills15 long, soloDeaths15 long",
     )
     users = spark.createDataFrame([("h", "H"), ("v", "V")], "puuid string, gameName string")
     pairs = spark.createDataFrame([("h", "v"), ("h", "nobody")], "hero string, villain string")
     rows = compare.with_insights(compare.compare_stats(pairs, users, stats, laning=True)).collect()
-    assert len(rows) == 1
+    assert len(rows) == 1 and (rows[0]["heroSoloKills15"], rows[0]["villainSoloDeaths15"]) == (1, 2)
     return rows[0]["winner"], rows[0]["advantages"], rows[0]["recommendations"]
 
 
@@ -332,3 +332,9 @@ def test_request_window_against_brute_force(spark):
         by_key.setdefault(k, []).append(t)
     wanted = sorted((t, n, n < 20) for ts in by_key.values() for t in ts for n in [sum(t - 10000 < o <= t for o in ts)])
     assert sorted((r["ts_ms"], r["requestsInWindow"], r["canProceed"]) for r in got.collect()) == wanted
+
+
+def test_average_series(spark):
+    games = spark.createDataFrame([("a", [1, 2, 4], [10, 20]), ("a", [2, 3], [11, 21, 31]), ("b", [], [])], "puuid string, csGraph array<int>, goldGraph array<int>")
+    got = {r["puuid"]: (r["cs"], r["gold"]) for r in compare.average_series(games, {"csGraph": "cs", "goldGraph": "gold"}).collect()}
+    assert got == {"a": ([2, 3, 4], [11, 21, 31])}
