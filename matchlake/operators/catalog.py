@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from matchlake.functions.text import image_urls, normalise_name
 
@@ -21,7 +21,10 @@ def champion_list(catalog: DataFrame, version: str | None = None) -> DataFrame:
 
 
 def sorted_champions(catalog: DataFrame, version: str | None = None, locale: str = "pt") -> DataFrame:
-    return champion_list(catalog, version).orderBy(F.collate("name", locale), "championId")
+    """The list with `place` in the order of the locale and `total`, the number of champions. A catalog is small."""
+    order = Window.orderBy(F.collate("name", locale), "championId")
+    rows = champion_list(catalog, version).withColumns({"place": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy())})
+    return rows.orderBy("place")
 
 
 def enrich(stats: DataFrame, catalog: DataFrame, version: str | None = None, keep_unknown: bool = True) -> DataFrame:

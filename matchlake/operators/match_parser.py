@@ -129,11 +129,15 @@ def slim_participants(docs: DataFrame) -> DataFrame:
     )
 
 
-def match_outcomes(slim: DataFrame, docs: DataFrame) -> DataFrame:
-    """Patch, duration and winning team (team of the first winner, 0 without one) of each match."""
-    winners = slim.groupBy("matchId").agg(F.min_by("teamId", F.when(F.col("win"), F.col("pos"))).alias("w"))
-    return match_rows(docs).join(winners, "matchId", "left").select(
-        "matchId", "patch", "gameDuration", F.coalesce("w", F.lit(0)).alias("winningTeamId")
+def match_outcomes(docs: DataFrame) -> DataFrame:
+    """Patch, duration and winning team (team of the first winner, 0 without one) of each match, all from its own row."""
+    first = F.get(F.filter("info.participants", lambda p: F.get_json_object(p, "$.win") == "true"), F.lit(0))
+    team = F.get_json_object(first, "$.teamId").try_cast("int")
+    return docs.select(
+        F.col("metadata.matchId").alias("matchId"),
+        patches.extract_patch("info.gameVersion").alias("patch"),
+        F.col("info.gameDuration").alias("gameDuration"),
+        F.coalesce(team, F.lit(0)).alias("winningTeamId"),
     )
 
 

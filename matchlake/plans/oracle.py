@@ -423,6 +423,13 @@ sql("champion_list", f"""
 SELECT champ AS "championId", cid AS id, cname AS name, title, replace(lower(cname), ' ', '') AS "normalName",
   '{_IMG}/15.19.1/img/champion/' || cid || '.png' AS square, '{_IMG}/img/champion/loading/' || cid || '_0.jpg' AS loading,
   '{_IMG}/img/champion/splash/' || cid || '_0.jpg' AS splash FROM cat""")
+sql("champion_list_of_file", f"""
+SELECT row_number() OVER (ORDER BY lower(cname), champ) AS place, count(*) OVER () AS total, champ AS "championId", cid AS id, cname AS name, title,
+  '{_IMG}/15.19.1/img/champion/' || cid || '.png' AS square FROM cat""")
+sql("league_entries", """
+SELECT c_custkey::VARCHAR AS puuid, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' OWN' ELSE c_mktsegment END AS tier, 'RANKED_SOLO_5x5' AS "queueType",
+  'I' AS rank, floor(abs(c_acctbal) / 10)::BIGINT AS "leaguePoints", c_custkey % 70 AS wins, c_custkey % 60 AS losses FROM customer""")
+sql("listed_match_ids", 'SELECT puuid::VARCHAR AS puuid, place, mid::VARCHAR AS "matchId" FROM rec WHERE place BETWEEN 2 AND 6', IDS)
 sql("patch_list", """
 SELECT row_number() OVER (ORDER BY y DESC, q DESC) - 1 AS place, patch, patch || '.1' AS "fullVersion",
   row_number() OVER (ORDER BY y DESC, q DESC) = 1 AS current FROM (SELECT DISTINCT y, q, patch FROM m)""")
@@ -564,7 +571,9 @@ behind AS (SELECT hist.* FROM hist LEFT JOIN cur USING (puuid) WHERE cur.mid IS
 sql("history_counts", f"SELECT supp AS puuid, count(*) AS matches FROM g WHERE queue = 420 AND champ = {CHAMPION} AND NOT win GROUP BY supp")
 sql("player_profile", """
 SELECT s_suppkey AS puuid, s_name AS "gameName", 'BR1' AS "tagLine", n_name AS region, s_suppkey % 29 AS "profileIconId", 30 + s_suppkey % 400 AS "summonerLevel",
-  CASE WHEN s_acctbal > 5000 THEN 'GOLD' WHEN s_acctbal > 0 THEN 'SILVER' END AS tier, floor(abs(s_acctbal) / 100) AS "leaguePoints"
+  CASE WHEN s_acctbal > 5000 THEN 'GOLD' WHEN s_acctbal > 0 THEN 'SILVER' END AS tier, floor(abs(s_acctbal) / 100) AS "leaguePoints",
+  CASE WHEN s_acctbal > 0 THEN ['I', 'II', 'III', 'IV'][s_suppkey % 4 + 1] END AS rank, s_suppkey % 100 AS "rankedWins", s_suppkey % 90 AS "rankedLosses",
+  1700000000 + s_suppkey AS "lastUpdated", 1600000000 + s_suppkey AS "createdAt"
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
 sql("player_upsert", """
 , w AS (SELECT *, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 1000000 + o_orderkey % 1000000 AS ts FROM orders),

@@ -143,7 +143,7 @@ def slim_participants(spark, d):
 @query("matchId string, patch string, gameDuration bigint, winningTeamId bigint")
 def match_outcomes(spark, d):
     docs = match_docs(spark, d)
-    return match_parser.match_outcomes(match_parser.slim_participants(docs), docs)
+    return match_parser.match_outcomes(docs)
 
 
 @query("matchId string, position string, champion1Id bigint, champion1Name string, champion2Id bigint, champion2Name string, winnerId bigint")
@@ -261,6 +261,27 @@ def champion_list(spark, d):
     return catalogs.champion_list(star.catalog(spark, d)).select("*", "images.*")
 
 
+@query("place bigint, total bigint, championId bigint, id string, name string, title string, square string")
+def champion_list_of_file(spark, d):
+    catalog = documents.champions_from_file(documents.parse_json(star.catalog_file(spark, d), schemas.CHAMPIONS_FILE))
+    return catalogs.sorted_champions(catalog).select("*", "images.*")
+
+
+@query("puuid string, tier string, queueType string, rank string, leaguePoints bigint, wins bigint, losses bigint")
+def league_entries(spark, d):
+    return documents.explode_league(documents.parse_json(star.league_lists(spark, d), schemas.LEAGUE_LIST))
+
+
+@query("puuid string, place bigint, matchId string")
+def listed_match_ids(spark, d):
+    """Id lists as they arrive, the 30 latest of each player as JSON, read and cut."""
+    ids = collection.recent_match_ids(star.customer_games(spark, d), count=30)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("matchId").cast("string").alias("m")))), lambda x: x["m"])
+    lists = ids.groupBy("puuid").agg(in_order.alias("ids"))
+    text = lists.select(F.to_json(F.struct(F.col("puuid").cast("string").alias("puuid"), "ids")).alias("value"))
+    return documents.take_match_ids(documents.parse_json(text, schemas.MATCH_IDS), count=5, start=2)
+
+
 @query("place bigint, patch string, fullVersion string, current boolean")
 def patch_list(spark, d):
     return match_parser.patch_list(star.versions(spark, d))
@@ -561,7 +582,7 @@ def history_counts(spark, d):
     return history.count_history(history.filter_history(games, champion_id=CHAMPION, result="loss"))
 
 
-@query("puuid bigint, gameName string, tagLine string, region string, profileIconId bigint, summonerLevel bigint, tier string, leaguePoints bigint")
+@query("puuid bigint, gameName string, tagLine string, region string, profileIconId bigint, summonerLevel bigint, tier string, rank string, leaguePoints bigint, rankedWins bigint, rankedLosses bigint, lastUpdated bigint, createdAt bigint")
 def player_profile(spark, d):
     return reports.player_profile(star.users(spark, d))
 

@@ -141,7 +141,10 @@ def player_profile(users: DataFrame) -> DataFrame:
         "puuid", "gameName", "tagLine", "region", "profileIconId", "summonerLevel", "tier", "rank", "leaguePoints",
         "rankedWins", "rankedLosses", "lastUpdated", "createdAt",
     ]
-    return users.select(*[c for c in names if c in users.columns])
+    missing = [c for c in names if c not in users.columns]
+    if missing:
+        raise ValueError(f"profiles without {', '.join(missing)}")
+    return users.select(*names)
 
 
 def compare_players(

@@ -174,9 +174,37 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         (30 + F.col("s_suppkey") % 400).alias("summonerLevel"),
         F.when(balance > 0, F.when(balance > 5000, F.lit("GOLD")).otherwise(F.lit("SILVER"))).alias("tier"),
         F.floor(F.abs(balance) / 100).cast("int").alias("leaguePoints"),
+        F.when(balance > 0, F.get(F.array(*map(F.lit, ("I", "II", "III", "IV"))), (F.col("s_suppkey") % 4).cast("int"))).alias("rank"),
+        (F.col("s_suppkey") % 100).cast("int").alias("rankedWins"),
+        (F.col("s_suppkey") % 90).cast("int").alias("rankedLosses"),
+        F.timestamp_seconds(1_700_000_000 + F.col("s_suppkey")).alias("lastUpdated"),
+        F.timestamp_seconds(1_600_000_000 + F.col("s_suppkey")).alias("createdAt"),
     )
 
 
+def catalog_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as the one JSON object that its file holds. A catalog has some fifty champions."""
+    entry = F.struct(F.col("championId").cast("string").alias("key"), "id", "name", "title", "version")
+    packed = F.map_from_entries(F.sort_array(F.collect_list(F.struct("id", entry.alias("c")))))
+    return catalog(spark, sf_dir).agg(packed.alias("data")).select(F.to_json(F.struct("data")).alias("value"))
+
+
+def league_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """League lists as JSON, of at most 50 entries each; every other entry leaves its tier to the list."""
+    key = F.col("c_custkey")
+    entry = F.struct(
+        key.cast("string").alias("puuid"),
+        F.lit("RANKED_SOLO_5x5").alias("queueType"),
+        F.when(key % 2 == 0, F.concat(F.col("c_mktsegment"), F.lit(" OWN"))).alias("tier"),
+        F.lit("I").alias("rank"),
+        _int(F.abs("c_acctbal") / 10).alias("leaguePoints"),
+        (key % 70).cast("int").alias("wins"),
+        (key % 60).cast("int").alias("losses"),
+    )
+    lists = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("tier"), _div(key, 50).alias("block"))
+    return lists.agg(F.collect_list(entry).alias("entries")).select(F.to_json(F.struct("tier", "entries")).alias("value"))
+
+
 def profile_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a write of its customer's profile."""
     key = F.col("o_orderkey")

@@ -101,9 +101,9 @@ def test_lane_pairs_last_of_a_lane_counts(read):
     slim = match_parser.slim_participants(docs)
     rows = match_parser.lane_pairs(slim).collect()
     assert [(r["position"], r["champion1Id"], r["champion2Id"], r["winnerId"]) for r in rows] == [("TOP", 2, 3, 3)]
-    assert match_parser.match_outcomes(slim, docs).first()["winningTeamId"] == 200
+    assert match_parser.match_outcomes(docs).first()["winningTeamId"] == 200
     nobody = read(schemas.MATCH, match([person(win=False)]))
-    assert match_parser.match_outcomes(match_parser.slim_participants(nobody), nobody).first()["winningTeamId"] == 0
+    assert match_parser.match_outcomes(nobody).first()["winningTeamId"] == 0
 
 
 def test_patch_list(spark):
