@@ -235,9 +235,8 @@ def _star(sets: DataFrame, percent: int, k: int) -> DataFrame:
 
 def _blocks(sets: DataFrame, star: DataFrame, percent: int, k: int) -> DataFrame:
     """a, b: links that connect what is linked in each group, but for pairs of classes both linked to its first."""
-    firsts = sets.groupBy("group").agg(F.min("sid").alias("first"))
-    linked = star.where("linked").select(F.col("a").alias("sid"), F.lit(True).alias("linked"))
-    rows = sets.join(linked, "sid", "left").join(firsts, "group").withColumn("side", (F.coalesce("linked", F.lit(False)) | (F.col("sid") == F.col("first"))).cast("int"))
+    # The first of a group is in no pair of the star; it is on the side of those linked to it.
+    rows = sets.join(star.select(F.col("a").alias("sid"), "linked"), "sid", "left").withColumn("side", F.coalesce("linked", F.lit(True)).cast("int"))
     counts = rows.groupBy("group", "side").agg(F.count("*").alias("classes"), F.sum("n").alias("total"))
     counts = counts.withColumn("of", F.ceil(F.greatest(F.col("classes") / BLOCK_CLASSES, F.col("total") / BLOCK_VALUES)).cast("int"))
     rows = rows.join(counts.select("group", "side", "of"), ["group", "side"]).withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("of")).cast("int"))
@@ -323,12 +322,13 @@ def apply(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
     rows = written(decided(docs, percent, text).withColumn("some", F.col("n_shingles") > 0), "near-decided")
     out = rows.where("NOT chosen").select("doc_id", "h").distinct()
     again = rows.where("chosen AND some").groupBy("doc_id", "h").agg(F.count("*").alias("times")).where("times > 1").select("doc_id", "h")
-    left = docs.withColumn(of := fresh_name(docs, "near_hash"), F.xxhash64(utf8(text)))
+    of, key, hashed = (fresh_name(docs, n) for n in ("near_of", "near_key", "near_hash"))
+    left = docs.withColumn(of, F.xxhash64(utf8(text)))
 
     def meets(keys: DataFrame, how: str) -> DataFrame:
-        keys = written(keys.select(F.col("doc_id").alias("near_k"), F.col("h").alias("near_h")), "near-keys")
+        keys = written(keys.select(F.col("doc_id").alias(key), F.col("h").alias(hashed)), "near-keys")
         few = keys.count() <= BROADCAST_ROWS
-        return left.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col("near_k")) & (F.col(of) == F.col("near_h")), how)
+        return left.join(F.broadcast(keys) if few else keys, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(of) == F.col(hashed)), how)
 
     once = meets(out.unionByName(again), "left_anti")
     repeated = meets(again, "left_semi").dropDuplicates(["doc_id", of])
