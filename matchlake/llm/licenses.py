@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import WORD, utf8
+from matchlake.llm.common import WORD, utf8, written
 
 #: Notices by which each licence is known.
 TEMPLATES = (
@@ -90,7 +90,8 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", key: str = "d
     rows = files.select(F.col(key).alias(key), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), utf8(text).alias("text"))
     likely = rows.where(F.col("text").rlike(CUE))
     found = likely.select("path", F.xxhash64("text").alias("h"), F.regexp_count("text", F.lit(WORD)).alias("words"), F.explode(F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(CUE))).alias("notice"))
-    notices = found.groupBy("notice").agg(F.count("*").alias("times"))
+    found = written(found, "license-notices")  # the one pass over the texts; the notices are few
+    notices = written(found.groupBy("notice").agg(F.count("*").alias("times")), "license-distinct")
     hits = found.join(matched(notices, spark), "notice").withColumn("own_words", F.regexp_count("notice", F.lit(WORD)))
     by_text = hits.groupBy("path", "h").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license"))).alias("b"), F.sum("own_words").alias("own"), F.max("words").alias("words"))
     own = by_text.groupBy("path").agg(F.min("b").alias("b"), F.max(F.col("own") >= FILE_SHARE * F.col("words")).alias("mostly"))
