@@ -8,14 +8,15 @@ so a bounded table of encoded pieces saves most of the work; what is not in it i
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from matchlake.llm.common import worker_table
+
 #: Encoded pieces that a worker keeps; beyond it the table starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 400_000
 #: White space other than the space itself. A space beside one of these, or beside another space, is no cut.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 _BESIDE = tuple(f" {c}" for c in OTHER_SPACE)
@@ -41,12 +42,14 @@ class _Places(dict):
 class PieceTable:
     """Ids of the pieces seen so far, one after another, and what stands at which place."""
 
+    kept = KEPT_PIECES
+
     def _empty(self) -> None:
         self.places = _Places()
         self.ids, self.stops = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
 
     def make_room(self) -> None:
-        if len(self.places) > KEPT_PIECES:
+        if len(self.places) > self.kept:
             self._empty()
 
     def place(self, keys: list[str] | np.ndarray) -> np.ndarray:
@@ -175,7 +178,6 @@ class Encoder(PieceTable):
         return self._bytes
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker."""
-    return Encoder(path)
+    """The worker's encoder for a vocabulary."""
+    return worker_table(("bpe", path), lambda: Encoder(path))

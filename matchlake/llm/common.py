@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,26 @@ def arrow_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+_held: tuple | None = None
+
+
+def worker_table(key: object, make: Callable[[], Any]) -> Any:
+    """The one large table that a Python worker keeps from task to task. Asking for another one drops it, so that the
+    tables of operators that follow one another in a worker do not add up."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held = (key, make())
+    return _held[1]
+
+
+def no_table() -> None:
+    """For operators that keep nothing: drops what an earlier one has kept."""
+    worker_table(None, lambda: None)
+
+
 #: Bytes of input that one step of a Python operator takes at most, a single longer row aside.
 STEP_BYTES = 4 << 20
 

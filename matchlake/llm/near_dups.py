@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import by_bytes, fresh_name, utf8, written
+from matchlake.llm.common import by_bytes, fresh_name, utf8, worker_table, written
 from matchlake.llm.graph import components
 
 #: ASCII capitals to small letters, words of a shingle.
@@ -33,7 +32,7 @@ SIGMAS = 5.0
 #: Classes and set values that a block holds on average.
 BLOCK_CLASSES, BLOCK_VALUES = 256, 400_000
 #: Hashes of words that a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Class ids that are broadcast at most, to fetch the texts of candidates; more are joined.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,9 +47,8 @@ class _Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _words() -> _Words:
-    return _Words()
+    return worker_table("words", _Words)
 
 
 #: Odd multipliers, one for each word of a shingle.

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.bpe import PieceTable, flat_bytes
-from matchlake.llm.common import by_bytes, utf8
+from matchlake.llm.bpe import KEPT_PIECES, PieceTable, flat_bytes
+from matchlake.llm.common import by_bytes, utf8, worker_table
 
 MARK = "▁"
 #: Fixed value: what an unknown character costs more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text whose words are searched together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 1 << 20
 
 
 class Lattice:
@@ -85,6 +84,8 @@ class Lattice:
 class Pieces(PieceTable):
     """Ids of texts by the lattice, and texts of ids."""
 
+    kept = KEPT_PIECES // 2
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -152,9 +153,9 @@ class Pieces(PieceTable):
         return b"".join(self.bytes_of[i] for i in ids).decode()[1:]
 
 
-@lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    """The worker's table for a vocabulary."""
+    return worker_table(("pieces", path), lambda: Pieces(path))
 
 
 def _encoded(model: str, texts: pa.Array):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import by_bytes, utf8
+from matchlake.llm.common import by_bytes, no_table, utf8
 
 #: Bounds of the samples that are fitted on, the documents with the smallest hashes of their ids; all others are scored only.
 LABELLED_ROWS = 4000
@@ -223,6 +223,7 @@ def cotrain(xt: np.ndarray, xp: np.ndarray, y: np.ndarray, ut: np.ndarray, up: n
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    no_table()
     for batch in batches:
         for part in by_bytes(batch):
             rows = list(zip(part["text"].to_pylist(), part["lang"].to_pylist(), part["source"].to_pylist()))
@@ -277,6 +278,7 @@ def score(docs: DataFrame, views: Views, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table()
         for batch in batches:
             for part in by_bytes(batch):
                 logits = _logits(views, part, "text", "lang", "source")
@@ -298,6 +300,7 @@ def apply(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     views = fit(docs, labels, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table()
         for batch in batches:
             for part in by_bytes(batch):
                 yield part.filter(pa.array(_logits(views, part, text, "lang", "source")[0] >= views.keep_from))

@@ -18,7 +18,7 @@ from matchlake.llm.bpe import encoder, flat_bytes
 from matchlake.llm.common import by_bytes, utf8
 
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 RULES = ("first", "most")
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 

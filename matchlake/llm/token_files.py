@@ -28,7 +28,7 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 #: Bytes of text that are encoded together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 SCHEMA = "file int, doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 

@@ -74,11 +74,9 @@ def test_round_trip_of_rows(spark):
 
 
 def test_table_starts_anew(monkeypatch):
-    from matchlake.llm import bpe
-
     pa = __import__("pyarrow")
     whole = pieces.Pieces(PATH).encode_flat(pa.array([sentence(1, 50)]))[0].tolist()
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 2)
+    monkeypatch.setattr(pieces.Pieces, "kept", 2)
     table = pieces.Pieces(PATH)
     for _ in range(3):
         assert table.encode_flat(pa.array([sentence(1, 50)]))[0].tolist() == whole

@@ -27,7 +27,7 @@ def test_pieces_encode_as_the_whole_text(library):
 
 
 def test_table_starts_anew(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    monkeypatch.setattr(bpe.Encoder, "kept", 3)
     e = bpe.Encoder(PATH)
     for text in ("a b c d e", "a x y z", "", "  q", "a b c d e"):
         assert e.encode([text])[0].tolist() == library(text)
