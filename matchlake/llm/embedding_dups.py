@@ -34,7 +34,7 @@ ENTRIES = (8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Classes of a block on average.
 BLOCK = 768
 #: Pairs that are counted together.
-STEP = 40_000
+STEP = 100_000
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def _entries(classes: DataFrame, plans: dict[int, Projections]) -> DataFrame:
 class _Side:
     """One block of classes in a task."""
 
-    def __init__(self, table: pa.Table, size: int):
+    def __init__(self, table: pa.Table, size: int, directions: int):
         t = table.combine_chunks()
         self.cid = t["cid"].to_pylist()
         one = lambda name: t[name].chunk(0) if t.num_rows else None
@@ -167,6 +167,8 @@ class _Side:
         self.length = np.sqrt((self.x * self.x).sum(axis=1))
         width = len(one("keys")[0])
         self.keys, self.vals = _flat(one("keys"), width), _flat(one("vals"), width)
+        if directions**2 < 2**31:
+            self.keys = self.keys.astype(np.int32)
 
 
 def _collided(a: _Side, b: _Side, plan: Projections, cell: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,8 +181,7 @@ def _collided(a: _Side, b: _Side, plan: Projections, cell: int, same: bool) -> I
     # Value and projection in one sorted number: projections lie further apart than any window reaches.
     gap = float(max(np.abs(va).max(initial=0), np.abs(vb).max(initial=0)) * 2 + plan.window * 2 + 1)
     base = cell * plan.directions
-    line = (kb - base) * gap + vb
-    at = (ka - base) * gap + va
+    line, at = (kb - base) * gap + vb, (ka - base) * gap + va
     low, high = np.searchsorted(line, at - plan.window, "left"), np.searchsorted(line, at + plan.window, "right")
     counts = high - low
     ends = np.cumsum(counts)
@@ -195,25 +196,31 @@ def _collided(a: _Side, b: _Side, plan: Projections, cell: int, same: bool) -> I
         start = stop
 
 
+def _counted(a: _Side, b: _Side, p: np.ndarray, q: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Collisions of each pair of rows in all projections, and the smallest projection that they collide in."""
+    width = a.keys.shape[1]
+    at = np.flatnonzero((a.keys[p][:, :, None] == b.keys[q][:, None, :]).reshape(-1))
+    pair, i, j = at // (width * width), at // width % width, at % width
+    near = np.abs(a.vals[p[pair], i] - b.vals[q[pair], j]) <= window
+    pair, i = pair[near], i[near]
+    first = np.full(len(p), -1, dtype=np.int64)
+    hit, begin = np.unique(pair, return_index=True)  # entries are in ascending order
+    first[hit] = a.keys[p[hit], i[begin]]
+    return np.bincount(pair, minlength=len(p)), first
+
+
 def _links(a: _Side, b: _Side, plan: Projections, cell: int, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    seen, left, right = set(), [], []
+    found = [np.zeros(0, dtype=np.int64)]
     for i, j in _collided(a, b, plan, cell, same):
-        # The cosine is cheap and exact; the count decides which pairs may be linked at all.
-        for at in range(0, len(i), 4000):
-            p, q = i[at : at + 4000], j[at : at + 4000]
-            hit, far = _shared(a.keys[p], a.vals[p], b.keys[q], b.vals[q])
-            hit &= far <= plan.window
-            enough = hit.sum(axis=(1, 2)) >= plan.collisions
-            first = a.keys[p][np.arange(len(p)), hit.any(axis=2).argmax(axis=1)] // plan.directions
-            ok = enough & (first == cell)
+        for at in range(0, len(i), 2000):
+            p, q = i[at : at + 2000], j[at : at + 2000]
+            count, first = _counted(a, b, p, q, plan.window)
+            ok = (count >= plan.collisions) & (first // plan.directions == cell)
             p, q = p[ok], q[ok]
             ok = (a.x[p] * b.x[q]).sum(axis=1) / (a.length[p] * b.length[q]) >= cosine
-            for u, v in zip(p[ok].tolist(), q[ok].tolist()):
-                if (u, v) not in seen:
-                    seen.add((u, v))
-                    left.append(u)
-                    right.append(v)
-    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+            found.append(p[ok] * len(b.cid) + q[ok])
+    pairs = np.unique(np.concatenate(found))  # a pair may be met in several steps
+    return pairs // len(b.cid), pairs % len(b.cid)
 
 
 def _compare(entries: DataFrame, plans: dict[int, Projections], cosine: float) -> DataFrame:
@@ -235,8 +242,8 @@ def _compare(entries: DataFrame, plans: dict[int, Projections], cosine: float) -
         same = task["x"][0].as_py() == task["y"][0].as_py()
         if not parts[0].num_rows or not (same or parts[1].num_rows):
             return pa.table({"cid": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.binary())})
-        a = _Side(parts[0], size)
-        b = a if same else _Side(parts[1], size)
+        a = _Side(parts[0], size, plans[size].directions)
+        b = a if same else _Side(parts[1], size, plans[size].directions)
         i, j = _links(a, b, plans[size], cell, same, cosine)
         cids = a.cid if same else a.cid + b.cid
         shift = 0 if same else len(a.cid)
