@@ -84,7 +84,7 @@ class Lattice:
 class Pieces(PieceTable):
     """Ids of texts by the lattice, and texts of ids."""
 
-    kept = KEPT_PIECES // 2
+    kept = KEPT_PIECES // 5
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
