@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", k: i
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def apply(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
+def apply(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """One row of each component, with its own columns; rows without words stay. Texts are not shuffled for it: what goes
     is few rows' keys, broadcast behind a check of their number and joined beyond it."""
     rows = written(decided(docs, percent, text).withColumn("some", F.col("n_shingles") > 0), "near-decided")

@@ -122,3 +122,15 @@ def test_graph_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in top if any(x in e and e[0] != e[1] for e in edges)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_stage_takes_pairs_between_80_and_85(spark):
+    """Two words of a hundred differ: 86 of 106 shingles in common, 0.811."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    other = [w + "x" if i in (30, 60) else w for i, w in enumerate(words)]
+    third = [w + "y" if i in (20, 50, 80) else w for i, w in enumerate(words)]  # 81 of 111 with the first
+    df = docs(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(third))])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_distinct(spark, df, "").collect()) == [1, 3]
+    assert near_dups.near_duplicates(df, 85).where("kept").count() == 3
