@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by a Viterbi search that common beginnings of words share.
 
-Every word is marked with the space before it. The distinct marked words of the texts in hand are sorted, which lays
-them out as a trie in depth-first order: what a word has in common with the one before it keeps its forward scores, its
+Every word is marked with the space before it; of a run of spaces all go with the word that follows, or make up a word of
+their own at the end of a text. The distinct marked words of the texts in hand are sorted, which lays them out as a trie in depth-first order: what a word has in common with the one before it keeps its forward scores, its
 back pointers and the pieces still open there, and only the rest is searched. The best path of a word is the one of
-the largest sum of the vocabulary's scores, ties to the longer last piece. No piece may reach over a mark, so the best
-paths of the words make up the best path of the text. Characters that no piece covers become bytes. Decoding gives back
+the largest sum of the vocabulary's scores, ties to the longer last piece. No piece has a mark after another character,
+a vocabulary with such a piece is refused, so the best paths of the words make up the best path of the text. Characters that no piece covers become bytes. Decoding gives back
 every text exactly; a U+2581 that is in a text is written as bytes, since as a piece it stands for a space.
 
 The vocabulary may be of either kind. Scores of a BPE file are ranks of merges: the search then gives the path of the
@@ -100,9 +100,14 @@ class Pieces(PieceTable):
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 worst = min(worst, model.get_score(i))
-                if MARK not in piece[1:]:
-                    scores[piece] = (i, model.get_score(i))
-                    self.bytes_of[i] = piece.replace(MARK, " ").encode()
+                word = piece.lstrip(MARK)
+                if MARK in word:
+                    raise ValueError(f"a piece reaches from one word into the next: {piece}")
+                # A word's own mark is its first character, further spaces before it stay spaces.
+                spaces = len(piece) - len(word)
+                scores[MARK * (spaces > 0) + " " * (spaces - 1) + word] = entry = (i, model.get_score(i))
+                scores[" " * spaces + word] = entry
+                self.bytes_of[i] = piece.replace(MARK, " ").encode()
         if (self.byte_ids == 0).any():
             raise ValueError("the vocabulary has no pieces for all bytes")
         self.lattice = Lattice(scores, worst)
@@ -135,7 +140,22 @@ class Pieces(PieceTable):
         of = pc.list_value_length(split).to_numpy().astype(np.int64)
         empty = pc.binary_length(texts).to_numpy() == 0
         coded = split.flatten().dictionary_encode()
-        flat = self.place(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        spaces = np.zeros(len(at), dtype=np.int64)
+        if (none := np.flatnonzero(words == "")).size:
+            # Nothing between two spaces: the first of them goes on with the next word of the text, or with its end.
+            last = np.zeros(len(at), dtype=bool)
+            last[np.cumsum(of) - 1] = True
+            kept = np.flatnonzero((at != none[0]) | last)
+            at, spaces = at[kept], np.diff(kept, prepend=-1) - 1
+            of = np.diff(np.searchsorted(kept, np.concatenate(([0], np.cumsum(of)))))
+        runs, of_run = np.unique(np.column_stack((at, spaces))[spaces > 0], axis=0, return_inverse=True)
+        single = np.zeros(len(words), dtype=bool)
+        single[at[spaces == 0]] = True
+        places = np.zeros(len(words), dtype=np.int64)
+        places[single] = self.place(words[single])
+        flat = places[at]
+        flat[spaces > 0] = self.place([" " * n + words[w] for w, n in runs.tolist()])[of_run.ravel()]
         if empty.any():
             flat = flat[~np.repeat(empty, of)]
             of = np.where(empty, 0, of)

@@ -80,3 +80,46 @@ def test_table_starts_anew(monkeypatch):
     table = pieces.Pieces(PATH)
     for _ in range(3):
         assert table.encode_flat(pa.array([sentence(1, 50)]))[0].tolist() == whole
+
+
+SPACED = ["    if x:\n        return  y", "  a  b   c ", " ", "   ", "a" + " " * 40 + "b", "x  ", "| a  |  b   |", "", "plain words", "▁▁  ▁"]
+
+
+def encoded(table, texts):
+    ids, counts = table.encode_flat(__import__("pyarrow").array(texts))
+    ends = counts.cumsum()
+    return [ids[e - c : e].tolist() for e, c in zip(ends, counts)]
+
+
+def spaced_model(tmp_path, scores):
+    """The vocabulary as a unigram one, with these scores for runs of spaces."""
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    with open(PATH, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for piece in model.pieces:
+        if piece.piece.strip("▁") == "" and len(piece.piece) in scores:
+            piece.score = scores[len(piece.piece)]
+    path = str(tmp_path / "spaced.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("scores", [{}, {2: -3.5, 3: -6.25, 4: -4.75, 8: -5.5, 16: -1.0}])
+def test_runs_of_spaces_equal_the_library(tmp_path, scores):
+    """Best paths through runs of spaces, with the scores that are in the file and with such that make long runs the best."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = spaced_model(tmp_path, scores)
+    library, table = SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    total = lambda x: sum(library.get_score(i) for i in x if not library.is_byte(i))
+    for text, mine in zip(SPACED, encoded(table, SPACED)):
+        assert table.decode(mine) == text
+        theirs = library.encode(text)
+        if "▁" not in text:
+            assert mine == theirs or (len(mine) == len(theirs) and abs(total(mine) - total(theirs)) < 1e-3), text
+    if scores:
+        assert len(encoded(table, ["a" + " " * 40 + "b"])[0]) <= 6
+    assert encoded(table, SPACED) == [encoded(pieces.Pieces(path), [t])[0] for t in SPACED]
