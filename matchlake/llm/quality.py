@@ -1,5 +1,7 @@
 """Quality of documents by co-training: one classifier sees the words, the other sees the page around them.
 
+The text view holds hashed words and runs of characters of the whole text beside the shapes of its words.
+
 Both views start from the labelled documents. In each round every view scores unlabelled documents, and those it is
 surest of become examples of the other view, as many of each class as the labels' share asks. At the end each view is
 calibrated on labelled documents that no round trained on, and the same documents weigh the views' log odds into one.
@@ -24,8 +26,14 @@ ROUNDS = 4
 #: Documents that a view hands over in a round, of each 1000 unlabelled ones, and how sure it has to be.
 HANDED_OVER = 60
 SURE = 0.95
-#: Hash buckets of the text view, and those of names in the page view.
-TEXT_DIMS, NAME_DIMS = 256, 32
+#: Places of the text view's shapes, hash buckets of its words and of its runs of GRAM bytes, and those of names in the page view.
+TEXT_DIMS, WORD_DIMS, GRAM_DIMS, NAME_DIMS = 256, 2048, 2048, 32
+GRAM = 4
+VIEW_DIMS = TEXT_DIMS + WORD_DIMS + GRAM_DIMS
+#: Fixed value: scale of the word and run features, in place of one by their spread; with the ridge it bounds their weights.
+HASH_SCALE = 4.0
+#: Rows whose features are laid out at once while scoring.
+SCORE_ROWS = 256
 #: A document is kept unless its score is below; set on held-out labels, see fit().
 KEEP_GOOD = 0.998
 
@@ -82,6 +90,53 @@ def text_features(text: str) -> np.ndarray:
     return out
 
 
+#: Small letters for ASCII capitals, and an odd multiplier with its inverse for hashes that depend on the order of bytes.
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def hashed_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of what the text says: its distinct words and its runs of GRAM bytes, in small letters.
+
+    Each kind has length 1: square roots of shares, so that long texts weigh as much as short ones.
+    """
+    raw = _LOWER[np.frombuffer(text.encode(), dtype=np.uint8)]
+    buckets, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    if len(raw):
+        codes = _BYTE[raw]
+        shape = _SHAPE[raw]
+        space = (shape == 4) | (shape == 5)
+        edge = np.flatnonzero(np.diff(np.concatenate(([1], space, [1])).astype(np.int8)))
+        begins, ends = edge[::2], edge[1::2]
+        hashes = []
+        if len(begins):
+            powers = _STEP ** np.arange(len(raw), dtype=np.uint64)
+            total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(codes * powers)))
+            back = _BACK ** np.arange(int(begins[-1]) + 1, dtype=np.uint64)
+            hashes.append((0, WORD_DIMS, (total[ends] - total[begins]) * back[begins]))
+        if len(raw) >= GRAM:
+            grams = codes[: len(raw) - GRAM + 1].copy()
+            for i in range(1, GRAM):
+                grams = grams * _STEP + codes[i : len(raw) - GRAM + 1 + i]
+            hashes.append((WORD_DIMS, GRAM_DIMS, grams))
+        for first, dims, h in hashes:
+            count = np.bincount((_mixed(h) >> np.uint64(20)).astype(np.int64) % dims, minlength=dims)
+            at = np.flatnonzero(count)
+            buckets.append(first + at)
+            values.append(np.sqrt(count[at] / len(h)))
+    return np.concatenate(buckets).astype(np.uint16), np.concatenate(values).astype(np.float32)
+
+
+def text_view(shapes: list[np.ndarray], hashed: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Rows of the text view: shapes, then words and runs."""
+    out = np.zeros((len(shapes), VIEW_DIMS), dtype=np.float32)
+    for row, shape, (at, values) in zip(out, shapes, hashed):
+        row[:TEXT_DIMS] = shape
+        row[TEXT_DIMS + at.astype(np.int64)] = values
+    return out
+
+
 #: Fixed order of the page view: length and lines, then language and source by hash.
 PAGE_DIMS = 12 + 2 * NAME_DIMS
 
@@ -122,22 +177,48 @@ class Linear:
     weights: np.ndarray
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) * self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)
+        w = self.scale * self.weights[:-1]
+        steps = [x[i : i + SCORE_ROWS] @ w for i in range(0, len(x), SCORE_ROWS)] or [np.zeros(0)]
+        return np.clip(np.concatenate(steps) + (self.weights[-1] - self.mean @ w), -30, 30)
 
 
 def _newton(z: np.ndarray, target: np.ndarray, share: np.ndarray, penalty: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
     """Weights of least penalised log loss; a step that does not lower it is halved."""
 
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return (z @ w.astype(z.dtype)).astype(np.float64)
+
+    def by_column(v: np.ndarray) -> np.ndarray:
+        return (v.astype(z.dtype) @ z).astype(np.float64)
+
+    def step_of(slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+        """The Newton step: solved as it is for few weights, for many by conjugate gradients, which need products only."""
+        if len(slope) <= 2 * TEXT_DIMS:
+            return np.linalg.solve((z * bend[:, None]).T @ z + np.diag(penalty), slope)
+        diagonal = np.concatenate([bend @ (z[:, i : i + 256] ** 2) for i in range(0, z.shape[1], 256)]) + penalty
+        x, r = np.zeros_like(slope), slope.copy()
+        d = r / diagonal
+        q = r @ d
+        for _ in range(60):
+            if np.sqrt(r @ r) <= 1e-3 * np.sqrt(slope @ slope):
+                break
+            h = by_column(by_row(d) * bend) + penalty * d
+            size = q / (d @ h)
+            x, r = x + size * d, r - size * h
+            y = r / diagonal
+            q, before = r @ y, q
+            d = y + q / before * d
+        return x
+
     def loss(w: np.ndarray) -> float:
-        m = z @ w
+        m = by_row(w)
         return float((share * (np.logaddexp(0, m) - target * m)).sum() + 0.5 * (penalty * (w - start) ** 2).sum())
 
     w, now = start.copy(), loss(start)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (share * (p - target)) + penalty * (w - start)
-        bend = (z * (share * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-        step, size = np.linalg.solve(bend, slope), 1.0
+        p = 1 / (1 + np.exp(-np.clip(by_row(w), -30, 30)))
+        slope = by_column(share * (p - target)) + penalty * (w - start)
+        step, size = step_of(slope, share * p * (1 - p)), 1.0
         while size > 1e-3 and loss(w - size * step) > now:
             size /= 2
         if size <= 1e-3:
@@ -151,9 +232,16 @@ def _newton(z: np.ndarray, target: np.ndarray, share: np.ndarray, penalty: np.nd
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Linear:
     """Classes weigh the same."""
-    x = x.astype(np.float64)
-    mean, scale = x.mean(axis=0), 1 / np.maximum(x.std(axis=0), 0.02)
-    z = np.column_stack(((x - mean) * scale, np.ones(len(x))))
+    mean = x.mean(axis=0, dtype=np.float64)
+    spread = np.concatenate([x[:, i : i + TEXT_DIMS].astype(np.float64).std(axis=0) for i in range(0, x.shape[1], TEXT_DIMS)])
+    scale = 1 / np.maximum(spread, 0.02)
+    wide = x.shape[1] == VIEW_DIMS
+    if wide:
+        scale[TEXT_DIMS:] = HASH_SCALE
+    # One copy of the rows, of the wide view in single precision: the driver has to hold it.
+    z = np.ones((len(x), x.shape[1] + 1), dtype=np.float32 if wide else np.float64)
+    for i in range(0, len(x), SCORE_ROWS):
+        z[i : i + SCORE_ROWS, :-1] = (x[i : i + SCORE_ROWS] - mean) * scale
     share = np.where(y == 1, 0.5 / max(1e-9, (y == 1).mean()), 0.5 / max(1e-9, (y == 0).mean()))
     penalty = ridge * np.append(np.ones(x.shape[1]), 1e-6)
     return Linear(mean, scale, _newton(z, y, share, penalty, np.zeros(z.shape[1]), 10))
@@ -227,11 +315,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in by_bytes(batch):
             rows = list(zip(part["text"].to_pylist(), part["lang"].to_pylist(), part["source"].to_pylist()))
-            xt = [text_features(t).tobytes() for t, _, _ in rows]
+            xt = [text_features(t).tobytes() + b"".join(x.tobytes() for x in hashed_features(t)) for t, _, _ in rows]
             xp = [page_features(t, a, b).tobytes() for t, a, b in rows]
             yield pa.record_batch([pa.array(xt, pa.binary()), pa.array(xp, pa.binary()), part["label"]], names=["xt", "xp", "label"])
 
 
+def _unpacked(x: bytes) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Shapes, and buckets and values of the hashed features, as _features puts them together."""
+    n = (len(x) - 4 * TEXT_DIMS) // 6
+    return np.frombuffer(x, np.float32, TEXT_DIMS), (np.frombuffer(x, np.uint16, n, 4 * TEXT_DIMS), np.frombuffer(x[4 * TEXT_DIMS + 2 * n :], np.float32))
+
+
 def _inputs(docs: DataFrame, text: str):
     for name in ("lang", "source"):
         if name not in docs.columns:
@@ -255,7 +349,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     if not len(table):
         return _keep_all()
     table = table.sort_values(["xt", "xp"], kind="stable")
-    xt = np.vstack([np.frombuffer(x, dtype=np.float32) for x in table["xt"]])
     xp = np.vstack([np.frombuffer(x, dtype=np.float32) for x in table["xp"]])
     y = table["label"].to_numpy(dtype=float, na_value=np.nan)
     known = np.flatnonzero(~np.isnan(y))
@@ -263,11 +356,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     if len(set(y[known].tolist())) < 2:
         return _keep_all()
     free = np.isnan(y)
-    return cotrain(xt[known], xp[known], y[known], xt[free], xp[free])
+    texts = table["xt"].to_numpy()
+    del table
+
+    def view(rows: np.ndarray) -> np.ndarray:
+        return text_view(*zip(*map(_unpacked, rows))) if len(rows) else np.zeros((0, VIEW_DIMS), dtype=np.float32)
+
+    return cotrain(view(texts[known]), xp[known], y[known], view(texts[free]), xp[free])
 
 
 def _keep_all() -> Views:
-    flat = [Linear(np.zeros(d), np.ones(d), np.zeros(d + 1)) for d in (TEXT_DIMS, PAGE_DIMS)]
+    flat = [Linear(np.zeros(d), np.ones(d), np.zeros(d + 1)) for d in (VIEW_DIMS, PAGE_DIMS)]
     return Views(*flat, np.zeros(2), np.zeros(2), np.zeros(3), 0.0)
 
 
@@ -292,7 +391,9 @@ def score(docs: DataFrame, views: Views, text: str = "text") -> DataFrame:
 def _logits(views: Views, part: pa.RecordBatch, text: str, *names: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     columns = [part[n].to_pylist() if n in part.schema.names else [None] * part.num_rows for n in (text, *names)]
     rows = [(t or "", None if a is None else str(a), None if b is None else str(b)) for t, a, b in zip(*columns)]
-    return views.logits(np.array([text_features(t) for t, _, _ in rows]), np.array([page_features(*r) for r in rows]))
+    steps = [rows[i : i + SCORE_ROWS] for i in range(0, len(rows), SCORE_ROWS)]
+    found = [views.logits(text_view([text_features(t) for t, _, _ in r], [hashed_features(t) for t, _, _ in r]), np.array([page_features(*x) for x in r])) for r in steps]
+    return tuple(np.concatenate(z) for z in zip(*found))
 
 
 def apply(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:

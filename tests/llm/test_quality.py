@@ -65,3 +65,25 @@ def test_same_samples_give_the_same_scores(spark):
     a = quality.score(df, quality.fit(df, marks)).orderBy("doc_id").collect()
     b = quality.score(df.repartition(3), quality.fit(df.repartition(3), marks)).orderBy("doc_id").collect()
     assert all(abs(x["p_good"] - y["p_good"]) < 1e-9 for x, y in zip(a, b))
+
+
+def test_vocabulary_alone_tells_bad_from_good(spark):
+    """Bad documents have the same punctuation, capitals, word lengths and lines as good ones; only their words differ."""
+    rng = np.random.default_rng(4)
+    swap = str.maketrans("abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm")
+    words = sentence(1, 400).split()
+    some, marks = [], []
+    for i in range(300):
+        text = " ".join(rng.choice(words, 40)) + "."
+        bad = i % 3 == 0
+        some.append((i, text.translate(swap) if bad else text, "en", "s", len(text)))
+        if i < 200:
+            marks.append((i, int(not bad)))
+    df = docs(spark, some)
+    got = quality.score(df, quality.fit(df, spark.createDataFrame(marks, "doc_id long, quality int"))).where("doc_id >= 200").collect()
+    assert np.mean([(r["p_text"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in got]) >= 0.97
+
+
+def test_word_hashes_depend_on_letters_and_not_on_places():
+    at = lambda t: set(a for a in quality.hashed_features(t)[0].tolist() if a < quality.WORD_DIMS)
+    assert at("abc") == at("xy abc") - at("xy") and at("abc") != at("bca") and at("") == set()
