@@ -165,3 +165,51 @@ SELECT doc_id, path, own_license, cosine, coalesce(license_file, false) AS licen
   CASE WHEN own_license IS NULL THEN n.above END AS inherited_from
 FROM folders LEFT JOIN own USING (path) LEFT JOIN nearest n USING (folder)
 """
+
+_SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+DECONTAMINATION = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_SMALL}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), tests AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_SMALL}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS win
+  FROM (SELECT *, least(10, len(w)) AS m FROM tests WHERE len(w) > 0)
+), places AS (
+  SELECT row, m, unnest(range(1, len(w) - m + 2)) AS i, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS win
+  FROM worded, (SELECT DISTINCT m FROM windows)
+), met AS (SELECT DISTINCT row, i, m, item_id FROM places JOIN windows USING (m, win)
+), hit AS (SELECT row, count(DISTINCT word) AS n FROM (SELECT row, unnest(range(i, i + m)) AS word FROM met) GROUP BY row
+), items AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM met WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+"""
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_SMALL}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
+  FROM worded, (VALUES (1), (2), (3), (4)) sizes(size)
+), f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST((2000000 * CAST(c.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT DISTINCT lang, phrase AS longer, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM candidates))
+), kept AS (
+  SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 80 * b.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import embedding_dups, fingerprints, licenses, mixing, near_dups, oracle, pieces, quality, secrets_scan, token_counts, token_files
-from matchlake.llm.common import table
+from matchlake.llm import (
+    decontamination, embedding_dups, fingerprints, licenses, mixing, near_dups, oracle, periodic_runs, phrases, pieces, quality, secrets_scan,
+    token_counts, token_files,
+)
+from matchlake.llm.common import WORD, table, utf8
 from matchlake.session import new_work_dir
 
 QUERIES: dict = {}
@@ -18,6 +21,8 @@ ORACLE: dict[str, str] = {
     "op4_licenses": oracle.LICENSES,
     "op7_source_mix": oracle.SOURCE_MIX,
     "op9_embedding_dups": oracle.EMBEDDINGS,
+    "op11_decontamination": oracle.DECONTAMINATION,
+    "op13_phrases": oracle.PHRASES,
 }
 
 #: Parameters of the queries: vocabulary files and the id that ends a document.
@@ -95,3 +100,42 @@ def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings with a cosine of 0.9 and more."""
     return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten words of a benchmark item, and the items they are from."""
+    return decontamination.digests(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The documents, where the tail of each tenth one (by the CRC-32 of its id) is overwritten by its own beginning, again
+    and again: with g = floor(crc / 10) and n words, each word i >= a = g % n becomes word a + (i - a) % p,
+    p = 1 + floor((n - a) / (3 + g % 8)). A null id has no CRC: such rows stay as they are."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("crc div 10")
+
+    def repeated(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    # A one-element array binds the words to a name, so that they are cut out once.
+    words = F.array(F.regexp_extract_all(utf8(), F.lit(WORD), F.lit(0)))
+    some = (F.col("crc") % 10 == 0) & utf8().rlike(WORD)
+    text = F.when(some, F.get(F.transform(words, repeated), F.lit(0))).otherwise(F.col("text"))
+    return docs.withColumn("crc", crc).withColumn("text", text)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document with its repeats, the longest, and the text without the repetitions."""
+    return periodic_runs.digests(periodic_runs.find(with_repeats(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language with 30 occurrences and more."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=30, inside_share=80, most=2000)

@@ -20,7 +20,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     sql = con.sql(queries.ORACLE[name])
     df = queries.QUERIES[name](spark, SF)
@@ -32,4 +32,4 @@ def test_rows(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
