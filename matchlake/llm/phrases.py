@@ -27,9 +27,8 @@ from matchlake.llm.common import by_bytes, no_table, utf8, written
 LONGEST = 4
 #: Shards, at most 8 as their number takes three bits of a key.
 SHARDS = 5
-#: Bytes of text that are counted at once, and bytes of rows that are sorted by shard and language before.
-CHUNK_BYTES = 4 << 20
-ROWS_BYTES = 16 << 20
+#: Bytes of text that are counted at once.
+CHUNK_BYTES = 2 << 20
 #: Bits of a filter for each of its keys, and the most bits it may have: 16 MB in each worker. A fuller one lets more through.
 KEY_BITS, MOST_BITS = 16, 1 << 27
 #: Parts in which a language's phrases are ranked before the best of the parts are.
@@ -53,28 +52,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Some megabytes of one language and shard: words, ids of the distinct ones, and the keys of the phrases.
+    """Some words of texts that follow one another: ids of the distinct ones, and the keys of phrases up to `longest` words.
 
-    The first `known` places repeat the end of the chunk before; phrases that end in them are counted there.
+    segments are (number of words, language, shard) in their order; languages are numbered. Each text ends with an end of a
+    piece, so no phrase is of two texts. The first `known` places repeat the end of the chunk before; phrases that end in them
+    are counted there.
     """
 
-    def __init__(self, words: list[bytes], known: int, salt: np.uint64):
-        self.words, self.known, self.salt = words, known, salt
+    def __init__(self, words: list[bytes], segments: list[tuple[int, int, int]], salts: np.ndarray, known: int, longest: int):
+        self.words, self.known = words, known
         ids: defaultdict = defaultdict()
         ids.default_factory = ids.__len__
         self.ids = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         self.distinct = list(ids)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
-        ends = np.fromiter((w[0] == END for w in ids), bool, len(ids))
-        self.hashes = hashes[self.ids]
-        self.inside = ~ends[self.ids]
+        sizes, langs, shards = (np.array(x, dtype=np.int64) for x in zip(*segments))
+        self.lang = np.repeat(langs, sizes)
+        self.shard = np.repeat(shards, sizes).astype(np.uint64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[self.ids]
+        inside = np.fromiter((w[0] != END for w in ids), bool, len(ids))[self.ids]
         #: By number of words: keys of all places, and which places begin a phrase of so many words within a piece.
-        self.keys = {1: _mixed(self.hashes + salt)}
-        self.valid = {1: self.inside}
-        for n in range(2, LONGEST + 1):
-            last = self.hashes[n - 1 :]
+        self.keys = {1: _mixed(hashes + np.repeat(salts[langs], sizes))}
+        self.valid = {1: inside}
+        for n in range(2, longest + 1):
+            last = hashes[n - 1 :]
             self.keys[n] = _mixed(self.keys[n - 1][: len(last)] * _M2 + last)
-            self.valid[n] = self.valid[n - 1][: len(last)] & self.inside[n - 1 :]
+            self.valid[n] = self.valid[n - 1][: len(last)] & inside[n - 1 :]
+
+    def in_shard(self, n: int) -> np.ndarray:
+        """Keys of the phrases of n words within their shard."""
+        return (self.keys[n] & ~_SHARD) | self.shard[: len(self.keys[n])]
 
     def counted_here(self, n: int) -> np.ndarray:
         """Which places begin a phrase of n words that belongs to this chunk."""
@@ -83,37 +89,32 @@ class Chunk:
         return here
 
 
-def _streams(batch: pa.RecordBatch) -> Iterator[tuple[str, int, Chunk]]:
-    """The batch's texts by language and shard, in chunks. A break ends each text."""
+def _chunks(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[tuple[list[str], Chunk]]:
+    """The batch's texts in chunks, with the names of the languages that are numbered in them."""
     texts = batch["text"].cast(pa.binary())
-    groups: dict[tuple[str, int], list[int]] = {}
-    for i, key in enumerate(zip(batch["lang"].to_pylist(), batch["shard"].to_pylist())):
-        groups.setdefault(key, []).append(i)
-    for (lang, shard), rows in groups.items():
-        salt = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 1))
-        held: list[bytes] = []
-        size, carried = 0, []
-        for i in rows:
-            raw, at = texts[i].as_py().translate(PLAIN), 0
-            while True:
-                # A cut falls between words, so a very long text comes in parts.
-                near = [raw.find(c, at + CHUNK_BYTES) for c in (b" ", bytes([END]))] if len(raw) - at > CHUNK_BYTES else []
-                end = min((x for x in near if x >= 0), default=len(raw))
-                held.append(raw[at:end])
-                size += end - at
-                done = end == len(raw)
-                if done:
-                    held.append(bytes([END]))
-                if size >= CHUNK_BYTES:
-                    words = carried + b"".join(held).replace(bytes([END]), PLACED_END).split()
-                    yield lang, shard, Chunk(words, len(carried), salt)
-                    held, size, carried = [], 0, words[-(LONGEST - 1) :]
-                if done:
-                    break
-                at = end
-        if held:
-            words = carried + b"".join(held).replace(bytes([END]), PLACED_END).split()
-            yield lang, shard, Chunk(words, len(carried), salt)
+    coded = batch["lang"].dictionary_encode()
+    names, langs, shards = coded.dictionary.to_pylist(), coded.indices.to_pylist(), batch["shard"].to_pylist()
+    salts = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], dtype=np.uint64)
+    words: list[bytes] = []
+    segments: list[tuple[int, int, int]] = []
+    size, known = 0, 0
+    for i in range(len(texts)):
+        raw, at = texts[i].as_py().translate(PLAIN) + PLACED_END, 0
+        while at < len(raw):
+            # A cut falls between words, so a very long text comes in parts.
+            near = [raw.find(c, at + CHUNK_BYTES) for c in (b" ", bytes([END]))] if len(raw) - at > CHUNK_BYTES else []
+            end = min((x for x in near if x >= 0), default=len(raw))
+            found = raw[at:end].replace(bytes([END]), PLACED_END).split()
+            words += found
+            segments.append((len(found), langs[i], shards[i]))
+            size += end - at
+            at = end
+            if size >= CHUNK_BYTES:
+                yield names, Chunk(words, segments, salts, known, longest)
+                words = words[-(LONGEST - 1) :]
+                size, known, segments = 0, len(words), [(len(words), langs[i], shards[i])]
+    if len(words) > known:
+        yield names, Chunk(words, segments, salts, known, longest)
 
 
 class Filter:
@@ -166,18 +167,17 @@ def _frequent(docs: DataFrame, n: int, support: int, shorter: dict[int, Filter])
         no_table()
         filters = {k: Filter(w) for k, w in shared.value.items()}
         for batch in batches:
-            for part in by_bytes(batch, ROWS_BYTES):
-                for _, shard, chunk in _streams(part):
-                    keys = lambda k: (chunk.keys[k] & ~_SHARD) | np.uint64(shard)
+            for part in by_bytes(batch):
+                for _, chunk in _chunks(part, n):
                     held = None
                     for k in range(2, n):
                         at = np.flatnonzero(chunk.valid[k] if held is None else held[:-1] & held[1:] & chunk.valid[k])
                         held = np.zeros(len(chunk.valid[k]), dtype=bool)
-                        held[at[filters[k].holds(keys(k)[at])]] = True
+                        held[at[filters[k].holds(chunk.in_shard(k)[at])]] = True
                     here = chunk.counted_here(n)
                     if held is not None:
                         here &= held[:-1] & held[1:]
-                    found, times = np.unique(keys(n)[here], return_counts=True)
+                    found, times = np.unique(chunk.in_shard(n)[here], return_counts=True)
                     yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(times.astype(np.int32))], names=["key", "times"])
 
     counts = docs.mapInArrow(run, "key long, times int")
@@ -192,39 +192,39 @@ def _counted(docs: DataFrame, candidates: Filter) -> DataFrame:
         no_table()
         wanted = Filter(shared.value)
         for batch in batches:
-            for part in by_bytes(batch, ROWS_BYTES):
-                for lang, _, chunk in _streams(part):
-                    yield from _exact(lang, chunk, wanted)
+            for part in by_bytes(batch):
+                for names, chunk in _chunks(part):
+                    yield from _exact(names, chunk, wanted)
 
     parts = docs.mapInArrow(run, "lang string, n int, phrase string, times long")
     return parts.groupBy("lang", "n", "phrase").agg(F.sum("times").alias("times"))
 
 
-def _exact(lang: str, chunk: Chunk, wanted: Filter) -> Iterator[pa.RecordBatch]:
-    def rows(n: int, phrases: list[bytes], times: np.ndarray) -> pa.RecordBatch:
-        size = len(phrases)
-        columns = [pa.array([lang] * size, pa.string()), pa.array(np.full(size, n, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(times.astype(np.int64))]
-        return pa.record_batch(columns, names=["lang", "n", "phrase", "times"])
+def _exact(names: list[str], chunk: Chunk, wanted: Filter) -> Iterator[pa.RecordBatch]:
+    """Words and wanted phrases of the chunk with their numbers, told apart by their text and not by their hash."""
+    langs, many = pa.array(names, pa.string()), len(chunk.distinct)
 
-    times = np.bincount(chunk.ids[chunk.counted_here(1)], minlength=len(chunk.distinct))
-    some = np.flatnonzero(times)
-    yield rows(1, [chunk.distinct[i] for i in some.tolist()], times[some])
-    held, number = chunk.valid[1], chunk.ids
+    def rows(n: int, first: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(times)
+        begins = first[some]
+        texts = [chunk.distinct[i] for i in chunk.ids[begins].tolist()] if n == 1 else [b" ".join(chunk.words[i : i + n]) for i in begins.tolist()]
+        columns = [langs.take(pa.array(chunk.lang[begins])), pa.array(np.full(len(some), n, np.int32)), pa.array(texts, pa.binary()).cast(pa.string())]
+        return pa.record_batch([*columns, pa.array(times[some].astype(np.int64))], names=["lang", "n", "phrase", "times"])
+
+    held, number = chunk.valid[1], chunk.lang * many + chunk.ids
+    _, first, place = np.unique(number, return_index=True, return_inverse=True)
+    yield rows(1, first, np.bincount(place[chunk.counted_here(1)], minlength=len(first)))
     for n in range(2, LONGEST + 1):
         both = held[:-1] & held[1:] & chunk.valid[n]
         at = np.flatnonzero(both)
         at = at[wanted.holds(chunk.keys[n][at] >> np.uint64(3))]
         held = np.zeros(len(both), dtype=bool)
         held[at] = True
-        # Numbers of phrases within the chunk, made of the number of the phrase without its last word: no hashes here.
-        exact = number[at] * len(chunk.distinct) + chunk.ids[at + n - 1]
-        _, first, place = np.unique(exact, return_index=True, return_inverse=True)
+        # A phrase's number within the chunk is made of that of the phrase without its last word.
+        _, first, place = np.unique(number[at] * many + chunk.ids[at + n - 1], return_index=True, return_inverse=True)
         number = np.full(len(both), -1, dtype=np.int64)
         number[at] = place
-        times = np.bincount(place[chunk.counted_here(n)[at]], minlength=len(first))
-        some = np.flatnonzero(times)
-        begins = at[first[some]].tolist()
-        yield rows(n, [b" ".join(chunk.words[i : i + n]) for i in begins], times[some])
+        yield rows(n, at[first], np.bincount(place[chunk.counted_here(n)[at]], minlength=len(first)))
 
 
 def _prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:

@@ -63,16 +63,17 @@ def test_nothing_frequent_and_no_rows(spark):
 
 def test_chunks_count_as_the_whole(monkeypatch):
     """Cuts inside texts, between texts, at gaps and at line ends: every phrase is counted once."""
-    some = [(i, t, "en") for i, (_, t, *_) in enumerate(made(3, 40, 200))] + [(99, "one\n" * 500, "en")]
-    batch = pa.record_batch([pa.array([t for _, t, _ in some]), pa.array(["en"] * len(some)), pa.array([0] * len(some), pa.int32())], names=["text", "lang", "shard"])
+    texts = [t for _, t, *_ in made(3, 40, 200)] + ["one\n" * 500, "", "."]
+    langs = [("en", "de", "und")[i % 3] for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(texts), pa.array(langs), pa.array([i % 5 for i in range(len(texts))], pa.int32())], names=["text", "lang", "shard"])
     everything = phrases.Filter(phrases.np.full(1024, 2**64 - 1, dtype=phrases.np.uint64))
 
     def counted():
         out, chunks = Counter(), 0
-        for lang, _, chunk in phrases._streams(batch):
+        for names, chunk in phrases._chunks(batch):
             chunks += 1
-            for part in phrases._exact(lang, chunk, everything):
-                out.update({(r["n"], r["phrase"]): r["times"] for r in part.to_pylist()})
+            for part in phrases._exact(names, chunk, everything):
+                out.update({(r["lang"], r["n"], r["phrase"]): r["times"] for r in part.to_pylist()})
         return out, chunks
 
     whole, one = counted()
