@@ -13,7 +13,6 @@ them, bitmaps of bounded size, let too many phrases through and never too few; t
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,9 @@ from matchlake.llm.common import by_bytes, no_table, utf8, written
 LONGEST = 4
 #: Shards, at most 8 as their number takes three bits of a key.
 SHARDS = 5
-#: Bytes of text that are counted at once.
+#: Bytes of text that are counted at once, and phrases with their numbers that a worker holds before it hands them on.
 CHUNK_BYTES = 2 << 20
+HELD_PHRASES = 200_000
 #: Bits of a filter for each of its keys, and the most bits it may have: 16 MB in each worker. A fuller one lets more through.
 KEY_BITS, MOST_BITS = 16, 1 << 27
 #: Parts in which a language's phrases are ranked before the best of the parts are.
@@ -40,7 +40,7 @@ WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 #: Small letters, one byte for all gaps, and one that UTF-8 does not have for the ends of pieces.
 END = 0xFF
 PLAIN = bytes(END if c in PIECE_ENDS else 32 if c in GAPS else c + 32 if 65 <= c <= 90 else c for c in range(256))
-PLACED_END = b" " + bytes([END]) + b" "
+_CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 _S, _T, _SHARD = np.uint64(32), np.uint64(29), np.uint64(7)
@@ -51,32 +51,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _T)
 
 
+def _eights(low: bytes, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on, as numbers; low has eight bytes more behind them all."""
+    return np.ndarray((len(low) - 7,), "<u8", buffer=low, strides=(1,))[at] & _CUT[cut]
+
+
 class Chunk:
-    """Some words of texts that follow one another: ids of the distinct ones, and the keys of phrases up to `longest` words.
+    """The words of some texts that follow one another, and the keys of phrases up to `longest` words.
 
-    segments are (number of words, language, shard) in their order; languages are numbered. Each text ends with an end of a
-    piece, so no phrase is of two texts. The first `known` places repeat the end of the chunk before; phrases that end in them
-    are counted there.
+    raw holds plain bytes, the texts each with an end behind it; starts are the places where segments begin, which are of one
+    language (a number) and shard. Phrases do not reach over an end. The first `known` words repeat the end of the chunk before;
+    phrases that end in them are counted there.
     """
 
-    def __init__(self, words: list[bytes], segments: list[tuple[int, int, int]], salts: np.ndarray, known: int, longest: int):
-        self.words, self.known = words, known
-        ids: defaultdict = defaultdict()
-        ids.default_factory = ids.__len__
-        self.ids = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        self.distinct = list(ids)
-        sizes, langs, shards = (np.array(x, dtype=np.int64) for x in zip(*segments))
-        self.lang = np.repeat(langs, sizes)
-        self.shard = np.repeat(shards, sizes).astype(np.uint64)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))[self.ids]
-        inside = np.fromiter((w[0] != END for w in ids), bool, len(ids))[self.ids]
+    def __init__(self, raw: bytes, starts: list[int], langs: list[int], shards: list[int], salts: np.ndarray, known: int, longest: int):
+        self.raw, self.known = raw, known
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        one = np.frombuffer(raw, np.uint8)
+        np.not_equal(one, 32, out=inside[1:-1])
+        inside[1:-1] &= one != END
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.begins, self.ends = edges[::2], edges[1::2]
+        segment = np.searchsorted(np.array(starts), self.begins, "right") - 1
+        self.lang, self.shard = np.array(langs, np.int64)[segment], np.array(shards, np.uint64)[segment]
+        self.piece = np.searchsorted(np.flatnonzero(one == END), self.begins)
+        padded, self.lengths = raw + bytes(8), self.ends - self.begins
+        first = np.minimum(self.lengths, 8)
+        #: A word of up to 16 bytes is told by these two numbers and its length; of a longer one the hash reads up to 32.
+        self.head, self.tail = _eights(padded, self.begins, first), _eights(padded, self.ends - first, first)
+        hashes = self.head * _M1 + _mixed(self.tail + self.lengths.astype(np.uint64)) * _M2
+        long = np.flatnonzero(self.lengths > 16)
+        inner = np.minimum(self.lengths[long] - 16, 8)
+        hashes[long] += _mixed(_eights(padded, self.begins[long] + 8, inner)) + _eights(padded, self.ends[long] - 8 - inner, inner) * _M1
+        hashes = _mixed(hashes)
         #: By number of words: keys of all places, and which places begin a phrase of so many words within a piece.
-        self.keys = {1: _mixed(hashes + np.repeat(salts[langs], sizes))}
-        self.valid = {1: inside}
+        self.keys = {1: _mixed(hashes + salts[self.lang])}
+        self.valid = {1: np.ones(len(hashes), dtype=bool)}
         for n in range(2, longest + 1):
             last = hashes[n - 1 :]
             self.keys[n] = _mixed(self.keys[n - 1][: len(last)] * _M2 + last)
-            self.valid[n] = self.valid[n - 1][: len(last)] & inside[n - 1 :]
+            self.valid[n] = self.piece[: len(last)] == self.piece[n - 1 :]
 
     def in_shard(self, n: int) -> np.ndarray:
         """Keys of the phrases of n words within their shard."""
@@ -88,6 +102,35 @@ class Chunk:
         here[: max(0, self.known - n + 1)] = False
         return here
 
+    def last_words(self, most: int) -> tuple[bytes, int]:
+        """The bytes of at most so many last words, with an end behind them if one follows, and their number."""
+        number = min(most, len(self.begins))
+        if not number:
+            return b"", 0
+        ended = bytes([END]) in self.raw[self.ends[-1] :]
+        return self.raw[self.begins[-number] : self.ends[-1]] + (bytes([END]) if ended else b" "), number
+
+    def numbers(self) -> np.ndarray:
+        """A number for each distinct word, by its bytes and not by a hash."""
+        head, tail, known = self.head.copy(), self.tail.copy(), {}
+        for i in np.flatnonzero(self.lengths > 16).tolist():
+            head[i] = known.setdefault(self.raw[self.begins[i] : self.ends[i]], len(known))
+            tail[i] = 0
+        length = np.minimum(self.lengths, 17).astype(np.uint64)
+        _, first, number = np.unique(_mixed(head * _M1 + _mixed(tail + length) * _M2), return_index=True, return_inverse=True)
+        same = first[number]
+        if (head == head[same]).all() and (tail == tail[same]).all() and (length == length[same]).all():
+            return number
+        return np.unique(np.column_stack((head, tail, length)), axis=0, return_inverse=True)[1].reshape(-1)
+
+    def texts(self, at: np.ndarray, n: int) -> Iterator[bytes]:
+        """The phrases of n words at these places, their words parted by one blank."""
+        begins, ends = self.begins[at], self.ends[at + n - 1]
+        letters = np.concatenate(([0], np.cumsum(self.lengths)))
+        plain = ends - begins == letters[at + n] - letters[at] + n - 1
+        for a, b, whole in zip(begins.tolist(), ends.tolist(), plain.tolist()):
+            yield self.raw[a:b] if whole else b" ".join(self.raw[a:b].split())
+
 
 def _chunks(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[tuple[list[str], Chunk]]:
     """The batch's texts in chunks, with the names of the languages that are numbered in them."""
@@ -95,26 +138,32 @@ def _chunks(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[tuple[lis
     coded = batch["lang"].dictionary_encode()
     names, langs, shards = coded.dictionary.to_pylist(), coded.indices.to_pylist(), batch["shard"].to_pylist()
     salts = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], dtype=np.uint64)
-    words: list[bytes] = []
-    segments: list[tuple[int, int, int]] = []
+    held: list[bytes] = []
+    starts: list[int] = []
+    of: list[int] = []
     size, known = 0, 0
+
+    def made() -> Chunk:
+        return Chunk(b"".join(held), starts, [langs[i] for i in of], [shards[i] for i in of], salts, known, longest)
+
     for i in range(len(texts)):
-        raw, at = texts[i].as_py().translate(PLAIN) + PLACED_END, 0
+        raw, at = texts[i].as_py().translate(PLAIN) + bytes([END]), 0
         while at < len(raw):
             # A cut falls between words, so a very long text comes in parts.
             near = [raw.find(c, at + CHUNK_BYTES) for c in (b" ", bytes([END]))] if len(raw) - at > CHUNK_BYTES else []
             end = min((x for x in near if x >= 0), default=len(raw))
-            found = raw[at:end].replace(bytes([END]), PLACED_END).split()
-            words += found
-            segments.append((len(found), langs[i], shards[i]))
+            held.append(raw[at:end])
+            starts.append(size)
+            of.append(i)
             size += end - at
             at = end
             if size >= CHUNK_BYTES:
-                yield names, Chunk(words, segments, salts, known, longest)
-                words = words[-(LONGEST - 1) :]
-                size, known, segments = 0, len(words), [(len(words), langs[i], shards[i])]
-    if len(words) > known:
-        yield names, Chunk(words, segments, salts, known, longest)
+                chunk = made()
+                yield names, chunk
+                again, known = chunk.last_words(LONGEST - 1)
+                held, starts, of, size = [again], [0], [i], len(again)  # of the same text's language and shard
+    if held and len(held) > (known > 0):
+        yield names, made()
 
 
 class Filter:
@@ -192,39 +241,52 @@ def _counted(docs: DataFrame, candidates: Filter) -> DataFrame:
         no_table()
         wanted = Filter(shared.value)
         for batch in batches:
+            held: dict[tuple[str, int], dict[bytes, int]] = {}
             for part in by_bytes(batch):
                 for names, chunk in _chunks(part):
-                    yield from _exact(names, chunk, wanted)
+                    _exact(names, chunk, wanted, held)
+                    if sum(map(len, held.values())) > HELD_PHRASES:
+                        yield from _rows(held)
+                        held = {}
+            yield from _rows(held)
 
     parts = docs.mapInArrow(run, "lang string, n int, phrase string, times long")
     return parts.groupBy("lang", "n", "phrase").agg(F.sum("times").alias("times"))
 
 
-def _exact(names: list[str], chunk: Chunk, wanted: Filter) -> Iterator[pa.RecordBatch]:
-    """Words and wanted phrases of the chunk with their numbers, told apart by their text and not by their hash."""
-    langs, many = pa.array(names, pa.string()), len(chunk.distinct)
+def _rows(held: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, n), times in held.items():
+        columns = [pa.repeat(pa.scalar(lang, pa.string()), len(times)), pa.repeat(pa.scalar(n, pa.int32()), len(times))]
+        texts = pa.array(times.keys(), pa.binary()).cast(pa.string())
+        yield pa.record_batch([*columns, texts, pa.array(times.values(), pa.int64())], names=["lang", "n", "phrase", "times"])
 
-    def rows(n: int, first: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        some = np.flatnonzero(times)
-        begins = first[some]
-        texts = [chunk.distinct[i] for i in chunk.ids[begins].tolist()] if n == 1 else [b" ".join(chunk.words[i : i + n]) for i in begins.tolist()]
-        columns = [langs.take(pa.array(chunk.lang[begins])), pa.array(np.full(len(some), n, np.int32)), pa.array(texts, pa.binary()).cast(pa.string())]
-        return pa.record_batch([*columns, pa.array(times[some].astype(np.int64))], names=["lang", "n", "phrase", "times"])
 
-    held, number = chunk.valid[1], chunk.lang * many + chunk.ids
+def _exact(names: list[str], chunk: Chunk, wanted: Filter, held: dict[tuple[str, int], dict[bytes, int]]) -> None:
+    """Adds the chunk's words and wanted phrases to what is held, told apart by their text and not by their hash."""
+
+    def add(n: int, first: np.ndarray, times: np.ndarray) -> None:
+        some = np.flatnonzero(times)
+        owns = [held.setdefault((name, n), {}) for name in names]
+        for phrase, lang, k in zip(chunk.texts(first[some], n), chunk.lang[first[some]].tolist(), times[some].tolist()):
+            own = owns[lang]
+            own[phrase] = own.get(phrase, 0) + k
+
+    words = chunk.numbers()
+    many = int(words.max(initial=0)) + 1
+    number, inside = chunk.lang * many + words, np.ones(len(words), dtype=bool)
     _, first, place = np.unique(number, return_index=True, return_inverse=True)
-    yield rows(1, first, np.bincount(place[chunk.counted_here(1)], minlength=len(first)))
+    add(1, first, np.bincount(place[chunk.counted_here(1)], minlength=len(first)))
     for n in range(2, LONGEST + 1):
-        both = held[:-1] & held[1:] & chunk.valid[n]
+        both = inside[:-1] & inside[1:] & chunk.valid[n]
         at = np.flatnonzero(both)
         at = at[wanted.holds(chunk.keys[n][at] >> np.uint64(3))]
-        held = np.zeros(len(both), dtype=bool)
-        held[at] = True
+        inside = np.zeros(len(both), dtype=bool)
+        inside[at] = True
         # A phrase's number within the chunk is made of that of the phrase without its last word.
-        _, first, place = np.unique(number[at] * many + chunk.ids[at + n - 1], return_index=True, return_inverse=True)
+        _, first, place = np.unique(number[at] * many + words[at + n - 1], return_index=True, return_inverse=True)
         number = np.full(len(both), -1, dtype=np.int64)
         number[at] = place
-        yield rows(n, at[first], np.bincount(place[chunk.counted_here(n)[at]], minlength=len(first)))
+        add(n, at[first], np.bincount(place[chunk.counted_here(n)[at]], minlength=len(first)))
 
 
 def _prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:

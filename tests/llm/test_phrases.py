@@ -63,7 +63,7 @@ def test_nothing_frequent_and_no_rows(spark):
 
 def test_chunks_count_as_the_whole(monkeypatch):
     """Cuts inside texts, between texts, at gaps and at line ends: every phrase is counted once."""
-    texts = [t for _, t, *_ in made(3, 40, 200)] + ["one\n" * 500, "", "."]
+    texts = [t for _, t, *_ in made(3, 40, 200)] + ["one\n" * 500, "", ".", "a  b\t c " + "long" * 9 + "x y " + "long" * 9 + "z y", " " * 300, "...\n" * 80]
     langs = [("en", "de", "und")[i % 3] for i in range(len(texts))]
     batch = pa.record_batch([pa.array(texts), pa.array(langs), pa.array([i % 5 for i in range(len(texts))], pa.int32())], names=["text", "lang", "shard"])
     everything = phrases.Filter(phrases.np.full(1024, 2**64 - 1, dtype=phrases.np.uint64))
@@ -72,7 +72,9 @@ def test_chunks_count_as_the_whole(monkeypatch):
         out, chunks = Counter(), 0
         for names, chunk in phrases._chunks(batch):
             chunks += 1
-            for part in phrases._exact(names, chunk, everything):
+            held = {}
+            phrases._exact(names, chunk, everything, held)
+            for part in phrases._rows(held):
                 out.update({(r["lang"], r["n"], r["phrase"]): r["times"] for r in part.to_pylist()})
         return out, chunks
 
