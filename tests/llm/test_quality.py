@@ -1,5 +1,5 @@
 import numpy as np
-from fixtures import docs, sentence
+from fixtures import docs, rows, sentence
 
 from matchlake.llm import quality
 
@@ -26,20 +26,53 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("p_text", "p_page", "p_good"))
 
 
-def test_views_teach_each_other():
-    """The page view sees the class only through what the text view hands over."""
-    rng = np.random.default_rng(0)
-    y = (rng.random(900) < 0.6).astype(float)
-    xt = rng.normal(0, 1, (900, 6))
-    xt[:, 0] += 4 * y
-    xp = rng.normal(0, 1, (900, 6))
-    xp[:, 0] += 2 * y
-    few = np.arange(900) < 30
-    views = quality.cotrain(xt[few], xp[few], y[few], xt[~few], xp[~few])
-    alone = quality.logistic(xp[few][np.arange(30) % 3 != 2], y[few][np.arange(30) % 3 != 2])
-    right = lambda z: ((z > 0) == (y[~few] == 1)).mean()
-    assert right(views.page.logit(xp[~few])) >= right(alone.logit(xp[~few])) - 0.01
-    assert right(views.logits(xt[~few], xp[~few])[0]) >= 0.96
+RARE = "casino jackpot bonus spins wager roulette payout blackjack".split()
+
+
+def taught(spark):
+    """300 labelled documents, whose sources say nothing, and 12,000 others: of the source `dump`, which no label knows, all are
+    bad, nearly all by their marks, and 40 by words that no label knows either."""
+    rng = np.random.default_rng(6)
+    some, marks = [], []
+
+    def marked(text):
+        return " ".join(w + ("###", "$$$", "&&&")[j % 3] for j, w in enumerate(text.split()))
+
+    for i in range(12_300):
+        text, source = sentence(i, 25) + ".", ("a", "b", "c")[i // 3 % 3]
+        bad = i % 3 == 0 if i < 300 else i % 3 == 1
+        if i < 300:
+            marks.append((i, int(not bad)))
+        elif bad:
+            source = "dump"
+        if bad:
+            text = " ".join(rng.choice(RARE, 25)) + "." if i >= 300 and i % 300 == 1 else marked(text)
+        some.append((i, text, "en", source, len(text)))
+    return docs(spark, some), spark.createDataFrame(marks, "doc_id long, quality int")
+
+
+def test_views_teach_each_other_what_no_label_knows(spark):
+    """The text view knows the marks and tells the page view of the source; that one tells the text view of the rare words."""
+    df, marks = taught(spark)
+    views = quality.fit(df, marks)
+    fresh = docs(spark, [(1, " ".join(RARE * 3) + ".", "en", "a", 200), (2, sentence(77_777, 25) + ".", "en", "dump", 150), (3, sentence(88_888, 25) + ".", "en", "a", 150)])
+    got = {r["doc_id"]: r for r in quality.score(fresh, views).collect()}
+    assert got[1]["p_text"] < 0.5 < got[3]["p_text"] and got[2]["p_page"] < 0.5 < got[3]["p_page"]
+
+
+def test_handed_over_rows_are_the_surest_of_all_and_spread(spark):
+    """Of 20,000 scored rows; the few that the taker thinks otherwise of are all there, the many are drawn from and weigh more."""
+    rows = [(i, 6.0 if i % 2 else -6.0, (4.0 if i < 30 else -4.0) if i % 2 == 0 else 0.0, 1) for i in range(20_000)]
+    scored = spark.createDataFrame(rows, "h long, t float, p float, n long")
+    given = [r for r in quality.handed_over(scored, 0.5, 0.5).collect() if r["taker"] == "page"]
+    assert all((r["h"] % 2 == 1) == (r["label"] == 1) for r in given)
+    bad = [r for r in given if r["label"] == 0]
+    few = [r for r in bad if r["h"] < 30]
+    assert len(few) == 15 and all(r["weight"] == 1.0 for r in few)
+    assert 200 <= len(bad) - 15 <= 400 and all(r["weight"] > 4 for r in bad if r["h"] >= 30)
+    assert quality.handed_over(scored.where("abs(t) < 1 AND abs(p) < 1"), 0.5, 0.5) is None
+    text = [r for r in quality.handed_over(scored, 0.5, 0.5).collect() if r["taker"] == "text"]
+    assert {r["h"] for r in text if r["label"] == 1} == set(range(0, 30, 2))
 
 
 def test_apply_keeps_columns_and_good_documents(spark):
@@ -84,6 +117,36 @@ def test_vocabulary_alone_tells_bad_from_good(spark):
     assert np.mean([(r["p_text"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in got]) >= 0.97
 
 
+def words_of(text):
+    found = quality.text_features([text.encode()])[0]
+    return set(np.flatnonzero(found[quality.SHAPE_DIMS : quality.SHAPE_DIMS + quality.WORD_DIMS]).tolist())
+
+
 def test_word_hashes_depend_on_letters_and_not_on_places():
-    at = lambda t: set(a for a in quality.hashed_features(t)[0].tolist() if a < quality.WORD_DIMS)
-    assert at("abc") == at("xy abc") - at("xy") and at("abc") != at("bca") and at("") == set()
+    assert words_of("abc") == words_of("xy Abc") - words_of("xy") and words_of("abc") != words_of("bca") and not words_of("")
+    assert words_of("a" * 30 + "b" + "c" * 30) == words_of("z " + "a" * 30 + "b" + "c" * 30) - words_of("z")
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
+    texts = [r[1] or "" for r in rows()] + ["a\n", "\n\n", "x" * 500, "Ab. Cd!\nEf? g|h ##\n" * 7]
+    raw = [t.encode() for t in texts]
+    together = quality.text_features(raw)
+    assert np.isfinite(together).all()
+    for i, t in enumerate(raw):
+        assert np.allclose(quality.text_features([t])[0], together[i], atol=1e-6)
+    line = quality.text_features([b"Ab. Cd!\nEf? g|h ##\nEf? g|h ##\n"])[0]
+    assert np.isclose(line[12], 3 / 4) and np.isclose(line[13], 1 / 4) and np.isclose(line[14], 3 / 4)  # distinct, closed, begun large
+    # Parts of a long text add up; only distinct words and lines are counted for each part.
+    long = (sentence(3, 3000) + "\n").encode()
+    whole = quality.text_features([long])[0]
+    monkeypatch.setattr(quality, "PART_BYTES", 1000)
+    parts = quality.text_features([b"x", long, b"y"])[1]
+    near = np.abs(whole - parts)
+    assert near[quality._SUMS :].max() < 0.02 and near[0] < 1e-6
+
+
+def test_a_repeated_labelled_id_brings_one_row(spark):
+    """A doc_id that very many rows share gives the fit one of them."""
+    some = [(1, sentence(i, 5), "en", "s", 5) for i in range(500)] + [(2, "### " * 9, "en", "s", 5)]
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").selectExpr("doc_id", "'' AS taker", "quality AS label", "1.0D AS weight")
+    assert quality._examples_of(quality._inputs(docs(spark, some), "text"), marks, "doc_id").count() == 2
