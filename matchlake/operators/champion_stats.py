@@ -45,10 +45,10 @@ def with_rates(games: DataFrame) -> DataFrame:
     )
 
 
-def shared_sums() -> list:
-    """Games, wins and rate sums. A zero duration has no rates but still counts as a game."""
+def shared_sums(games: Column | None = None) -> list:
+    """Games (all rows, unless a count is given), wins and rate sums. A zero duration has no rates but still counts as a game."""
     return [
-        F.count("*").alias("gamesPlayed"),
+        (F.count("*") if games is None else games).alias("gamesPlayed"),
         F.count("dpm").alias("timedGames"),
         F.sum(F.col("win").cast("long")).alias("wins"),
         F.sum(micros("kda")).alias("kdaMicros"),

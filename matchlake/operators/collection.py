@@ -6,12 +6,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from matchlake.session import new_work_dir
+
 # Queue name of the solo ladder, priorities of the work list, life of a sync request, id counts.
 SOLO_QUEUE = "RANKED_SOLO_5x5"
 PRIORITY_USER, PRIORITY_SYNC, PRIORITY_BACKGROUND = 10, 5, 1
 SYNC_TTL_SECONDS = 1800
 RECENT_IDS = 20
 SYNC_IDS = 100
+# Fixed value: bits of a generated row number that count within its partition.
+ROW_BITS = 33
 
 
 def high_elo_players(leagues: list[DataFrame]) -> DataFrame:
@@ -61,6 +65,51 @@ def work_list(user: DataFrame, sync: DataFrame, background: DataFrame) -> DataFr
     return rows.groupBy("matchId").agg(F.max("priority").alias("priority"))
 
 
+def ranked_work(
+    played: DataFrame, stored: DataFrame, user: int = 3, sync: int = SYNC_IDS, background: int = RECENT_IDS, sync_queue: int = 420
+) -> DataFrame:
+    """(matchId, priority, gameCreation): pending ids of all players, from one ranking of `played` for all three kinds of
+    request: a player's `user` latest games, the `sync` latest of the sync queue, the `background` latest.
+
+    The bounded ranking within and without the sync queue goes first and is pushed below its shuffle, so of a player with very
+    many games a few hundred move on.
+    """
+    once = played.groupBy("puuid", "matchId").agg(
+        F.max("gameCreation").alias("gameCreation"), F.coalesce(F.max(F.col("queueId") == sync_queue), F.lit(False)).alias("synced")
+    )
+    newest = [F.desc("gameCreation"), F.desc("matchId")]
+    within = once.withColumn("place", F.row_number().over(Window.partitionBy("puuid", "synced").orderBy(*newest)))
+    some = within.where(F.col("place") <= max(user, sync, background))
+    overall = F.row_number().over(Window.partitionBy("puuid").orderBy(*newest))
+    priority = (
+        F.when(F.col("overall") <= user, PRIORITY_USER)
+        .when(F.col("synced") & (F.col("place") <= sync), PRIORITY_SYNC)
+        .when(F.col("overall") <= background, PRIORITY_BACKGROUND)
+    )
+    asked = some.withColumn("overall", overall).withColumn("priority", priority).where("priority IS NOT NULL")
+    best = asked.groupBy("matchId").agg(F.max("priority").alias("priority"), F.max("gameCreation").alias("gameCreation"))
+    return best.join(stored.select("matchId"), "matchId", "left_anti")
+
+
+def in_order(work: DataFrame) -> DataFrame:
+    """The work list with `place`, from 0: highest priority first, then the newest game, then the id.
+
+    Rows are sorted within ranges and numbered there; each range begins where those before it end. Nothing is sorted in one task:
+    what is added up in one place is a row for each range. The numbered ranges are written once, so that both readings agree.
+    """
+    order = [F.desc("priority"), F.desc("gameCreation"), F.asc("matchId")]
+    path = f"{new_work_dir(work.sparkSession, 'work-list')}/rows"
+    # The id is the number of the range above the row's number within it.
+    numbered = work.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    rows = work.sparkSession.read.schema(numbered.schema).parquet(path).withColumn("range", F.shiftright("number", ROW_BITS))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("range", before.alias("before")))  # a row for each range
+    place = F.col("before") + F.col("number").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return rows.join(starts, "range").withColumn("place", place).drop("number", "range", "before")
+
+
 def collection_counts(players: DataFrame, ids: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: players, ids found, new ids to fetch (each once), skipped."""
     found = ids.join(players, "puuid", "left_semi")
@@ -168,8 +217,13 @@ def upsert_players(versions: DataFrame) -> DataFrame:
 
     `versions` holds stored and new profiles with lastUpdated. One aggregation with map-side reduction.
     """
+    return merge_players(versions.withColumn("createdAt", F.col("lastUpdated")))
+
+
+def merge_players(versions: DataFrame) -> DataFrame:
+    """As upsert_players, of profiles that have a createdAt: writes, their results, or both, in any split."""
     latest = F.struct("lastUpdated", *PROFILE)
-    first = F.struct("lastUpdated", "region")
+    first = F.struct("createdAt", "region")
     return (
         versions.groupBy("puuid")
         .agg(F.max(latest).alias("l"), F.min(first).alias("f"))
@@ -178,6 +232,6 @@ def upsert_players(versions: DataFrame) -> DataFrame:
             *[F.col(f"l.{c}").alias(c) for c in PROFILE],
             F.col("f.region").alias("region"),
             F.col("l.lastUpdated").alias("lastUpdated"),
-            F.col("f.lastUpdated").alias("createdAt"),
+            F.col("f.createdAt").alias("createdAt"),
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlake.functions.numeric import plain_number, rnd
-from matchlake.functions.patches import ALL_PATCHES
+from matchlake.operators import player_stats as players
 
 SIDES = ("hero", "villain")
 STATS = {"winRate": 2, "avgKda": 2, "avgCspm": 1, "avgDpm": 1, "avgGpm": 1, "avgVisionScore": 1}
@@ -50,28 +50,28 @@ def average_timeline(games: DataFrame, column: str) -> DataFrame:
     )
 
 
+def sides_of(pairs: DataFrame) -> DataFrame:
+    """(hero, villain, side, puuid): each distinct pair once for each of its sides."""
+    both = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("puuid")) for s in SIDES])
+    return pairs.select("hero", "villain").distinct().select("hero", "villain", F.explode(both).alias("s")).select("hero", "villain", "s.*")
+
+
 def compare_stats(pairs: DataFrame, users: DataFrame, stats: DataFrame, laning: bool = False) -> DataFrame:
-    """Both players' profile and stats side by side; pairs with an unknown player fall out.
+    """Both players' profile and stats side by side, each pair once; pairs with an unknown player fall out.
 
-    `stats` has one row per player. Laning values are zero unless the stats are those of one champion.
+    `stats` has one row per player. Laning values are zero unless the stats are those of one champion. Pairs are laid out by
+    side, meet users and stats once, and are put back side by side; further columns of `stats` come along.
     """
-    people = stats.join(users.select("puuid", "gameName"), "puuid").select(
-        "puuid",
-        "gameName",
-        "gamesPlayed",
-        *[rnd(n, d).alias(n) for n, d in STATS.items()],
-        *[(rnd(n, 1) if laning else F.lit(0.0)).alias(n) for n in LANING],
-        "soloKills15",
-        "soloDeaths15",
+    shown = {n: rnd(n, d) for n, d in STATS.items()} | {n: rnd(n, 1) if laning else F.lit(0.0) for n in LANING}
+    known = ["puuid", "gamesPlayed", *shown, "soloKills15", "soloDeaths15"]
+    more = [c for c in stats.columns if c not in known and c not in ("patch", "queueId", "championId", "lastPlayedAt", "wins", "losses")]
+    people = sides_of(pairs).join(users.select("puuid", "gameName"), "puuid").join(stats, "puuid")
+    names = ["gameName", "gamesPlayed", *shown, "soloKills15", "soloDeaths15", *more]
+    one = F.struct(*[shown.get(n, F.col(n)).alias(n) for n in names])
+    pivoted = people.groupBy("hero", "villain").agg(*[F.any_value(F.when(F.col("side") == s, one), True).alias(s + "_") for s in SIDES])
+    return pivoted.where(" AND ".join(f"{s}_ IS NOT NULL" for s in SIDES)).select(
+        "hero", "villain", *[F.col(f"{s}_.{n}").alias(s + n[0].upper() + n[1:]) for s in SIDES for n in names]
     )
-    out = pairs
-    for side in SIDES:
-        named = people.select(
-            F.col("puuid").alias(side),
-            *[F.col(c).alias(side + c[0].upper() + c[1:]) for c in people.columns if c != "puuid"],
-        )
-        out = out.join(named, side)
-    return out
 
 
 def _both(name: str) -> tuple[Column, Column]:
@@ -124,37 +124,32 @@ def _relative(name: str) -> Column:
 
 def compare_timelines(pairs: DataFrame, averages: DataFrame) -> DataFrame:
     """One row per pair, side and minute."""
-    sides = pairs.select(
-        "hero", "villain", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("puuid")) for s in SIDES])).alias("s")
-    ).select("hero", "villain", "s.*")
-    return sides.join(averages, "puuid").drop("puuid")
+    return sides_of(pairs).join(averages, "puuid").drop("puuid")
 
 
-def average_series(games: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The averaged series of each player, each as one array by minute, from one pass over the games.
+def stats_and_series(games: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rates and laning of each player, and the averaged series as arrays by minute, from one pass over the games.
 
-    `columns` names the result of each series column. A minute is averaged over the games that last that long.
+    `columns` names the result of each series column. A minute is averaged over the games that last that long. A game is a row
+    for each of its minutes, the first of which carries its sums; a game without a series has that row alone.
     """
-    zipped = F.arrays_zip(*columns)
-    per_minute = games.select("puuid", F.posexplode(zipped).alias("minute", "v")).groupBy("puuid", "minute")
-    sums = per_minute.agg(*[F.sum(f"v.{c}").alias(f"_{c}") for c in columns], *[F.count(f"v.{c}").alias(f"_n{c}") for c in columns])
+    zipped = F.posexplode_outer(F.arrays_zip(*columns)).alias("minute", "v")
+    single = ["win", "kda", "dpm", "gpm", "cspm", "visionScore", "hasOpponent", *players.LANING, *[c for c in players.SOLO if c in games.columns], "gameCreation"]
+    rows = games.select("puuid", *single, zipped).withColumn("minute", F.coalesce("minute", F.lit(0)))
+    first = F.col("minute") == 0
+    rows = rows.withColumns({c: F.when(first, F.col(c)) for c in single})
+    sums = [*[F.sum(f"v.{c}").alias(f"_{c}") for c in columns], *[F.count(f"v.{c}").alias(f"_n{c}") for c in columns]]
+    once = rows.groupBy("puuid", "minute").agg(*players.game_sums(games.columns, F.count_if(first)), *sums)
     mean = lambda c: F.floor(F.col(f"_{c}").cast("double") / F.col(f"_n{c}") + 0.5).alias(c)
-    # A player has as many rows here as the longest game has minutes.
-    listed = sums.groupBy("puuid").agg(F.sort_array(F.collect_list(F.struct("minute", *[mean(c) for c in columns]))).alias("_m"))
+    # A player has as many rows here as the longest game has minutes; all but one add nothing to the sums.
+    listed = F.sort_array(F.collect_list(F.struct("minute", *[mean(c) for c in columns]))).alias("_m")
+    wide = once.groupBy("puuid").agg(
+        *[F.sum(c).cast(once.schema[c].dataType).alias(c) for c in once.columns if c not in ("puuid", "minute", "lastPlayedAt") and not c.startswith("_")],
+        F.max("lastPlayedAt").alias("lastPlayedAt"),
+        listed,
+    )
 
     def values(c: str) -> Column:
         return F.transform(F.filter("_m", lambda m: m[c].isNotNull()), lambda m: m[c])
 
-    return listed.select("puuid", *[values(c).alias(n) for c, n in columns.items()])
-
-
-def with_series(compared: DataFrame, series: DataFrame) -> DataFrame:
-    """Both players' series beside their stats; a player without games has none."""
-    for side in SIDES:
-        named = series.select(F.col("puuid").alias(side), *[F.col(c).alias(side + c[0].upper() + c[1:]) for c in series.columns if c != "puuid"])
-        compared = compared.join(named, side, "left")
-    return compared
-
-
-def patch_stats(stats: DataFrame, patch: str | None, queue_id: int) -> DataFrame:
-    return stats.where((F.col("patch") == (patch or ALL_PATCHES)) & (F.col("queueId") == queue_id))
+    return wide.select("puuid", *players.rates(), *players.laning_rates(), *[values(c).alias(n) for c, n in columns.items()])

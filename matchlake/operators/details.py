@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from matchlake.functions.numeric import per_minute, rnd
 from matchlake.functions.timeparts import minute_of
+from matchlake.operators import match_parser
 from matchlake.operators.champion_stats import with_last_cs, with_match
 from matchlake.operators.lanes import lane_opponents
 
 FINAL_ITEMS = 6
 
 
-def match_detail(matches: DataFrame, teams: DataFrame, participants: DataFrame) -> DataFrame:
-    """A match with its teams and its participants nested.
+def match_detail(docs: DataFrame) -> DataFrame:
+    """A match with its teams, by id, and its participants nested: all inside the document's row, nothing moves."""
+    teams = F.sort_array(F.transform("info.teams", lambda t: F.struct(*match_parser.team_fields(t))))
+    people = match_parser.nested_participants(F.col("info.participants"))
+    return match_parser.match_rows(docs.select("*", teams.alias("teams"), people.alias("participants")), "teams", "participants")
+
+
+def stored_detail(matches: DataFrame, teams: DataFrame, participants: DataFrame) -> DataFrame:
+    """The same from stored rows, which lie in tables of their own.
 
     Both sides are nested on their own, never joined with each other. A match document holds two teams
     and ten participants.
@@ -57,10 +65,15 @@ def objective_events(teams: DataFrame) -> DataFrame:
     )
 
 
-def match_events(participants: DataFrame, teams: DataFrame) -> DataFrame:
+def match_objectives(matches: DataFrame) -> DataFrame:
+    """All objectives of the matches, with the team that their event names. No team row is needed for one to be there."""
+    return matches.select("matchId", F.inline("objectives")).withColumn("minute", minute_of("timestamp"))
+
+
+def match_events(participants: DataFrame, matches: DataFrame) -> DataFrame:
     """Kills, deaths, wards and objectives of a match in one table, told apart by `kind`.
 
-    The three participant histories are unpacked from one scan.
+    The three participant histories are unpacked from one scan, objectives from the match's own row.
     """
     kind = lambda name, column, ward: F.transform(
         F.coalesce(column, F.array()),
@@ -87,7 +100,7 @@ def match_events(participants: DataFrame, teams: DataFrame) -> DataFrame:
         )
         .withColumn("minute", minute_of("timestamp"))
     )
-    goals = objective_events(teams).withColumn("kind", F.lit("objective"))
+    goals = match_objectives(matches).withColumn("kind", F.lit("objective"))
     return people.unionByName(goals, allowMissingColumns=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchlake.functions.numeric import percent, rnd
 
@@ -29,6 +29,16 @@ def lane_opponents(participants: DataFrame, fields: list[str], place: str = "pos
     ).drop("first_blue", "first_red")
 
 
+def opponent_among(entries: Column, e: Column) -> Column:
+    """The entry of the first participant with the same role on the other side, among a document's entries (p, role).
+
+    As lane_opponents, within one row: who has no team is nobody's opponent, and meets the blue side.
+    """
+    blue = lambda x: F.coalesce(x["p"]["teamId"] == BLUE, F.lit(False))
+    other = lambda x: F.when(blue(e), x["p"]["teamId"] != BLUE).otherwise(blue(x))
+    return F.get(F.filter(entries, lambda x: (x["role"] == e["role"]) & other(x)), F.lit(0))
+
+
 def matchups(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     """Games and wins per (patch, champion pair, role). The smaller champion id comes first."""
     return (

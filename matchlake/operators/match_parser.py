@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from matchlake.functions import numeric, patches, text
+from matchlake.functions.nested import bound
 from matchlake.sources import schemas
 
 
-def match_rows(docs: DataFrame) -> DataFrame:
+def match_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """One row per match; with a column `objectives` (the match's objective list) that stays, whatever its teams are, and so do
+    the columns that are named."""
     return docs.select(
         F.col("metadata.matchId").alias("matchId"),
         F.col("info.gameCreation").alias("gameCreation"),
@@ -19,6 +22,7 @@ def match_rows(docs: DataFrame) -> DataFrame:
         F.col("info.mapId").alias("mapId"),
         F.lit(True).alias("hasTimeline"),
         patches.extract_patch("info.gameVersion").alias("patch"),
+        *[c for c in docs.columns if c == "objectives" or c in more],
     )
 
 
@@ -36,15 +40,11 @@ def team_rows(docs: DataFrame) -> DataFrame:
         *extra,
     )
     own = F.filter("objectives", lambda o: o["teamId"] == F.col("t.teamId"))
-    return rows.select(
-        "matchId",
-        "patch",
-        F.col("t.teamId").alias("teamId"),
-        F.col("t.win").alias("win"),
-        banned_ids(F.col("t.bans")).alias("bans"),
-        F.col("t.objectives").alias("objectives_summary"),
-        *([own.alias("objectives_timeline")] if timed else []),
-    )
+    return rows.select("matchId", "patch", *team_fields(F.col("t")), *([own.alias("objectives_timeline")] if timed else []))
+
+
+def team_fields(t: Column) -> list[Column]:
+    return [t["teamId"].alias("teamId"), t["win"].alias("win"), banned_ids(t["bans"]).alias("bans"), t["objectives"].alias("objectives_summary")]
 
 
 def banned_ids(bans: Column) -> Column:
@@ -65,13 +65,13 @@ def _raw_participants(docs: DataFrame) -> DataFrame:
 
 
 def _typed(raw: DataFrame) -> DataFrame:
-    """Parses the text of single participants (column raw): declared properties, and all as a map."""
-    return raw.withColumns(
-        {
-            "p": F.from_json("raw", schemas.PARTICIPANT),
-            "props": F.from_json("raw", "map<string,string>"),
-        }
-    ).drop("raw")
+    """Parses the text of single participants (column raw): declared properties, unless p holds them, and all as a map."""
+    typed = raw if "p" in raw.columns else raw.withColumn("p", F.from_json("raw", schemas.PARTICIPANT))
+    return typed.withColumn("props", F.from_json("raw", "map<string,string>")).drop("raw")
+
+
+def role_of(p: Column) -> Column:
+    return text.first_filled(p["teamPosition"], p["individualPosition"])
 
 
 def pings_of(props: Column) -> Column:
@@ -86,33 +86,39 @@ def participant_rows(docs: DataFrame) -> DataFrame:
 
 
 def participants_of(raw: DataFrame) -> DataFrame:
-    """Participant rows from (matchId, pos, raw); further columns stay."""
-    rest = [c for c in raw.columns if c not in ("matchId", "pos", "raw")]
-    return _typed(raw).select(
-        "matchId",
-        "pos",
-        F.col("p.puuid").alias("puuid"),
-        F.col("p.summonerName").alias("summonerName"),
-        F.col("p.championId").alias("championId"),
-        F.col("p.championName").alias("championName"),
-        F.col("p.teamId").alias("teamId"),
-        text.first_filled(F.col("p.teamPosition"), F.col("p.individualPosition")).alias("role"),
-        text.first_filled(F.col("p.lane"), F.col("p.individualPosition")).alias("lane"),
-        F.col("p.win").alias("win"),
-        F.col("p.kills").alias("kills"),
-        F.col("p.deaths").alias("deaths"),
-        F.col("p.assists").alias("assists"),
-        numeric.kda("p.kills", "p.deaths", "p.assists").alias("kda"),
-        F.col("p.goldEarned").alias("goldEarned"),
-        F.col("p.totalDamageDealtToChampions").alias("totalDamage"),
-        F.col("p.totalDamageTaken").alias("damageTaken"),
-        F.coalesce("p.visionScore", F.lit(0)).alias("visionScore"),
-        F.col("p.perks").alias("runes"),
-        F.col("p.challenges").alias("challenges"),
-        pings_of(F.col("props")).alias("pings"),
-        F.array("p.summoner1Id", "p.summoner2Id").alias("spells"),
-        *rest,
-    )
+    """Participant rows from (matchId, pos, raw), and p where raw is parsed already; further columns stay."""
+    rest = [c for c in raw.columns if c not in ("matchId", "pos", "raw", "p")]
+    return _typed(raw).select("matchId", "pos", *participant_fields(F.col("p"), F.col("props")), *rest)
+
+
+def participant_fields(p: Column, props: Column) -> list[Column]:
+    """The columns of a participant, from its declared properties and all of them as a map."""
+    own = lambda *names: [p[n].alias(n) for n in names]
+    return [
+        *own("puuid", "summonerName", "championId", "championName", "teamId"),
+        role_of(p).alias("role"),
+        text.first_filled(p["lane"], p["individualPosition"]).alias("lane"),
+        *own("win", "kills", "deaths", "assists"),
+        numeric.kda(p["kills"], p["deaths"], p["assists"]).alias("kda"),
+        p["goldEarned"].alias("goldEarned"),
+        p["totalDamageDealtToChampions"].alias("totalDamage"),
+        p["totalDamageTaken"].alias("damageTaken"),
+        F.coalesce(p["visionScore"], F.lit(0)).alias("visionScore"),
+        p["perks"].alias("runes"),
+        p["challenges"].alias("challenges"),
+        pings_of(props).alias("pings"),
+        F.array(p["summoner1Id"], p["summoner2Id"]).alias("spells"),
+    ]
+
+
+def nested_participants(raws: Column) -> Column:
+    """The participants of a document as an array of participant_rows' columns, in its order."""
+
+    def entry(raw, pos):
+        parsed = F.struct(F.from_json(raw, schemas.PARTICIPANT).alias("p"), F.from_json(raw, "map<string,string>").alias("props"))
+        return bound(parsed, lambda x: F.struct(pos.alias("pos"), *participant_fields(x["p"], x["props"])))
+
+    return F.transform(raws, entry)
 
 
 def slim_participants(docs: DataFrame) -> DataFrame:

@@ -24,23 +24,30 @@ LANING = {"csd15": "csGraph", "gd15": "goldGraph", "xpd15": "xpGraph"}
 
 
 def with_laning(participants: DataFrame) -> DataFrame:
-    """Adds `hasOpponent` and the differences at minute 15, null without a lane opponent."""
+    """Adds `hasOpponent` and the differences at minute 15, null without a lane opponent. Stored participants have them."""
+    if "hasOpponent" in participants.columns:
+        return participants
     at15 = {f"_{name}": at_or_zero(series, LANING_MINUTE).cast("long") for name, series in LANING.items()}
     joined = lane_opponents(with_last_cs(participants.withColumns(at15)), list(at15))
     diffs = {name: F.col(f"_{name}") - F.col(f"opponent._{name}") for name in LANING}
     return joined.withColumns({"hasOpponent": F.col("opponent").isNotNull(), **diffs}).drop("opponent", *at15)
 
 
-def player_partials(games: DataFrame) -> DataFrame:
-    """`games` are rows of champion_stats.game_rows over participants with laning columns."""
-    return games.groupBy(*PARTIAL_KEYS).agg(
-        *shared_sums(),
+def game_sums(columns: list[str], games: Column | None = None) -> list:
+    """Partial sums over rows of champion_stats.game_rows with laning columns; without solo fights where there are none."""
+    return [
+        *shared_sums(games),
         F.sum("visionScore").cast("long").alias("visionSum"),
         F.sum(F.col("hasOpponent").cast("long")).alias("opponentGames"),
         *[F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(f"{name}Sum") for name in LANING],
-        *[(F.coalesce(F.sum(name), F.lit(0)) if name in games.columns else F.lit(0)).cast("long").alias(f"{name}Sum") for name in SOLO],
+        *[(F.coalesce(F.sum(name), F.lit(0)) if name in columns else F.lit(0)).cast("long").alias(f"{name}Sum") for name in SOLO],
         F.max("gameCreation").alias("lastPlayedAt"),
-    )
+    ]
+
+
+def player_partials(games: DataFrame) -> DataFrame:
+    """`games` are rows of champion_stats.game_rows over participants with laning columns."""
+    return games.groupBy(*PARTIAL_KEYS).agg(*game_sums(games.columns))
 
 
 def with_lifetime(partials: DataFrame, patch: str | None = None) -> DataFrame:
@@ -52,7 +59,8 @@ def with_lifetime(partials: DataFrame, patch: str | None = None) -> DataFrame:
     return partials.withColumn("patch", F.explode(F.array("patch", F.lit(ALL_PATCHES))))
 
 
-def _rates() -> list:
+def rates() -> list:
+    """The rates that partial sums give, rounded."""
     return [
         "gamesPlayed",
         "wins",
@@ -65,12 +73,19 @@ def _rates() -> list:
     ]
 
 
-def player_stats(partials: DataFrame) -> DataFrame:
-    return merge(with_lifetime(partials.drop("championId", "role")), PLAYER_KEYS).select(
-        *PLAYER_KEYS, *_rates(), F.col("lastPlayedAt")
+def player_stats(partials: DataFrame, patch: str | None = None) -> DataFrame:
+    """Rates per player, of every patch and the lifetime or of one."""
+    return merge(with_lifetime(partials.drop("championId", "role"), patch), PLAYER_KEYS).select(
+        *PLAYER_KEYS, *rates(), F.col("lastPlayedAt")
     )
 
 
+def laning_rates() -> list:
+    """Mean differences at minute 15 over the games with an opponent."""
+    mean = lambda n: F.coalesce(F.try_divide(F.col(f"{n}Sum").cast("double"), "opponentGames"), F.lit(0.0))
+    return [rnd(mean(n), 2).alias(f"avg{n.capitalize()}") for n in LANING]
+
+
 def _roles(pairs: Column) -> Column:
     """Role to games map of a short list of (role, games)."""
     names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["role"])))
@@ -95,21 +110,15 @@ def summaries(partials: DataFrame, patch: str, name: Callable[[DataFrame], DataF
         F.slice("_best", 1, k),
         lambda c: F.struct(c["championId"].alias("championId"), c["championName"].alias("championName"), c["games"].alias("games"), rnd(percent(c["wins"], c["games"]), 2).alias("winRate")),
     )
-    return people.select(*PLAYER_KEYS, *_rates(), "lastPlayedAt", _roles(F.col("_roles")).alias("roleDistribution"), top.alias("topChampions"))
+    return people.select(*PLAYER_KEYS, *rates(), "lastPlayedAt", _roles(F.col("_roles")).alias("roleDistribution"), top.alias("topChampions"))
 
 
 def player_champion_stats(partials: DataFrame, patch: str | None = None, roles: bool = False) -> DataFrame:
     """Rates and laning per player and champion, of every patch and the lifetime or of one; with the role map if asked for."""
-    laning = [
-        rnd(F.coalesce(F.try_divide(F.col(f"{n}Sum").cast("double"), "opponentGames"), F.lit(0.0)), 2).alias(
-            f"avg{n.capitalize()}"
-        )
-        for n in LANING
-    ]
     rows = with_lifetime(partials if roles else partials.drop("role"), patch)
     merged = merge(rows, PLAYER_CHAMPION_KEYS, *([_role_pairs()] if roles else []))
     shown = [_roles(F.col("_roles")).alias("roleDistribution")] if roles else []
-    return merged.select(*PLAYER_CHAMPION_KEYS, *_rates(), *laning, "lastPlayedAt", *shown)
+    return merged.select(*PLAYER_CHAMPION_KEYS, *rates(), *laning_rates(), "lastPlayedAt", *shown)
 
 
 def role_counts(partials: DataFrame, keys: list[str] = PLAYER_KEYS) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchlake.functions.nested import bound
 from matchlake.sources import schemas
 
 # Series length without frames, milliseconds of a minute, the solo-kill limit, skill letters.
@@ -54,47 +55,83 @@ def _frames_of(frames: Column, pid: Column) -> Column:
     )
 
 
+def by_minute(own: Column, length: Column) -> Column:
+    """A participant's frames scattered into one slot a minute, in one pass: the last frame of a minute counts, minutes
+    without one are null."""
+    nothing = lambda n: F.array_repeat(F.lit(None).cast(schemas.PARTICIPANT_FRAME), F.greatest(n, F.lit(0)))
+
+    def scattered(places: Column) -> Column:
+        # A frame fills its slot, and the empty ones up to the next frame's.
+        def slot(at: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(places, i + 1)["minute"], length)
+            filled = F.concat(F.array(F.get(own, at["place"])["v"]), nothing(after - at["minute"] - 1))
+            return F.when(after == at["minute"], F.array().cast(f"array<{schemas.PARTICIPANT_FRAME}>")).otherwise(filled)
+
+        return F.concat(nothing(F.coalesce(F.get(places, F.lit(0))["minute"], length)), F.flatten(F.transform(places, slot)))
+
+    places = F.transform(own, lambda e, i: F.struct(e["minute"].alias("minute"), i.alias("place")))
+    return bound(F.sort_array(F.filter(places, lambda p: p["minute"] >= 0)), scattered)
+
+
 def _series(per_minute: Column, value) -> Column:
     return F.transform(per_minute, lambda v: F.coalesce(value(v), F.lit(0)).cast("int"))
 
 
-def _positions(events: Column, pick) -> Column:
-    return F.transform(
-        F.filter(events, pick),
-        lambda e: F.struct(
-            e["position"]["x"].alias("x"), e["position"]["y"].alias("y"), e["timestamp"].alias("timestamp")
-        ),
-    )
+# What an event is to a participant; the numbers are places in a key and mean nothing else.
+KILL, DEATH, WARD, ITEM, SKILL, SOLO_KILL, KINDS = range(7)
+_ENTRY = "struct<key: int, place: int, x: int, y: int, timestamp: bigint, number: int, name: string>"
 
 
-def _wards(events: Column, pid: Column) -> Column:
-    """Wards carry no position in the documents: both coordinates are 0."""
-    return F.transform(
-        F.filter(events, lambda e: (e["type"] == "WARD_PLACED") & (e["creatorId"] == pid)),
-        lambda e: F.struct(
-            F.lit(0).alias("x"), F.lit(0).alias("y"), e["timestamp"].alias("timestamp"), e["wardType"].alias("wardType")
-        ),
-    )
+def participant_events(events: Column) -> Column:
+    """All events that concern a participant, one entry for each, by participant and kind, then in document order.
 
+    Every event is looked at once. A kill is an entry of its killer and one of its victim. Wards carry no position in the
+    documents: both coordinates are 0. number is the item, or 1 for an early death without assistants.
+    """
 
-def _item_log(events: Column, pid: Column) -> Column:
-    kind = (
-        lambda e: F.when(e["type"] == "ITEM_PURCHASED", F.lit("BUY"))
-        .when(e["type"] == "ITEM_SOLD", F.lit("SELL"))
-        .when(e["type"] == "ITEM_UNDO", F.lit("UNDO"))
-    )
-    return F.transform(
-        F.filter(
-            events,
-            lambda e: e["type"].isin("ITEM_PURCHASED", "ITEM_SOLD", "ITEM_UNDO") & (e["participantId"] == pid),
-        ),
-        lambda e: F.struct(
-            F.when(e["type"] == "ITEM_UNDO", e["beforeId"]).otherwise(e["itemId"]).alias("itemId"),
-            e["timestamp"].alias("timestamp"),
-            kind(e).alias("type"),
-        ),
+    def entries(e: Column, i: Column) -> Column:
+        kind, item = e["type"], e["type"].isin("ITEM_PURCHASED", "ITEM_SOLD", "ITEM_UNDO")
+        early = e["timestamp"] < SOLO_LIMIT_MS
+        solo = (kind == "CHAMPION_SPECIAL_KILL") & (e["killType"] == "KILL_SOLO") & early
+        alone = early & (F.coalesce(F.size(e["assistingParticipantIds"]), F.lit(0)) <= 0)
+
+        def entry(second: int, pid: Column, what, number=None, name=None, placed=True) -> Column:
+            x, y = (e["position"]["x"], e["position"]["y"]) if placed else (F.lit(0), F.lit(0))
+            made = F.struct(
+                (pid * KINDS + what).alias("key"), (2 * i + second).alias("place"), x.alias("x"), y.alias("y"), e["timestamp"].alias("timestamp"),
+                (F.lit(None) if number is None else number).cast("int").alias("number"), (F.lit(None) if name is None else name).cast("string").alias("name"),
+            ).cast(_ENTRY)
+            return F.when(pid.isNotNull(), made)
+
+        undo = kind == "ITEM_UNDO"
+        word = F.when(kind == "ITEM_PURCHASED", F.lit("BUY")).when(undo, F.lit("UNDO")).otherwise(F.lit("SELL"))
+        first = (
+            F.when(kind == "CHAMPION_KILL", entry(0, e["killerId"], KILL))
+            .when(kind == "WARD_PLACED", entry(0, e["creatorId"], WARD, name=e["wardType"], placed=False))
+            .when(item, entry(0, e["participantId"], ITEM, F.when(undo, e["beforeId"]).otherwise(e["itemId"]), word))
+            .when(kind == "SKILL_LEVEL_UP", entry(0, e["participantId"], SKILL, name=skill_letter(e["skillSlot"])))
+            .when(solo, entry(0, e["killerId"], SOLO_KILL))
+        )
+        second = F.when(kind == "CHAMPION_KILL", entry(1, e["victimId"], DEATH, F.when(alone, F.lit(1))))
+        return F.array(first, second)
+
+    found = F.filter(F.flatten(F.transform(events, entries)), lambda x: x.isNotNull())
+    return F.sort_array(found)
+
+
+def entry_spans(entries: Column) -> Column:
+    """key -> first place and number of its entries, as they lie side by side."""
+    begins = F.filter(
+        F.transform(entries, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"))),
+        lambda m: (m["at"] == 0) | (F.get(entries, m["at"] - 1)["key"] != m["key"]),
     )
 
+    def spans(marks: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(marks, j + 1)["at"], F.size(entries))
+        return F.transform(marks, lambda m, j: F.struct(m["key"], F.struct((m["at"] + 1).alias("at"), (end(j) - m["at"]).alias("n"))))
+
+    return F.map_from_entries(bound(begins, spans))
+
 
 def apply_undos(items: Column) -> Column:
     """Ordered fold: an UNDO removes the latest BUY of its item that is still there, then is appended itself."""
@@ -126,8 +163,16 @@ def with_results(df: DataFrame) -> DataFrame:
     base = df.withColumns({"ids": F.coalesce("ids", F.array()), "frames": F.coalesce("frames", F.array())})
     staged = base.select(
         *rest,
+        "ids",
+        "frames",
         series_minutes(F.col("frames")).alias("minutes"),
         all_events(F.col("frames")).alias("events"),
+    )
+    keyed = staged.select(
+        *rest,
+        "minutes",
+        participant_events(F.col("events")).alias("entries"),
+        objective_array(F.col("events")).alias("objectives"),
         F.transform(
             "ids",
             lambda puuid, i: F.struct(
@@ -135,8 +180,10 @@ def with_results(df: DataFrame) -> DataFrame:
             ),
         ).alias("people"),
     )
+    spanned = keyed.withColumn("spans", entry_spans(F.col("entries")))
     # A frame past the planned length makes the series longer.
-    sized = staged.withColumn(
+    last = lambda q: F.coalesce(F.array_max(F.transform(q["own"], lambda e: e["minute"])) + 1, F.lit(0))
+    minuted = spanned.withColumn(
         "people",
         F.transform(
             "people",
@@ -144,75 +191,44 @@ def with_results(df: DataFrame) -> DataFrame:
                 q["pid"].alias("pid"),
                 q["puuid"].alias("puuid"),
                 q["own"].alias("own"),
-                F.greatest(
-                    F.col("minutes"), F.coalesce(F.array_max(F.transform(q["own"], lambda e: e["minute"])) + 1, F.lit(0))
-                ).alias("length"),
-            ),
-        ),
-    )
-    # The last frame of a minute counts; minutes without a frame stay null here and become 0.
-    minuted = sized.withColumn(
-        "people",
-        F.transform(
-            "people",
-            lambda q: F.struct(
-                q["pid"].alias("pid"),
-                q["puuid"].alias("puuid"),
-                q["own"].alias("own"),
-                F.transform(
-                    F.sequence(F.lit(0), q["length"] - 1),
-                    lambda m: F.try_element_at(F.filter(q["own"], lambda e: e["minute"] == m), F.lit(-1))["v"],
-                ).alias("byMinute"),
+                by_minute(q["own"], F.greatest(F.col("minutes"), last(q))).alias("byMinute"),
             ),
         ),
     )
     return minuted.select(
         *rest,
-        F.transform("people", lambda q: _result(q, F.col("events"))).alias("people"),
-        objective_array(F.col("events")).alias("objectives"),
+        F.transform("people", lambda q: _result(q, F.col("entries"), F.col("spans"))).alias("people"),
+        "objectives",
     )
 
 
-def _result(q: Column, events: Column) -> Column:
+def _result(q: Column, entries: Column, spans: Column) -> Column:
     pid, series = q["pid"], q["byMinute"]
-    kill = lambda e: e["type"] == "CHAMPION_KILL"
-    early = lambda e: e["timestamp"] < SOLO_LIMIT_MS
-    solo_kills = F.filter(
-        events,
-        lambda e: (e["type"] == "CHAMPION_SPECIAL_KILL")
-        & (e["killType"] == "KILL_SOLO")
-        & (e["killerId"] == pid)
-        & early(e),
-    )
-    solo_deaths = F.filter(
-        events,
-        lambda e: kill(e)
-        & (e["victimId"] == pid)
-        & early(e)
-        & (F.coalesce(F.size(e["assistingParticipantIds"]), F.lit(0)) <= 0),
-    )
+
+    def own(kind: int) -> Column:
+        found = bound(F.try_element_at(spans, pid * KINDS + kind), lambda s: F.slice(entries, s["at"], s["n"]))
+        return F.coalesce(found, F.array().cast(f"array<{_ENTRY}>"))
+
+    where = lambda e: [e[c].alias(c) for c in ("x", "y", "timestamp")]
+    items = F.transform(own(ITEM), lambda e: F.struct(e["number"].alias("itemId"), e["timestamp"], e["name"].alias("type")))
     columns = {
         "goldGraph": _series(series, lambda v: v["totalGold"]),
         "xpGraph": _series(series, lambda v: v["xp"]),
         "csGraph": _series(series, lambda v: v["minionsKilled"] + v["jungleMinionsKilled"]),
         "damageGraph": _series(series, lambda v: v["damageStats"]["totalDamageDoneToChampions"]),
-        "deathPositions": _positions(events, lambda e: kill(e) & (e["victimId"] == pid)),
-        "killPositions": _positions(events, lambda e: kill(e) & (e["killerId"] == pid)),
-        "wardPositions": _wards(events, pid),
+        "deathPositions": F.transform(own(DEATH), lambda e: F.struct(*where(e))),
+        "killPositions": F.transform(own(KILL), lambda e: F.struct(*where(e))),
+        "wardPositions": F.transform(own(WARD), lambda e: F.struct(*where(e), e["name"].alias("wardType"))),
         "pathingSample": F.transform(
             q["own"],
             lambda e: F.struct(
                 e["v"]["position"]["x"].alias("x"), e["v"]["position"]["y"].alias("y"), e["time"].alias("time")
             ),
         ),
-        "skillOrder": F.transform(
-            F.filter(events, lambda e: (e["type"] == "SKILL_LEVEL_UP") & (e["participantId"] == pid)),
-            lambda e: skill_letter(e["skillSlot"]),
-        ),
-        # A one-element array binds the log to a name, so that it is built once.
-        "itemTimeline": F.get(F.transform(F.array(_item_log(events, pid)), apply_undos), F.lit(0)),
-        "soloKills15": F.size(solo_kills),
-        "soloDeaths15": F.size(solo_deaths),
+        "skillOrder": F.transform(own(SKILL), lambda e: e["name"]),
+        "itemTimeline": bound(items, apply_undos),
+        "soloKills15": F.size(own(SOLO_KILL)),
+        "soloDeaths15": F.size(F.filter(own(DEATH), lambda e: e["number"] == 1)),
     }
     return F.struct(
         q["puuid"].alias("puuid"),
@@ -233,8 +249,12 @@ def timeline_results(timelines: DataFrame) -> DataFrame:
 
 
 def parse_timelines(timelines: DataFrame) -> DataFrame:
-    """One row per mapped participant with all series and histories."""
-    return timeline_results(timelines).select("matchId", F.inline("people"))
+    """One row per mapped participant with all series and histories.
+
+    The outer form: for the inner one the optimizer adds a filter on the array's size and moves it below, with all that makes the
+    array written out in it.
+    """
+    return timeline_results(timelines).select("matchId", F.inline_outer("people")).where("participantId IS NOT NULL")
 
 
 def objectives(timelines: DataFrame) -> DataFrame:

@@ -403,18 +403,21 @@ SELECT mid AS "matchId", 'kill' AS kind, puuid, champ AS "championId", v AS x, i
 UNION ALL SELECT mid, 'death', puuid, champ, v, i, ts, ts // 60000, NULL, NULL, NULL, NULL FROM here JOIN e ON here.block = e.block AND e.kind = 'click' AND k % 10 + 1 = n
 UNION ALL SELECT mid, 'ward', puuid, champ, 0, 0, ts, ts // 60000, CASE WHEN k % 2 = 0 THEN 'YELLOW_TRINKET' ELSE 'CONTROL_WARD' END, NULL, NULL, NULL
   FROM here JOIN e ON here.block = e.block AND e.kind = 'view' AND u % 11 = n
-UNION ALL SELECT mid, 'objective', NULL, NULL, NULL, NULL, ts, ts // 60000, type, sub, team, killer FROM obj WHERE block % 13 <> 0""")
+UNION ALL SELECT mid, 'objective', NULL, NULL, NULL, NULL, ts, ts // 60000, type, sub, team, killer FROM obj""")
 sql("match_builds", """
 SELECT doc.mid AS "matchId", doc.puuid, doc.champ AS "championId", 'Champion ' || doc.champ AS "championName", coalesce(t.n, 0) AS items, coalesce(f.items, '') AS "finalBuild"
 FROM doc LEFT JOIN ids ON doc.mid = ids.mid AND doc.puuid = ids.puuid
 LEFT JOIN (SELECT block, n AS pid, count(*) AS n FROM itm GROUP BY ALL) t ON t.block = ids.block AND t.pid = ids.n
 LEFT JOIN final_items f ON f.block = ids.block AND f.n = ids.n""")
-sql("match_detail", """
-SELECT d.mid AS "matchId", d.t::VARCHAR AS "gameCreation", '15.' || (1 + block % 12) AS patch, coalesce(b.n, 0) AS teams, d.n AS participants,
-  d.first_p AS "firstPuuid", d.last_p AS "lastPuuid", d.kills, coalesce(b.bans, '') AS bans
-FROM (SELECT mid, any_value(block) AS block, any_value(t) AS t, count(*) AS n, min_by(puuid, n) AS first_p, max_by(puuid, n) AS last_p,
-  sum((k + n) % 15) AS kills FROM doc GROUP BY mid) d
-LEFT JOIN (SELECT mid, count(*) AS n, array_to_string(flatten(list(bans ORDER BY team)), ',') AS bans FROM db GROUP BY mid) b USING (mid)""", _BANS)
+sql("match_detail", f"""
+SELECT d.mid AS "matchId", d.t::VARCHAR AS "gameCreation", '15.' || (1 + block % 12) AS patch, coalesce(b.n, 0) AS teams, p.n AS participants,
+  coalesce(b.content, '') AS "teamContent", p.content
+FROM (SELECT mid, any_value(block) AS block, any_value(t) AS t FROM doc GROUP BY mid) d
+JOIN (SELECT "matchId" AS mid, count(*) AS n, string_agg(concat_ws('|', pos, puuid, "summonerName", "championId", "championName", "teamId", role, lane, win, kills, deaths,
+  assists, round(kda * 1000)::BIGINT, "goldEarned", "totalDamage", "damageTaken", "visionScore", offense, "kdaRatio"::DECIMAL(9,2), pings, spells), chr(10) ORDER BY pos) AS content
+  FROM ({BODIES["participant_rows"][1]}) GROUP BY 1) p USING (mid)
+LEFT JOIN (SELECT "matchId" AS mid, count(*) AS n, string_agg(concat_ws('|', "teamId", win, bans, "baronFirst", "towerKills"), chr(10) ORDER BY "teamId") AS content
+  FROM ({BODIES["team_rows"][1]}) GROUP BY 1) b USING (mid)""", _BANS)
 
 # ---- catalog and patches
 
@@ -471,6 +474,12 @@ SELECT 'EV_' || block AS "matchId", '15.' || (1 + block % 12) AS patch, CASE WHE
 sql("ingest_repeated", """
 SELECT '15.' || (1 + block % 12) AS patch, CASE WHEN block % 5 = 0 THEN 440 ELSE 420 END AS "queueId", count(*) AS matches, 10 * count(*) AS participants,
   sum(t) AS created FROM blk GROUP BY ALL""")
+sql("stream_repeats", """
+, n AS (SELECT count(*) FILTER (block % 3 = 0) AS a, count(*) FILTER (block % 3 = 1) AS b, count(*) FILTER (block % 3 = 2) AS c FROM blk)
+SELECT 1 AS wave, a AS came, a AS stored FROM n UNION ALL SELECT 2, b, b FROM n UNION ALL SELECT 3, c, c FROM n UNION ALL SELECT 4, a + b, 0 FROM n""")
+sql("reads_across_commits", """
+SELECT commit, '15.' || (1 + block % 12) AS patch, count(*) AS matches, 10 * count(*) AS participants
+FROM blk, range(4) commits(commit) WHERE block % 4 <= commit GROUP BY ALL""")
 sql("rejected_records", """
 SELECT CASE WHEN block % 4 <> 3 THEN 'EV_' || block END AS "matchId",
   ['stored', 'ids differ', 'timeline without an id', 'match without an id'][block % 4 + 1] AS reason FROM blk""")
@@ -656,9 +665,10 @@ sql("collect_new_matches", f"""
 SELECT (SELECT count(*) FROM elo) AS "playersFound", count(*) AS "matchesFound", count(DISTINCT mid) FILTER (NOT known) AS "matchesEnqueued",
   count(*) - count(DISTINCT mid) FILTER (NOT known) AS "duplicatesSkipped" FROM f""", IDS)
 sql("work_list", """
-SELECT mid AS "matchId", max(priority) AS priority FROM (
-  SELECT mid, 10 AS priority FROM rec WHERE place < 3 UNION ALL SELECT mid, 5 FROM rec420 WHERE place < 100 UNION ALL SELECT mid, 1 FROM rec WHERE place < 20)
-WHERE mid NOT IN (SELECT mid FROM have) GROUP BY mid""", IDS)
+SELECT mid AS "matchId", priority, row_number() OVER (ORDER BY priority DESC, created DESC, mid) - 1 AS place FROM (
+  SELECT mid, max(priority) AS priority FROM (
+    SELECT mid, 10 AS priority FROM rec WHERE place < 3 UNION ALL SELECT mid, 5 FROM rec420 WHERE place < 100 UNION ALL SELECT mid, 1 FROM rec WHERE place < 20)
+  WHERE mid NOT IN (SELECT mid FROM have) GROUP BY mid) JOIN m USING (mid)""", IDS)
 sql("ranked_entries", """
 SELECT c_custkey AS puuid, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS tier, CASE WHEN c_acctbal > 0 THEN 'II' END AS rank,
   CASE WHEN c_acctbal > 0 THEN floor(abs(c_acctbal) / 100) END AS "leaguePoints", CASE WHEN c_acctbal > 0 THEN c_custkey % 100 END AS "rankedWins",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from matchlake.functions.numeric import rnd
 from matchlake.functions.patches import previous_patch
@@ -223,8 +223,8 @@ def ingested_participants(spark, d):
 
 @query("matchId string, kind string, puuid string, championId bigint, x bigint, y bigint, timestamp bigint, minute bigint, type string, subType string, teamId bigint, killerId bigint")
 def match_events(spark, d):
-    _, teams, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
-    return details.match_events(people, teams)
+    matches, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
+    return details.match_events(people, matches)
 
 
 @query("matchId string, puuid string, championId bigint, championName string, items bigint, finalBuild string")
@@ -233,23 +233,30 @@ def match_builds(spark, d):
     return details.match_builds(people).withColumns({"items": F.size("itemTimeline"), "finalBuild": joined("finalBuild")})
 
 
-@query("matchId string, gameCreation string, patch string, teams bigint, participants bigint, firstPuuid string, lastPuuid string, kills bigint, bans string")
+@query("matchId string, gameCreation string, patch string, teams bigint, participants bigint, teamContent string, content string")
 def match_detail(spark, d):
-    docs = match_docs(spark, d)
-    detail = details.match_detail(
-        match_parser.match_rows(docs), match_parser.team_rows(docs), match_parser.participant_rows(docs)
-    )
-    people, teams = F.col("participants"), F.col("teams")
-    return documents.longs_as_text(detail).select(
-        "matchId",
-        "gameCreation",
-        "patch",
-        F.coalesce(F.size(teams), F.lit(0)).alias("teams"),
-        F.size(people).alias("participants"),
-        F.get(people, F.lit(0))["puuid"].alias("firstPuuid"),
-        F.element_at(people, -1)["puuid"].alias("lastPuuid"),
-        F.aggregate(F.transform(people, lambda p: p["kills"]), F.lit(0), lambda a, b: a + b).alias("kills"),
-        joined(F.flatten(F.transform(teams, lambda t: t["bans"]))).alias("bans"),
+    """Every match with all of its teams and participants, their content written out, one line each."""
+    detail = documents.longs_as_text(details.match_detail(match_docs(spark, d)))
+    text = lambda c: c.cast("string")
+
+    def person(p):
+        pings = F.transform(F.array_sort(F.map_entries(p["pings"])), lambda e: F.concat(e["key"], F.lit("="), text(e["value"])))
+        plain = ["pos", "puuid", "summonerName", "championId", "championName", "teamId", "role", "lane", "win", "kills", "deaths", "assists"]
+        more = ["goldEarned", "totalDamage", "damageTaken", "visionScore"]
+        parts = [*[text(p[c]) for c in plain], text(F.round(p["kda"] * 1000).cast("long")), *[text(p[c]) for c in more], text(p["runes"]["statPerks"]["offense"])]
+        return F.concat_ws("|", *parts, F.get_json_object(p["challenges"], "$.kdaRatio").cast("decimal(9,2)").cast("string"), F.concat_ws(",", pings), joined(p["spells"]))
+
+    def team(t):
+        goals = t["objectives_summary"]
+        return F.concat_ws("|", text(t["teamId"]), text(t["win"]), joined(t["bans"]), text(goals["baron"]["first"]), text(goals["tower"]["kills"]))
+
+    return detail.withColumns(
+        {
+            "teamContent": F.coalesce(F.array_join(F.transform("teams", team), "\n"), F.lit("")),
+            "content": F.array_join(F.transform("participants", person), "\n"),
+            "teams": F.coalesce(F.size("teams"), F.lit(0)),
+            "participants": F.size("participants"),
+        }
     )
 
 
@@ -310,7 +317,7 @@ def landed_records(spark, d):
 def _landed_store(spark, d):
     """Runs the stream twice: half of the documents land first, then all of them again."""
     root = new_work_dir(spark, "ingest")
-    store = MatchStore(spark, f"{root}/store", compact_every=1).create()
+    store = MatchStore(spark, f"{root}/store", fanout=2).create()
     records = landed_records(spark, d)
     half = records.where(F.pmod(F.xxhash64("matchId"), F.lit(2)) == 0)
     for wave in (half, records):
@@ -366,6 +373,45 @@ def ingest_repeated(spark, d):
     return rows.groupBy("patch", "queueId").agg(F.count("*").alias("matches"), F.sum("n").alias("participants"), F.sum("gameCreation").alias("created"))
 
 
+@query("wave bigint, came bigint, stored bigint")
+def stream_repeats(spark, d):
+    """Four landings with repeats: within the stream's memory, and two days later, when the store's ids find what it forgot.
+
+    Of each landing: the records that came to the store's check, and those that it took.
+    """
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store", fanout=2).create()
+    kind = F.substring("matchId", 4, 20).cast("long") % 3
+    landed_records(spark, d).withColumn("kind", kind).write.parquet(f"{root}/records")
+    records = spark.read.parquet(f"{root}/records")
+    waves = {"2020-01-01 00:00:00": [0], "2020-01-01 00:10:00": [0, 1], "2020-01-03 00:00:00": [2], "2020-01-03 00:10:00": [0, 1, 2]}
+    for at, kinds in waves.items():
+        wave = records.where(F.col("kind").isin(kinds)).select("match", "timeline", F.lit(at).alias("landedAt"))
+        wave.write.mode("append").json(f"{root}/landing")
+        ingest.run_available(
+            spark, f"{root}/landing", store, remembered="1 hour", clock=F.col("landedAt"), landed=f"{ingest.LANDED}, landedAt timestamp"
+        )
+    batches = store.table("sources").where("came > 0")
+    return batches.withColumn("wave", F.row_number().over(Window.partitionBy("source").orderBy("sourceBatch")))
+
+
+@query("commit bigint, patch string, matches bigint, participants bigint")
+def reads_across_commits(spark, d):
+    """Matches and participants by patch as readers of each commit see them, all read at the end: the files of the earlier commits
+    have been merged into larger ones by then, and stay readable."""
+    root = new_work_dir(spark, "ingest")
+    store = MatchStore(spark, f"{root}/store", fanout=2).create()
+    landed_records(spark, d).write.parquet(f"{root}/records")
+    records = spark.read.parquet(f"{root}/records")
+    kind, seen = F.substring("matchId", 4, 20).cast("long") % 4, []
+    for number in range(4):
+        ingest.ingest(records.where(kind == number), store, "batch", number)
+        per_match = store.table("participants").groupBy("matchId", "patch").agg(F.count("*").alias("n"))
+        per_patch = per_match.groupBy("patch").agg(F.count("*").alias("matches"), F.sum("n").alias("participants"))
+        seen.append(per_patch.withColumn("commit", F.lit(number)))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+
+
 @query("matchId string, reason string")
 def rejected_records(spark, d):
     """Every third document broken, every third beside another match's timeline; what cannot be stored is kept with a reason."""
@@ -722,13 +768,9 @@ def collect_new_matches(spark, d):
     )
 
 
-@query("matchId bigint, priority bigint")
+@query("matchId bigint, priority bigint, place bigint")
 def work_list(spark, d):
-    games, have = star.customer_games(spark, d), stored(spark, d)
-    ids = lambda **kw: collection.new_ids(collection.recent_match_ids(games, **kw), have)
-    return collection.work_list(
-        ids(count=3), ids(count=collection.SYNC_IDS, queue_id=420), ids(count=collection.RECENT_IDS)
-    )
+    return collection.in_order(collection.ranked_work(star.customer_games(spark, d), stored(spark, d)))
 
 
 @query("puuid bigint, tier string, rank string, leaguePoints bigint, rankedWins bigint, rankedLosses bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from matchlake.functions.nested import bound
 from matchlake.functions.numeric import at_or_zero, last_or_zero
 from matchlake.functions.patches import ALL_PATCHES, extract_patch, filter_patch, previous_patch
 from matchlake.functions.text import normalise_name, role_alias
@@ -14,6 +15,7 @@ from matchlake.operators import (
     compare,
     details,
     history,
+    lanes,
     match_parser,
     player_stats as players,
     tiers,
@@ -156,12 +158,12 @@ def compare_players(
     queue_id: int = RANKED,
 ) -> DataFrame:
     """Stats, laning and insights of each (hero, villain) pair."""
+    played = partials.where(F.col("queueId") == queue_id)
     if champion_id is not None:
-        stats = players.player_champion_stats(partials.where(F.col("championId") == champion_id))
+        stats = players.player_champion_stats(played.where(F.col("championId") == champion_id), patch or ALL_PATCHES)
     else:
-        stats = players.player_stats(partials)
-    chosen = compare.patch_stats(stats, patch, queue_id)
-    return compare.with_insights(compare.compare_stats(pairs, users, chosen, laning=champion_id is not None))
+        stats = players.player_stats(played, patch or ALL_PATCHES).withColumns({n: F.lit(0.0) for n in compare.LANING})
+    return compare.with_insights(compare.compare_stats(pairs, users, stats, laning=champion_id is not None))
 
 
 def comparison(
@@ -172,16 +174,15 @@ def comparison(
     champion_id: int | None = None,
     queue_id: int = RANKED,
 ) -> DataFrame:
-    """Stats, laning, solo fights, insights and both averaged series of each pair.
+    """Stats, laning, solo fights, insights and both averaged series of each pair, from one pass over the games.
 
     `games` are rows of champion_stats.with_match over participants with laning columns and series.
     """
-    partials = players.player_partials(champions.with_rates(games))
-    compared = compare_players(pairs, users, partials, patch, champion_id, queue_id)
-    played = filter_patch(games, patch).where(F.col("queueId") == queue_id)
+    played = filter_patch(champions.with_rates(games), patch).where(F.col("queueId") == queue_id)
     if champion_id is not None:
         played = played.where(F.col("championId") == champion_id)
-    return compare.with_series(compared, compare.average_series(played, {"csGraph": "cs", "goldGraph": "gold"}))
+    stats = compare.stats_and_series(played, {"csGraph": "cs", "goldGraph": "gold"})
+    return compare.with_insights(compare.compare_stats(pairs, users, stats, laning=champion_id is not None))
 
 
 def compare_timelines(
@@ -214,26 +215,42 @@ def paired(match_docs: DataFrame, timeline_docs: DataFrame) -> DataFrame:
 def ingested(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, teams, participants) of paired documents. Nothing is shuffled.
 
-    Participants carry the columns of their match that reports filter and divide by.
+    Participants carry the columns of their match that reports filter and divide by, and what they were ahead of their lane
+    opponent by, who is found among the participants of the document before these become rows.
     """
     empty = {n: F.array().cast(t) if t.startswith("array") else F.lit(0) for n, t in schemas.TIMELINE_COLUMNS.items()}
 
-    def with_timeline(raw, pos):
-        # The participant's entry is found by player id within the row.
-        own = F.filter("people", lambda q: q["puuid"] == F.get_json_object(raw, "$.puuid"))
-        return F.struct(pos.alias("pos"), raw.alias("raw"), F.get(own, F.lit(0)).alias("t"))
+    def entry(raw, pos):
+        # The participant's entry of the timeline is found by player id within the row.
+        def with_timeline(p):
+            own = F.get(F.filter("people", lambda q: q["puuid"] == p["puuid"]), F.lit(0))
+            return F.struct(pos.alias("pos"), raw.alias("raw"), p.alias("p"), own.alias("t"), F.coalesce(match_parser.role_of(p), F.lit("")).alias("role"))
+
+        return bound(F.from_json(raw, schemas.PARTICIPANT), with_timeline)
 
     carried = [c for c in champions.MATCH_COLUMNS if c != "patch"]
-    raw = docs.select(
+    inside = docs.select(
         "matchId",
         extract_patch("info.gameVersion").alias("patch"),
         *[F.col(f"info.{c}").alias(c) for c in carried],
-        F.inline(F.transform("info.participants", with_timeline)),
+        F.transform("info.participants", entry).alias("entries"),
     )
+    def with_lane(e):
+        def ahead(o):
+            at15 = lambda x, series: at_or_zero(x["t"][series], players.LANING_MINUTE).cast("long")
+            diffs = [F.when(o.isNotNull(), at15(e, s) - at15(o, s)).alias(n) for n, s in players.LANING.items()]
+            return F.struct(o.isNotNull().alias("hasOpponent"), *diffs)
+
+        lane = bound(lanes.opponent_among(F.col("entries"), e), ahead)
+        return F.struct(*[e[c].alias(c) for c in ("pos", "raw", "p", "t")], lane.alias("ahead"))
+
+    # The outer form, see parse_timelines.
+    raw = inside.select(*[c for c in inside.columns if c != "entries"], F.inline_outer(F.transform("entries", with_lane))).where("pos IS NOT NULL")
     people = match_parser.participants_of(raw)
     people = people.select(
-        *[c for c in people.columns if c != "t"],
+        *[c for c in people.columns if c not in ("t", "ahead")],
         *[F.coalesce(F.col(f"t.{n}"), e).alias(n) for n, e in empty.items()],
+        "ahead.*",
     )
     return match_parser.match_rows(docs), match_parser.team_rows(docs), people
 

@@ -54,6 +54,11 @@ _EVENT = """
         position: struct<x: int, y: int>, assistingParticipantIds: array<int>>
 """
 
+PARTICIPANT_FRAME = (
+    "struct<participantId: int, position: struct<x: int, y: int>, totalGold: int, xp: int, minionsKilled: int, "
+    "jungleMinionsKilled: int, damageStats: struct<totalDamageDoneToChampions: int>>"
+)
+
 TIMELINE = _schema(
     f"""
     metadata struct<matchId: string, participants: array<string>>,
@@ -61,10 +66,7 @@ TIMELINE = _schema(
         frameInterval: bigint,
         frames: array<struct<
             timestamp: bigint,
-            participantFrames: map<string, struct<
-                participantId: int, position: struct<x: int, y: int>, totalGold: int, xp: int,
-                minionsKilled: int, jungleMinionsKilled: int,
-                damageStats: struct<totalDamageDoneToChampions: int>>>,
+            participantFrames: map<string, {PARTICIPANT_FRAME}>,
             events: array<{_EVENT}>>>>
     """
 )
@@ -109,7 +111,7 @@ TIMELINE_COLUMNS = {
 
 MATCHES = _schema(
     "matchId string, gameCreation bigint, gameDuration int, gameMode string, queueId int, "
-    "gameVersion string, mapId int, hasTimeline boolean, patch string"
+    f"gameVersion string, mapId int, hasTimeline boolean, patch string, objectives {OBJECTIVES}"
 )
 TEAMS = _schema(
     f"matchId string, patch string, teamId int, win boolean, bans array<int>, "
@@ -121,6 +123,7 @@ PARTICIPANTS = _schema(
     "goldEarned int, totalDamage int, damageTaken int, visionScore int, "
     f"runes {RUNES}, challenges string, pings map<string, int>, spells array<int>, "
     + ", ".join(f"{n} {t}" for n, t in TIMELINE_COLUMNS.items())
+    + ", hasOpponent boolean, csd15 bigint, gd15 bigint, xpd15 bigint"
 )
 USERS = _schema(
     "puuid string, gameName string, tagLine string, region string, profileIconId int, summonerLevel int, "

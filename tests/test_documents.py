@@ -242,13 +242,14 @@ def test_match_events(spark):
         [("m", "p", 1, [(1, 2, 61000)], None, [(0, 0, 5, "CONTROL_WARD")]), ("m", "q", 2, None, [], None)],
         f"matchId string, puuid string, championId int, killPositions {schemas.POSITIONS}, deathPositions {schemas.POSITIONS}, wardPositions {schemas.WARDS}",
     )
-    teams = spark.createDataFrame(
-        [("m", 100, [("DRAGON", None, None, 1, 3), ("TOWER", "TOP_LANE", 200, 2, 4)]), ("m", 200, None)],
-        f"matchId string, teamId int, objectives_timeline {schemas.OBJECTIVES}",
-    )
-    rows = details.match_events(people, teams).collect()
+    goals = [("DRAGON", None, None, 1, 3), ("TOWER", "TOP_LANE", 200, 2, 4)]
+    teams = spark.createDataFrame([("m", 100, goals), ("m", 200, None)], f"matchId string, teamId int, objectives_timeline {schemas.OBJECTIVES}")
+    assert sorted(r["teamId"] for r in details.objective_events(teams).collect()) == [100, 200]
+    # Objectives of a match are there without team rows, and with a team that has none.
+    matches = spark.createDataFrame([("m", goals), ("n", None)], f"matchId string, objectives {schemas.OBJECTIVES}")
+    rows = details.match_events(people, matches).collect()
     assert sorted((r["kind"], r["minute"], r["teamId"] or 0) for r in rows) == [
-        ("kill", 1, 0), ("objective", 0, 100), ("objective", 0, 200), ("ward", 0, 0)
+        ("kill", 1, 0), ("objective", 0, 0), ("objective", 0, 200), ("ward", 0, 0)
     ]
     assert details.position_events(people, "killPositions").first()["minute"] == 1
     assert details.ward_events(people).first()["wardType"] == "CONTROL_WARD"
@@ -256,10 +257,13 @@ def test_match_events(spark):
 
 def test_match_detail(read):
     docs = read(schemas.MATCH, match([person("b"), person("a")]))
-    r = documents.longs_as_text(
-        details.match_detail(match_parser.match_rows(docs), match_parser.team_rows(docs), match_parser.participant_rows(docs))
-    ).first()
+    stored = details.stored_detail(match_parser.match_rows(docs), match_parser.team_rows(docs), match_parser.participant_rows(docs))
+    nested = details.match_detail(docs)
+    r = documents.longs_as_text(nested).first()
     assert r["gameCreation"] == "1700000000000" and [p["puuid"] for p in r["participants"]] == ["b", "a"] and len(r["teams"]) == 1
+    # Inside the row as from the tables, without an exchange.
+    assert stored.select(*nested.columns).first() == nested.first()
+    assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
 
 
 def test_readers(spark, tmp_path):

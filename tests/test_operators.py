@@ -334,7 +334,32 @@ def test_request_window_against_brute_force(spark):
     assert sorted((r["ts_ms"], r["requestsInWindow"], r["canProceed"]) for r in got.collect()) == wanted
 
 
-def test_average_series(spark):
-    games = spark.createDataFrame([("a", [1, 2, 4], [10, 20]), ("a", [2, 3], [11, 21, 31]), ("b", [], [])], "puuid string, csGraph array<int>, goldGraph array<int>")
-    got = {r["puuid"]: (r["cs"], r["gold"]) for r in compare.average_series(games, {"csGraph": "cs", "goldGraph": "gold"}).collect()}
-    assert got == {"a": ([2, 3, 4], [11, 21, 31])}
+def test_stats_and_series(spark):
+    """Sums and series of one pass: each game counts once however many minutes it has, one without a series too."""
+    row = lambda p, cs, gold, win, vision: (p, cs, gold, win, 2.0, 100.0, 300.0, 5.0, vision, True, 2, 10, None, 7)
+    games = spark.createDataFrame(
+        [row("a", [1, 2, 4], [10, 20], True, 30), row("a", [2, 3], [11, 21, 31], False, 10), row("b", [], [], True, 5)],
+        "puuid string, csGraph array<int>, goldGraph array<int>, win boolean, kda double, dpm double, gpm double, cspm double, visionScore int, "
+        "hasOpponent boolean, csd15 long, gd15 long, xpd15 long, gameCreation long",
+    )
+    got = {r["puuid"]: r for r in compare.stats_and_series(games, {"csGraph": "cs", "goldGraph": "gold"}).collect()}
+    assert (got["a"]["cs"], got["a"]["gold"]) == ([2, 3, 4], [11, 21, 31]) and (got["b"]["cs"], got["b"]["gold"]) == ([], [])
+    shown = lambda r: (r["gamesPlayed"], r["wins"], r["winRate"], r["avgVisionScore"], r["avgCsd15"], r["avgXpd15"], r["avgDpm"])
+    assert shown(got["a"]) == (2, 1, 50.0, 20.0, 2.0, 0.0, 100.0) and shown(got["b"]) == (1, 1, 100.0, 5.0, 2.0, 0.0, 100.0)
+
+
+def test_work_is_ranked_once_and_numbered_over_ranges(spark):
+    played = spark.createDataFrame(
+        [("a", f"m{i:02}", 1000 - i, 420 if i % 3 == 0 else 440) for i in range(40)] + [("b", "m00", 1000, 420), ("b", "m00", 1000, 420), ("b", "x", 1, None)],
+        "puuid string, matchId string, gameCreation long, queueId int",
+    )
+    stored = spark.createDataFrame([("m01",), ("other",)], "matchId string")
+    got = collection.ranked_work(played, stored, user=2, sync=5, background=9)
+    wanted = collection.work_list(
+        *[collection.new_ids(collection.recent_match_ids(played, **kw), stored) for kw in (dict(count=2), dict(count=5, queue_id=420), dict(count=9))]
+    )
+    assert sorted((r["matchId"], r["priority"]) for r in got.collect()) == sorted((r["matchId"], r["priority"]) for r in wanted.collect())
+    placed = sorted(collection.in_order(got).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in placed] == list(range(len(placed)))
+    assert [(r["matchId"]) for r in placed] == [r["matchId"] for r in sorted(got.collect(), key=lambda r: (-r["priority"], -r["gameCreation"], r["matchId"]))]
+    assert collection.in_order(got.limit(0)).count() == 0
