@@ -27,9 +27,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def document_hash(key: Column) -> Column:
-    """60 bits of the MD5 of the key as text, as a whole number from 0; a null key counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(key: Column, text: Column) -> Column:
+    """60 bits of the MD5 of key and text, as a whole number from 0; a null key counts as empty, a null text too."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("\x01"), text)
+    return F.conv(F.substring(F.md5(both), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -97,8 +98,9 @@ def _end(prefix: Column, level: int) -> Column:
 
 def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """The narrow rows (key, source, size, hash), and for each source its size, target, whole rounds and threshold."""
-    narrow = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(utf8(text)).alias("size"))
-    rows = written(narrow.withColumn("hash", document_hash(F.col("key"))), "mix-sizes")
+    hashed = document_hash(F.col(key), utf8(text)).alias("hash")
+    narrow = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(utf8(text)).alias("size"), hashed)
+    rows = written(narrow, "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = written(targets(sizes), "mix-targets")
     rounds = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_ROUNDS))
@@ -113,9 +115,10 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The key of each row with size, source_size, target and taken, the words that the mixture takes of it.
 
-    A document is taken whole, 0 to MOST_ROUNDS times. Rows of one key have one hash and are taken alike. A null source
-    is a source, the last one; a null text has size 0 and is taken 0 words; no rows give no rows. A source's taken words
-    differ from its target by at most half of the document, or of the rows of one key, that stands at the threshold.
+    A document is taken whole, 0 to MOST_ROUNDS times. Rows that have both key and text in common are taken alike; rows that
+    share the key alone, a null one too, are not. A null source is a source, the last one; a null text has size 0 and is taken
+    0 words; no rows give no rows. A source's taken words differ from its target by at most half of the document, or of the
+    equal rows, that stands at the threshold.
     """
     rows, plan = planned(docs, key, text, source)
     taken = F.col("size") * (F.col("rounds") + (F.col("hash") < F.col("below")).cast("long"))
@@ -131,7 +134,7 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     plan = planned(docs, key, text, source)[1].select("plan_source", "rounds", "below")
     names = {c: fresh_name(docs, f"mix_{c}") for c in plan.columns}
     rows = docs.join(plan.withColumnsRenamed(names), F.col(f"`{source}`").cast("string").eqNullSafe(F.col(names["plan_source"])))
-    times = F.col(names["rounds"]) + (document_hash(F.col(f"`{key}`")) < F.col(names["below"])).cast("long")
+    times = F.col(names["rounds"]) + (document_hash(F.col(f"`{key}`"), utf8(text)) < F.col(names["below"])).cast("long")
     times = F.when(utf8(text).rlike(WORD), times).otherwise(F.lit(0))
     again = F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)))
     return rows.withColumn(fresh_name(rows, "mix_round"), again).select(*[F.col(f"`{c}`") for c in docs.columns])

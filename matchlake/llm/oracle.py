@@ -48,7 +48,7 @@ FROM x LEFT JOIN tops ON tops.id = vec_id LEFT JOIN counts ON counts.id = vec_id
 SOURCE_MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(1) || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS most,

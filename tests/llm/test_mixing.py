@@ -66,3 +66,13 @@ def test_apply_repeats_and_drops(spark):
 
 def test_no_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.apply(docs(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_alone_are_not_taken_alike(spark):
+    """A source whose ids are all null, and one that has one id only, come as near to their targets as any other."""
+    some = [(None, f"{'w ' * (1 + i % 7)}n{i}", "en", "none", 0) for i in range(300)] + [(7, f"{'v ' * (1 + i % 5)}o{i}", "en", "one", 0) for i in range(300)]
+    some += [(100 + i, f"own {i}", "en", "own", 0) for i in range(300)]
+    got = mixing.mix(docs(spark, some)).collect()
+    for size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 8
