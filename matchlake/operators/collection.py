@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlake.session import new_work_dir
 
@@ -14,10 +14,29 @@ PRIORITY_USER, PRIORITY_SYNC, PRIORITY_BACKGROUND = 10, 5, 1
 SYNC_TTL_SECONDS = 1800
 RECENT_IDS = 20
 SYNC_IDS = 100
+# Sentences of the status reports; {} stands for a number, or for stored/total.
+TEXTS = {
+    "no_matches": "No ranked matches found in Riot API",
+    "all_stored": "All matches already in database",
+    "sync_started": "Deep sync started: {} matches enqueued",
+    "no_sync": "Nenhum sync em andamento",
+    "sync_done": "Sync concluído: {} partidas processadas",
+    "sync_running": "Sync em andamento: {} partidas processadas",
+    "all_processed": "All matches processed",
+    "processing": "Processing matches: {}",
+}
 # Fixed value: bits of a generated row number that count within its partition.
 ROW_BITS = 33
 
 
+def _say(key: str, *values: Column) -> Column:
+    """A sentence with its number, or with two numbers and a stroke between them."""
+    if not values:
+        return F.lit(TEXTS[key])
+    before, after = TEXTS[key].split("{}")
+    return F.concat(F.lit(before), F.concat_ws("/", *[v.cast("string") for v in values]), F.lit(after))
+
+
 def high_elo_players(leagues: list[DataFrame]) -> DataFrame:
     """Distinct players of all given leagues."""
     return reduce(DataFrame.unionByName, [entries.select("puuid") for entries in leagues]).distinct()
@@ -160,10 +179,7 @@ def start_sync(players: DataFrame, ids: DataFrame, stored: DataFrame) -> DataFra
         new.alias("matchesEnqueued"),
         F.col("total").alias("matchesTotal"),
         F.col("stored").alias("matchesAlreadyInDb"),
-        F.when(F.col("total") == 0, F.lit("No ranked matches found in Riot API"))
-        .when(new == 0, F.lit("All matches already in database"))
-        .otherwise(F.concat(F.lit("Deep sync started: "), new.cast("string"), F.lit(" matches enqueued")))
-        .alias("message"),
+        F.when(F.col("total") == 0, _say("no_matches")).when(new == 0, _say("all_stored")).otherwise(_say("sync_started", new)).alias("message"),
     )
 
 
@@ -175,17 +191,14 @@ def sync_status(requests: DataFrame, tracked: DataFrame, stored: DataFrame, now_
     n = requests.join(_counted(tracked, stored), "puuid", "left").na.fill(0, ["total", "stored"])
     alive = F.lit(now_s) - F.col("startedAt") < SYNC_TTL_SECONDS
     done = F.col("stored") >= F.col("total")
-    progress = F.concat(F.col("stored").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" partidas processadas"))
+    progress = (F.col("stored"), F.col("total"))
     return n.select(
         "puuid",
         F.when(~alive, F.lit("IDLE")).when(done, F.lit("DONE")).otherwise(F.lit("SYNCING")).alias("status"),
         F.when(alive, F.col("stored")).otherwise(0).alias("matchesProcessed"),
         F.when(alive, F.col("total")).otherwise(0).alias("matchesTotal"),
         F.when(alive, F.col("startedAt")).alias("startedAt"),
-        F.when(~alive, F.lit("Nenhum sync em andamento"))
-        .when(done, F.concat(F.lit("Sync concluído: "), progress))
-        .otherwise(F.concat(F.lit("Sync em andamento: "), progress))
-        .alias("message"),
+        F.when(~alive, _say("no_sync")).when(done, _say("sync_done", *progress)).otherwise(_say("sync_running", *progress)).alias("message"),
     )
 
 
@@ -198,11 +211,7 @@ def update_status(players: DataFrame, ids: DataFrame, stored: DataFrame) -> Data
         F.when(idle, F.lit("IDLE")).otherwise(F.lit("UPDATING")).alias("status"),
         F.col("stored").alias("matchesProcessed"),
         F.col("total").alias("matchesTotal"),
-        F.when(idle, F.lit("All matches processed"))
-        .otherwise(
-            F.concat(F.lit("Processing matches: "), F.col("stored").cast("string"), F.lit("/"), F.col("total").cast("string"))
-        )
-        .alias("message"),
+        F.when(idle, _say("all_processed")).otherwise(_say("processing", F.col("stored"), F.col("total"))).alias("message"),
     )
 
 

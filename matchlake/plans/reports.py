@@ -25,6 +25,8 @@ from matchlake.sources import schemas
 
 RANKED = 420
 MOST_CHAMPIONS = 50
+# Fixed value: what is said of a patch without matches.
+NO_DATA = "Não há dados para o patch {}"
 
 
 def patch_and_previous(matches: DataFrame, patch: str, padded: bool = False, last_minor: int = 23) -> DataFrame:
@@ -76,7 +78,7 @@ def champion_detail(
 def processed_matches(matches: DataFrame, patch: str | None = None, match: str = "exact") -> DataFrame:
     """One row: the number of stored matches, with a message when a patch has none."""
     n = filter_patch(matches, patch, match).agg(F.count("*").alias("count"))
-    none = F.lit(f"Não há dados para o patch {patch}") if patch else F.lit(None)
+    none = F.lit(NO_DATA.format(patch)) if patch else F.lit(None)
     return n.select(
         "count", F.lit(patch).cast("string").alias("patch"), F.when(F.col("count") == 0, none).cast("string").alias("message")
     )

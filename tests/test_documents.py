@@ -11,9 +11,9 @@ from matchlake.sources import documents, schemas
 
 def person(puuid="p1", **kw):
     base = dict(
-        puuid=puuid, summonerName="n", championId=1, championName="Annie", teamId=100, teamPosition="TOP", lane="TOP",
-        individualPosition="TOP", win=True, kills=5, deaths=0, assists=10, goldEarned=9000,
-        totalDamageDealtToChampions=20000, totalDamageTaken=15000, visionScore=20, summoner1Id=4, summoner2Id=14,
+        puuid=puuid, summonerName="n", championId=41, championName="Forty One", teamId=100, teamPosition="TOP", lane="TOP",
+        individualPosition="TOP", win=True, kills=8, deaths=0, assists=4, goldEarned=10350,
+        totalDamageDealtToChampions=17450, totalDamageTaken=13210, visionScore=33, summoner1Id=7, summoner2Id=21,
         allInPings=2, namePings="none", challenges={"a": 1.5}, perks={"statPerks": {"offense": 5005}},
     )
     return {**base, **kw}
@@ -21,7 +21,7 @@ def person(puuid="p1", **kw):
 
 def match(people=None, match_id="BR1_1", **info):
     base = dict(
-        gameCreation=1700000000000, gameDuration=1800, gameMode="CLASSIC", gameVersion="15.23.1", mapId=11, queueId=420,
+        gameCreation=1712345678901, gameDuration=2145, gameMode="CLASSIC", gameVersion="15.23.1", mapId=11, queueId=420,
         participants=people if people is not None else [person()],
         teams=[dict(teamId=100, win=True, bans=[{"championId": 5}, {"championId": 0}, {"championId": -1}], objectives={"baron": {"first": True, "kills": 1}})],
     )
@@ -61,7 +61,7 @@ def parse(read):
 def test_match_and_teams(read):
     docs = read(schemas.MATCH, match(), match(match_id="BR1_2", teams=None))
     rows = {r["matchId"]: r for r in match_parser.match_rows(docs).collect()}
-    assert rows["BR1_1"]["patch"] == "15.23" and rows["BR1_1"]["gameCreation"] == 1700000000000
+    assert rows["BR1_1"]["patch"] == "15.23" and rows["BR1_1"]["gameCreation"] == 1712345678901
     teams = match_parser.team_rows(docs).collect()
     assert [(t["matchId"], t["bans"]) for t in teams] == [("BR1_1", [5])]
     assert teams[0]["objectives_summary"]["baron"]["kills"] == 1
@@ -78,10 +78,10 @@ def test_participants(read):
         match([person(), person("p2", teamPosition="", individualPosition="JUNGLE", lane="", visionScore=None, deaths=3)]),
     )
     a, b = sorted(match_parser.participant_rows(docs).collect(), key=lambda r: r["pos"])
-    assert a["kda"] == 15.0 and a["deaths"] == 0
-    assert a["pings"] == {"allInPings": 2} and a["spells"] == [4, 14]
+    assert a["kda"] == 12.0 and a["deaths"] == 0
+    assert a["pings"] == {"allInPings": 2} and a["spells"] == [7, 21]
     assert json.loads(a["challenges"]) == {"a": 1.5} and a["runes"]["statPerks"]["offense"] == 5005
-    assert (b["role"], b["lane"], b["visionScore"], b["kda"]) == ("JUNGLE", "JUNGLE", 0, 5.0)
+    assert (b["role"], b["lane"], b["visionScore"], b["kda"]) == ("JUNGLE", "JUNGLE", 0, 4.0)
 
 
 def test_participant_map_reports_unknown_players(read):
@@ -260,7 +260,7 @@ def test_match_detail(read):
     stored = details.stored_detail(match_parser.match_rows(docs), match_parser.team_rows(docs), match_parser.participant_rows(docs))
     nested = details.match_detail(docs)
     r = documents.longs_as_text(nested).first()
-    assert r["gameCreation"] == "1700000000000" and [p["puuid"] for p in r["participants"]] == ["b", "a"] and len(r["teams"]) == 1
+    assert r["gameCreation"] == "1712345678901" and [p["puuid"] for p in r["participants"]] == ["b", "a"] and len(r["teams"]) == 1
     # Inside the row as from the tables, without an exchange.
     assert stored.select(*nested.columns).first() == nested.first()
     assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
