@@ -306,22 +306,24 @@ def previous_patches(spark, d):
 # ---- ingest ------------------------------------------------------------------------------------
 
 
-def landed_records(spark, d):
-    """Match and timeline documents of each event block side by side, as they land."""
-    ident = F.get_json_object("value", "$.metadata.matchId").alias("matchId")
-    m = star.match_documents(spark, d).select(ident, F.col("value").alias("match"))
-    t = star.timeline_documents(spark, d).select(ident, F.col("value").alias("timeline"))
-    return m.join(t, "matchId")
+def landed_records(spark, d, root):
+    """Match and timeline documents of each event block side by side, as they land: JSON files below root.
+
+    They are written once, so that what reads them has a short plan, however many batches it is read in; and a reader of lines
+    holds one record at a time, where one of column batches would hold thousands of timelines.
+    """
+    star.landed_records(spark, d).write.json(f"{root}/records", compression="gzip")
+    return spark.read.schema(f"matchId string, {ingest.LANDED}").json(f"{root}/records")
 
 
 def _landed_store(spark, d):
     """Runs the stream twice: half of the documents land first, then all of them again."""
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store", fanout=2).create()
-    records = landed_records(spark, d)
+    records = landed_records(spark, d, root)
     half = records.where(F.pmod(F.xxhash64("matchId"), F.lit(2)) == 0)
     for wave in (half, records):
-        wave.select("match", "timeline").write.mode("append").json(f"{root}/landing")
+        wave.select("match", "timeline").write.mode("append").json(f"{root}/landing", compression="gzip")
         ingest.run_available(spark, f"{root}/landing", store)
     return store
 
@@ -341,7 +343,7 @@ def streaming_ingest(spark, d):
 def batch_ingest(spark, d):
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store").create()
-    ingest.ingest(landed_records(spark, d), store, "batch", 0)
+    ingest.ingest(landed_records(spark, d, root), store, "batch", 0)
     return players.player_champion_stats(store.player_partials())
 
 
@@ -351,9 +353,9 @@ def ingest_after_backfill(spark, d):
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store").create()
     half = F.pmod(F.xxhash64("matchId"), F.lit(2)) == 0
-    records = landed_records(spark, d)
+    records = landed_records(spark, d, root)
     ingest.ingest(records.where(half), store, "backfill", 0)
-    records.where(~half).select("match", "timeline").write.json(f"{root}/landing")
+    records.where(~half).select("match", "timeline").write.json(f"{root}/landing", compression="gzip")
     ingest.run_available(spark, f"{root}/landing", store)
     return store.table("matches")
 
@@ -363,7 +365,7 @@ def ingest_repeated(spark, d):
     """The same matches in and across batches, without a creation time and with another one; the first stay as they are."""
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store").create()
-    records = landed_records(spark, d)
+    records = landed_records(spark, d, root)
     untimed = records.withColumn("match", F.regexp_replace("match", '"gameCreation":[0-9]+,?', ""))
     later = records.withColumn("match", F.regexp_replace("match", '"gameCreation":[0-9]+', '"gameCreation":4102444800000'))
     for number, batch in enumerate((records.unionByName(untimed).unionByName(records), untimed, later.unionByName(untimed))):
@@ -382,12 +384,11 @@ def stream_repeats(spark, d):
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store", fanout=2).create()
     kind = F.substring("matchId", 4, 20).cast("long") % 3
-    landed_records(spark, d).withColumn("kind", kind).write.parquet(f"{root}/records")
-    records = spark.read.parquet(f"{root}/records")
+    records = landed_records(spark, d, root).withColumn("kind", kind)
     waves = {"2020-01-01 00:00:00": [0], "2020-01-01 00:10:00": [0, 1], "2020-01-03 00:00:00": [2], "2020-01-03 00:10:00": [0, 1, 2]}
     for at, kinds in waves.items():
         wave = records.where(F.col("kind").isin(kinds)).select("match", "timeline", F.lit(at).alias("landedAt"))
-        wave.write.mode("append").json(f"{root}/landing")
+        wave.write.mode("append").json(f"{root}/landing", compression="gzip")
         ingest.run_available(
             spark, f"{root}/landing", store, remembered="1 hour", clock=F.col("landedAt"), landed=f"{ingest.LANDED}, landedAt timestamp"
         )
@@ -401,8 +402,7 @@ def reads_across_commits(spark, d):
     have been merged into larger ones by then, and stay readable."""
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store", fanout=2).create()
-    landed_records(spark, d).write.parquet(f"{root}/records")
-    records = spark.read.parquet(f"{root}/records")
+    records = landed_records(spark, d, root)
     kind, seen = F.substring("matchId", 4, 20).cast("long") % 4, []
     for number in range(4):
         ingest.ingest(records.where(kind == number), store, "batch", number)
@@ -418,7 +418,7 @@ def rejected_records(spark, d):
     root = new_work_dir(spark, "ingest")
     store = MatchStore(spark, f"{root}/store").create()
     kind = F.substring("matchId", 4, 20).cast("long") % 4
-    records = landed_records(spark, d)
+    records = landed_records(spark, d, root)
     records = records.withColumn("timeline", F.when(kind == 1, F.regexp_replace("timeline", '"matchId":"EV_', '"matchId":"EW_')).when(kind == 2, F.lit("{broken")).otherwise(F.col("timeline")))
     records = records.withColumn("match", F.when(kind == 3, F.lit("{")).otherwise(F.col("match")))
     ingest.ingest(records, store, "batch", 0)

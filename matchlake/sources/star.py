@@ -18,6 +18,8 @@ from matchlake.functions.timeparts import epoch_ms
 LAST_MINOR = 4
 BLOCK = 60
 FRAME_MS = 40000
+#: Parts that documents are written in, at least.
+DOCUMENT_PARTS = 48
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -284,9 +286,9 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- documents ---------------------------------------------------------------------------------
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their block. A block is 60 consecutive event ids, whatever the size of the table."""
-    rows = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         _div(F.col("event_id"), BLOCK).alias("block"),
         (F.col("event_id") % BLOCK).cast("int").alias("i"),
         F.col("user_id").cast("int").alias("u"),
@@ -295,7 +297,10 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         epoch_ms("ts").alias("ts_ms"),
     )
-    return spread(rows, "block")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_events(spark, sf_dir), "block")
 
 
 def _match_id() -> Column:
@@ -306,11 +311,12 @@ def _player(block: Column, n: Column) -> Column:
     return F.concat(F.lit("P"), ((block * 3 + n * 7) % 97).cast("string"))
 
 
-def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text per block of events (column `value`), in the shape of a match document."""
-    sums = _blocks(spark, sf_dir).groupBy("block").agg(
-        F.sum("k").alias("k"), F.sum("v").alias("v"), F.min("ts_ms").alias("t")
-    )
+def _match_sums() -> list[Column]:
+    return [F.sum("k").alias("k"), F.sum("v").alias("v"), F.min("ts_ms").alias("t")]
+
+
+def _match_text() -> Column:
+    """The match document of a block with its sums."""
     block, k, v = F.col("block"), F.col("k"), F.col("v")
     roles = F.array(*[F.lit(r) for r in LANES])
 
@@ -387,13 +393,20 @@ def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(block % 13 != 0, F.array(team(100), team(200))).alias("teams"),
         ).alias("info"),
     )
-    return sums.select(F.to_json(doc).alias("value"))
+    return F.to_json(doc)
 
 
-def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text per block of events, in the shape of a timeline: every event is a frame with one event."""
-    order = F.sort_array(F.collect_list(F.struct("i", "u", "kind", "v", "k")))
-    grouped = _blocks(spark, sf_dir).groupBy("block").agg(order.alias("rows"))
+def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per block of events (column `value`), in the shape of a match document."""
+    return _blocks(spark, sf_dir).groupBy("block").agg(*_match_sums()).select(_match_text().alias("value"))
+
+
+def _timeline_rows() -> Column:
+    return F.sort_array(F.collect_list(F.struct("i", "u", "kind", "v", "k"))).alias("rows")
+
+
+def _timeline_text() -> Column:
+    """The timeline of a block with its events: every event is a frame with one event."""
     block = F.col("block")
     tens = F.sequence(F.lit(1), F.lit(10))
 
@@ -462,4 +475,18 @@ def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(_match_id().alias("matchId"), listed.alias("participants")).alias("metadata"),
         F.struct(F.lit(FRAME_MS).alias("frameInterval"), frames.alias("frames")).alias("info"),
     )
-    return grouped.select(F.to_json(doc).alias("value"))
+    return F.to_json(doc)
+
+
+def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per block of events (column `value`), in the shape of a timeline."""
+    return _blocks(spark, sf_dir).groupBy("block").agg(_timeline_rows()).select(_timeline_text().alias("value"))
+
+
+def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(matchId, match, timeline): both documents of each block of events, written from one grouping of its events."""
+    # A block's documents are some fifty times its events, so the parts follow the documents and are not merged by size.
+    events = _events(spark, sf_dir).where("block IS NOT NULL")
+    events = events.repartition(max(DOCUMENT_PARTS, events.rdd.getNumPartitions()), "block")
+    grouped = events.groupBy("block").agg(*_match_sums(), _timeline_rows())
+    return grouped.select(_match_id().alias("matchId"), _match_text().alias("match"), _timeline_text().alias("timeline"))

@@ -123,13 +123,18 @@ def store_batch(named: DataFrame, records: DataFrame, store: MatchStore, source:
         store.note(source, number, came)
         return
     # Parsed rows are read for each table. Lost blocks are parsed again.
-    docs = parsed(texts_of(records, new)).persist(StorageLevel.MEMORY_AND_DISK)
+    # The texts stay with the records that turn out to be unreadable only.
+    kept = {c: F.when(F.col("matchId").isNull(), F.col(c)) for c in ("match", "timeline")}
+    # Measured, the texts are one table to the optimizer: it would write the parser out for each part of a union otherwise.
+    texts = texts_of(records, new).observe("texts", F.count(F.lit(1)).alias("rows"))
+    docs = parsed(texts).withColumns(kept).persist(StorageLevel.MEMORY_AND_DISK)
     good = docs.where("matchId IS NOT NULL").drop("match", "timeline", "textHash")
     columns = ["matchId", "reason", "match", "timeline"]
     broken = docs.where("matchId IS NULL").drop("matchId").join(new, "textHash").withColumn("reason", F.lit("unreadable document")).select(*columns)
-    if not bad.isEmpty():
+    wrong = bad.count()
+    if wrong:
         hashed = records.select("match", "timeline", text_hash().alias("textHash"))
-        broken = broken.unionByName(hashed.join(bad, "textHash").select(*columns))
+        broken = broken.unionByName(hashed.join(F.broadcast(bad) if wrong <= BROADCAST_ROWS else bad, "textHash").select(*columns))
     store.save(source, number, *ingested(good), broken, came=came, stored=stored)
     for held in (docs, bad, new, named):
         held.unpersist()

@@ -4,6 +4,8 @@ import random
 import pytest
 
 from matchlake.operators import player_stats
+from matchlake.plans import registry
+from matchlake.sources import star
 from matchlake.sources.store import MatchStore
 from matchlake.streaming import ingest
 
@@ -155,3 +157,50 @@ def test_shared_folder_is_asked_for_off_local_masters():
     there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared_dir(there)
+
+
+def events(spark, path, n):
+    """An events table of n blocks, a null id and a repeated row."""
+    ids = [(i,) for i in range(n * 60)] + [(5,), (None,)]
+    rows = spark.createDataFrame(ids, "event_id bigint").selectExpr(
+        "event_id", "coalesce(event_id, 0) % 17 AS user_id", "elt(1 + coalesce(event_id, 0) % 4, 'click', 'view', 'purchase', 'signup') AS event_type",
+        "event_id * 1.5D AS value", "concat('{\"k\":', event_id % 7, '}') AS props", "timestamp_seconds(1700000000 + event_id) AS ts",
+    )
+    rows.write.parquet(f"{path}/events.parquet")
+
+
+def test_landed_records_are_written_once(spark, tmp_path):
+    """A batch reads lines, not the building of all documents, and both documents come from one grouping without a join."""
+    events(spark, tmp_path, 5)
+    records = registry.landed_records(spark, str(tmp_path), str(tmp_path))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "json" in plan and not any(n in plan for n in ("Join", "Aggregate", "Exchange", "parquet"))
+    assert "Join" not in star.landed_records(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    apart = [{r["value"] for r in f(spark, str(tmp_path)).collect()} for f in (star.match_documents, star.timeline_documents)]
+    got = records.collect()
+    assert sorted(r["matchId"] for r in got) == [f"EV_{i}" for i in range(5)]
+    for column, texts in zip(("match", "timeline"), apart):
+        assert {r[column] for r in got} == {t for t in texts if '"matchId"' in t}
+
+
+def test_parser_is_planned_once(spark, tmp_path, monkeypatch):
+    """Repeats make the chosen texts a union; the parser stays above it and is not written out for each of its parts."""
+    plans = []
+    real = ingest.ingested
+    monkeypatch.setattr(ingest, "ingested", lambda docs: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or real(docs))
+    store = MatchStore(spark, str(tmp_path)).create()
+    one = frame(spark, [record(i) for i in range(3)])
+    ingest.ingest(one.unionByName(one), store, "batch", 0)
+    assert plans[0].count("from_json(StructField(metadata") <= 2
+    assert store.table("matches").count() == 3
+
+
+def test_unreadable_and_misnamed_texts_are_kept_whole(spark, tmp_path):
+    texts = [(json.dumps(r["match"]), json.dumps(r["timeline"])) for r in map(record, range(4))]
+    # Another match's timeline, and one that ends too early but names its match.
+    rows = [texts[0], (texts[1][0], texts[2][1]), (texts[3][0], texts[3][1][:-5])]
+    store = MatchStore(spark, str(tmp_path)).create()
+    ingest.ingest(spark.createDataFrame(rows, ingest.LANDED), store, "batch", 0)
+    kept = {(r["match"], r["timeline"]) for r in store.table("rejected").collect()}
+    assert rows[1] in kept and kept <= set(rows[1:])
+    assert "BR1_0" in {r["matchId"] for r in store.table("matches").collect()}
