@@ -61,13 +61,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a key side by side, moved while they are narrow: what is made of them is grouped and joined by key in its place."""
+    spread_out = spread(df, key)
+    return df.repartition(key) if spread_out is df else spread_out
+
+
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     line, qty, price = F.col("l_linenumber"), F.floor("l_quantity"), F.col("l_extendedprice")
     team = F.when(F.col("l_linestatus") == "O", 100).otherwise(200)
     roles = F.array(*[F.lit(r) for r in LANES])
     kills, deaths, assists = (qty % 15).cast("int"), (part % 11).cast("int"), (supp % 20).cast("int")
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    rows = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         order.alias("matchId"),
         (line.cast("long") * 1_000_000_000_000 + part).alias("pos"),
         supp.alias("puuid"),

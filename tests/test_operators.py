@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from matchlake.operators import activity, audit, catalog, champion_stats, collection, compare, details, gold, history, lanes, player_stats, tiers
 from matchlake.plans import reports
+from matchlake.sources import star
 
 
 def graphs(spark, *rows):
@@ -363,3 +364,28 @@ def test_work_is_ranked_once_and_numbered_over_ranges(spark):
     assert [r["place"] for r in placed] == list(range(len(placed)))
     assert [(r["matchId"]) for r in placed] == [r["matchId"] for r in sorted(got.collect(), key=lambda r: (-r["priority"], -r["gameCreation"], r["matchId"]))]
     assert collection.in_order(got.limit(0)).count() == 0
+
+
+def test_average_timeline_moves_a_series_once(spark):
+    games = spark.createDataFrame([("a", [1, 2]), ("a", [4]), ("b", [None, 5]), ("c", []), ("d", None), (None, [7])], "puuid string, s array<int>")
+    out = compare.average_timeline(games, "s")
+    # The shuffle lies below the unpacking, and nothing moves after it.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    physical = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression") and "Exchange" in physical
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == 1
+    assert {tuple(r) for r in out.collect()} == {("a", 0, 3), ("a", 1, 2), ("b", 0, None), ("b", 1, 5), (None, 0, 7)}
+
+
+def test_participants_move_before_their_series_are_made(spark, tmp_path):
+    """One shuffle of lines by match serves both the grouping by minute and the windows over it, however many splits the table has."""
+    rows = spark.range(0, 400, numPartitions=16).selectExpr(
+        "id DIV 4 AS l_orderkey", "id % 37 AS l_partkey", "id % 11 AS l_suppkey", "1 + id % 4 AS l_linenumber",
+        "CAST(id % 50 AS double) AS l_quantity", "CAST(100 + id AS double) AS l_extendedprice", "if(id % 2 = 0, 'O', 'F') AS l_linestatus",
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = gold.gold_insights(gold.gold_timeline(star.participants(spark, str(tmp_path))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan.split("Exchange hashpartitioning")[1]
+    assert out.count() == 100
