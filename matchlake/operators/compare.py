@@ -41,9 +41,15 @@ def timeline_games(games: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def average_timeline(games: DataFrame, column: str) -> DataFrame:
-    """Mean per minute over the games that last that long, rounded to whole numbers, half up."""
+    """Mean per minute over the games that last that long, rounded to whole numbers, half up.
+
+    A series moves once and whole, to its player, and is unpacked there: summed before the move, a minute would be a row that is
+    larger than its value, as few games of a player meet in a task.
+    """
     return (
-        games.select("puuid", F.posexplode(column).alias("minute", "v"))
+        games.select("puuid", column)
+        .repartition("puuid")
+        .select("puuid", F.posexplode(column).alias("minute", "v"))
         .groupBy("puuid", "minute")
         .agg(F.sum("v").alias("total"), F.count("v").alias("n"))
         .select("puuid", "minute", F.floor(F.col("total").cast("double") / F.col("n") + 0.5).alias("value"))
