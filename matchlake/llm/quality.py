@@ -43,8 +43,9 @@ NAME_DIMS, PAIR_DIMS, SIZE_DIMS = 32, 64, 24
 PAGE_DIMS = 2 * NAME_DIMS + PAIR_DIMS + SIZE_DIMS
 #: Fixed value: scale of the word and run features, in place of one by their spread; with the ridge it bounds their weights.
 HASH_SCALE = 4.0
-#: Texts and bytes whose features are laid out at once; a longer text comes in parts, whose counts add up.
-STEP_ROWS, PART_BYTES = 512, 4 << 20
+#: Texts and bytes of a part, of which a longer text comes in several, whose counts add up; bytes of parts that are laid out at
+#: once, for each of which some 60 are held.
+STEP_ROWS, PART_BYTES, JOINT_BYTES = 512, 4 << 20, 1 << 19
 #: A document is kept unless its score is below; set on held-out labels, see _finished().
 KEEP_GOOD = 0.998
 #: Log odds are cut into bins of a histogram: BINS of WIDTH around 0, and the other view's into as many groups as SPREAD has, plus one.
@@ -165,7 +166,7 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     first = 0
     while first < len(parts):
         last, size = first, 0
-        while last < len(parts) and (last == first or size + len(parts[last]) <= PART_BYTES):
+        while last < len(parts) and (last == first or size + len(parts[last]) <= JOINT_BYTES):
             size += len(parts[last])
             last += 1
         s, h = _counts(parts[first:last])
@@ -329,9 +330,12 @@ def _fitted(rows: pa.Table) -> Views:
     taker is empty for labelled documents, else the view that the row was handed to. The rows handed over weigh as much as the
     labelled ones at most.
     """
-    rows = rows.sort_by([("taker", "ascending"), ("key", "ascending"), ("label", "ascending")])
-    taker, y = np.array(rows["taker"].to_pylist(), dtype=object), rows["label"].to_numpy().astype(float)
-    weight = rows["weight"].to_numpy().astype(float).copy()
+    # The features stay as they came; what is sorted is their places.
+    narrow = rows.select(["key", "taker", "label", "weight"]).append_column("place", pa.array(np.arange(rows.num_rows)))
+    narrow = narrow.sort_by([("taker", "ascending"), ("key", "ascending"), ("label", "ascending")])
+    place_of = narrow["place"].to_numpy()
+    taker, y = np.array(narrow["taker"].to_pylist(), dtype=object), narrow["label"].to_numpy().astype(float)
+    weight = narrow["weight"].to_numpy().astype(float).copy()
     labelled = taker == ""
     place = np.cumsum(labelled) - 1
     held = labelled & (place % 3 == 2)
@@ -340,17 +344,17 @@ def _fitted(rows: pa.Table) -> Views:
     if len(set(y[held])) < 2 or len(set(y[labelled & ~held])) < 2:
         held[:] = False
     check = held if held.any() else labelled
-    xp = np.vstack([np.frombuffer(x, np.float32) for x in rows["xp"].to_pylist()])
+    xp = np.vstack([np.frombuffer(x, np.float32) for x in rows["xp"].to_pylist()])[place_of]
     models = {}
     for view in ("text", "page"):
         train = (labelled & ~held) | (taker == view)
         given = taker == view
         if given.any():
             weight[given] *= min(1.0, (labelled & ~held).sum() / weight[given].sum())
-        x = xp[train] if view == "page" else _dense(rows["xt"], np.flatnonzero(train))
+        x = xp[train] if view == "page" else _dense(rows["xt"], place_of[train])
         models[view] = logistic(x, y[train], weight[train])
         del x
-    t, p = models["text"].logit(_dense(rows["xt"], np.flatnonzero(check)))[:, None], models["page"].logit(xp[check])[:, None]
+    t, p = models["text"].logit(_dense(rows["xt"], place_of[check]))[:, None], models["page"].logit(xp[check])[:, None]
     return _finished(models["text"], models["page"], t, p, y[check])
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from fixtures import docs, rows, sentence
 
 from matchlake.llm import quality
@@ -150,3 +151,28 @@ def test_a_repeated_labelled_id_brings_one_row(spark):
     some = [(1, sentence(i, 5), "en", "s", 5) for i in range(500)] + [(2, "### " * 9, "en", "s", 5)]
     marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").selectExpr("doc_id", "'' AS taker", "quality AS label", "1.0D AS weight")
     assert quality._examples_of(quality._inputs(docs(spark, some), "text"), marks, "doc_id").count() == 2
+
+
+def test_features_are_laid_out_in_small_joint_steps(monkeypatch):
+    texts = [(sentence(i, 400) + "\n").encode() * (1 + i % 3) for i in range(500)]
+    whole, sizes, counts = quality.text_features(texts), [], quality._counts
+    monkeypatch.setattr(quality, "_counts", lambda parts: sizes.append(sum(map(len, parts))) or counts(parts))
+    assert quality.text_features(texts).tobytes() == whole.tobytes()
+    assert sum(sizes) > 1 << 20 and max(sizes) <= 1 << 19
+    monkeypatch.setattr(quality, "JOINT_BYTES", 1 << 23, raising=False)
+    assert quality.text_features(texts).tobytes() == whole.tobytes()
+    # A text beyond the bound is one step as before.
+    assert quality.text_features([b"a b " * 200_000])[0, 0] == np.float32(np.log1p(800_000) / 10)
+
+
+def test_fit_does_not_depend_on_the_order_of_its_rows():
+    rng = np.random.default_rng(3)
+    some = [sentence(i, 30) + (" ### $$$" if i % 2 else "") for i in range(120)]
+    packed = [quality._packed(x) for x in quality.text_features([t.encode() for t in some])]
+    pages = [x.tobytes() for x in quality.page_features(["en"] * 120, [f"s{i % 3}" for i in range(120)], list(range(120)))]
+    kinds = {"key": pa.int64(), "taker": pa.string(), "label": pa.int32(), "weight": pa.float64(), "xt": pa.binary(), "xp": pa.binary()}
+    columns = [list(range(120)), ["" if i < 90 else ("text", "page")[i % 2] for i in range(120)], [i // 2 % 2 for i in range(120)], [1.0] * 120, packed, pages]
+    rows = pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+    shuffled = rows.take(rng.permutation(120))
+    first, again = quality._fitted(rows), quality._fitted(shuffled)
+    assert np.array_equal(first.text.weights, again.text.weights) and np.array_equal(first.joint, again.joint) and first.keep_from == again.keep_from
