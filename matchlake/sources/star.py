@@ -20,6 +20,8 @@ BLOCK = 60
 FRAME_MS = 40000
 #: Parts that documents are written in, at least.
 DOCUMENT_PARTS = 48
+#: Rows of a part: events, of which BLOCK become a match document and a timeline; lines.
+EVENT_ROWS, LINE_ROWS = 2000 * BLOCK, 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,16 +57,23 @@ def matches(spark: SparkSession, sf_dir: str, player: bool = False) -> DataFrame
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores by key when the files are too few for that; files with enough splits stay as they are."""
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def parts_of(df: DataFrame, rows: int) -> int:
+    """Parts of about so many rows, and one for each core at least."""
+    return max(min(df.sparkSession.sparkContext.defaultParallelism, 64), -(-df.count() // rows))
 
 
-def gathered(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a key side by side, moved while they are narrow: what is made of them is grouped and joined by key in its place."""
-    spread_out = spread(df, key)
-    return df.repartition(key) if spread_out is df else spread_out
+def gathered(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of a key side by side, moved while they are narrow: what is made of them is grouped and joined by key in its place.
+
+    The number of parts follows the rows and is kept. By their bytes, which say nothing of what is made of them, parts would be
+    merged, down to a single one.
+    """
+    return df.repartition(parts_of(df, rows), key)
+
+
+def line_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that the participants of the lines are dealt into."""
+    return parts_of(table(spark, sf_dir, "lineitem"), LINE_ROWS)
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = F.when(F.col("l_linestatus") == "O", 100).otherwise(200)
     roles = F.array(*[F.lit(r) for r in LANES])
     kills, deaths, assists = (qty % 15).cast("int"), (part % 11).cast("int"), (supp % 20).cast("int")
-    rows = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    rows = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey", LINE_ROWS).select(
         order.alias("matchId"),
         (line.cast("long") * 1_000_000_000_000 + part).alias("pos"),
         supp.alias("puuid"),
@@ -306,7 +315,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_events(spark, sf_dir), "block")
+    return gathered(_events(spark, sf_dir), "block", EVENT_ROWS)
+
+
+def document_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that the documents of the events are made in."""
+    return parts_of(table(spark, sf_dir, "events"), EVENT_ROWS)
 
 
 def _match_id() -> Column:
@@ -493,6 +507,6 @@ def landed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(matchId, match, timeline): both documents of each block of events, written from one grouping of its events."""
     # A block's documents are some fifty times its events, so the parts follow the documents and are not merged by size.
     events = _events(spark, sf_dir).where("block IS NOT NULL")
-    events = events.repartition(max(DOCUMENT_PARTS, events.rdd.getNumPartitions()), "block")
+    events = events.repartition(max(DOCUMENT_PARTS, parts_of(events, EVENT_ROWS)), "block")
     grouped = events.groupBy("block").agg(*_match_sums(), _timeline_rows())
     return grouped.select(_match_id().alias("matchId"), _match_text().alias("match"), _timeline_text().alias("timeline"))
