@@ -69,6 +69,10 @@ def timeline_docs(spark, d):
     return documents.parse_json(star.timeline_documents(spark, d), schemas.TIMELINE)
 
 
+def paired_docs(spark, d):
+    return reports.paired(match_docs(spark, d), timeline_docs(spark, d), star.document_parts(spark, d))
+
+
 def star_stats(spark, d):
     return champions.champion_stats_of(star.participants(spark, d), star.matches(spark, d), star.teams(spark, d))
 
@@ -217,19 +221,22 @@ def event_classes(spark, d):
     "cs15 bigint, skills bigint, items bigint, finalBuild string"
 )
 def ingested_participants(spark, d):
-    _, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
+    _, _, people = reports.ingested(paired_docs(spark, d))
     return reports.laning_snapshot(people).withColumn("finalBuild", joined("finalBuild"))
 
 
 @query("matchId string, kind string, puuid string, championId bigint, x bigint, y bigint, timestamp bigint, minute bigint, type string, subType string, teamId bigint, killerId bigint")
 def match_events(spark, d):
-    matches, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
+    docs, path = paired_docs(spark, d), new_work_dir(spark, "paired")
+    # Histories and objectives are read from the same rows, whose timelines are parsed once.
+    docs.write.parquet(path, compression="zstd")
+    matches, _, people = reports.ingested(spark.read.schema(docs.schema).parquet(path))
     return details.match_events(people, matches)
 
 
 @query("matchId string, puuid string, championId bigint, championName string, items bigint, finalBuild string")
 def match_builds(spark, d):
-    _, _, people = reports.ingested(reports.paired(match_docs(spark, d), timeline_docs(spark, d)))
+    _, _, people = reports.ingested(paired_docs(spark, d))
     return details.match_builds(people).withColumns({"items": F.size("itemTimeline"), "finalBuild": joined("finalBuild")})
 
 

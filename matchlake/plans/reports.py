@@ -205,13 +205,17 @@ def compare_timelines(
     return compare.compare_timelines(pairs, compare.average_timeline(compare.timeline_games(games), column))
 
 
-def paired(match_docs: DataFrame, timeline_docs: DataFrame) -> DataFrame:
+def paired(match_docs: DataFrame, timeline_docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Match documents with the results of their timelines. A match without a timeline is left out.
 
-    Timelines are reduced to their results inside their rows first, so the one join moves those and no frames.
+    Timelines are reduced to their results inside their rows first, so the one join moves those and no frames. With parts both
+    sides are dealt by match into so many: the texts of a document are larger than Spark takes them to be, so left to itself
+    it may broadcast all of them or meet too many in one task.
     """
-    docs = match_docs.withColumn("matchId", F.col("metadata.matchId"))
-    return docs.join(timeline_parser.timeline_results(timeline_docs), "matchId")
+    docs, results = match_docs.withColumn("matchId", F.col("metadata.matchId")), timeline_parser.timeline_results(timeline_docs)
+    if parts:
+        docs, results = docs.repartition(parts, "matchId"), results.repartition(parts, "matchId")
+    return docs.join(results, "matchId")
 
 
 def ingested(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -225,6 +225,16 @@ def test_ingested_drops_matches_without_timeline_and_fills_missing_players(read)
     assert rows["p1"]["goldGraph"] == [0, 10] and rows["px"]["goldGraph"] == [] and rows["px"]["itemTimeline"] == []
 
 
+def test_paired_sides_are_dealt_by_match_into_parts(read):
+    ids = [f"BR1_{i}" for i in range(60)]
+    matches = read(schemas.MATCH, *[match(match_id=i) for i in ids])
+    timelines = read(schemas.TIMELINE, *[timeline([frame(60000, {"1": pf(10)})], match_id=i) for i in ids])
+    dealt = reports.paired(matches, timelines, 6)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, reports.paired(matches, timelines).collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(matchId#" in plan and ", 6), REPARTITION_BY_NUM" in plan
+
+
 def build_row(spark, items):
     df = spark.createDataFrame([("m", "p", 1, "Annie", items)], f"matchId string, puuid string, championId int, championName string, itemTimeline {schemas.ITEMS}")
     return details.match_builds(df).first()
