@@ -158,9 +158,11 @@ def without_laning(participants: DataFrame) -> DataFrame:
     return with_last_cs(participants).withColumns({"hasOpponent": F.lit(False), **none})
 
 
-def player_partials_of(participants: DataFrame, matches: DataFrame, laning: bool = True) -> DataFrame:
-    rows = with_laning(participants) if laning else without_laning(participants)
-    return player_partials(game_rows(rows, matches))
+def player_partials_of(participants: DataFrame, matches: DataFrame, laning: bool = True, parts: int | None = None) -> DataFrame:
+    """With parts the games are dealt into so many by player and champion, which all groupings that name both keep to: few games
+    share a partial sum, so there is little to reduce before the shuffle, and what a task holds does not grow with the table."""
+    games = game_rows(with_laning(participants) if laning else without_laning(participants), matches)
+    return player_partials(games.repartition(parts, "puuid", "championId") if parts else games)
 
 
 def role_report(games: DataFrame) -> DataFrame:

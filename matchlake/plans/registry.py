@@ -78,7 +78,7 @@ def star_stats(spark, d):
 
 
 def star_partials(spark, d, laning=False):
-    return players.player_partials_of(star.participants(spark, d), star.matches(spark, d), laning)
+    return players.player_partials_of(star.participants(spark, d), star.matches(spark, d), laning, star.line_parts(spark, d))
 
 
 def star_games(spark, d):

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from matchlake.operators import player_stats
+from matchlake.plans import registry
 from matchlake.sources import star
 
 
@@ -39,3 +41,14 @@ def test_documents_are_made_in_parts_that_follow_the_events(spark, tables, monke
         assert docs.count() == 100
         # Twenty parts of five documents on average, where merging by bytes leaves one of a hundred.
         assert most_in_a_task(docs) <= 20
+
+
+def test_games_are_dealt_into_parts_that_follow_the_lines(spark, tables, monkeypatch):
+    monkeypatch.setattr(star, "LINE_ROWS", 150, raising=False)
+    partials = registry.star_partials(spark, tables)
+    left_alone = player_stats.player_partials_of(star.participants(spark, tables), star.matches(spark, tables), False)
+    assert most_in_a_task(partials) <= left_alone.count() / 4
+    assert sorted(map(str, partials.collect())) == sorted(map(str, left_alone.collect()))
+    # What groups by player and champion keeps to the parts; only the ranking within a player moves rows.
+    plan = player_stats.top_champions(partials)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") <= 2
