@@ -47,7 +47,7 @@ TASKS = 128
 BLOCK = 16384
 #: Bytes that a pass shuffles: so many, or as a share of the bytes of all classes' vectors.
 PASS_BYTES = 96 << 20
-PASS_SHARE = 2.25
+PASS_SHARE = 1.75
 #: Bytes of classes that are dealt together, rows and columns of cosines that are made together.
 DEAL_BYTES = 16 << 20
 TILE = (512, 2048)
